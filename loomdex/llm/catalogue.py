@@ -5,10 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomdex.llm.mailtext import new_text
 from loomdex.llm.neardup import linked_classes, similar_pairs
+from loomdex.operators.timestamps import normalise
 from loomdex.session import read_table
 
 
+def _mails(spark: SparkSession, sf: str) -> DataFrame:
+    """List mail of documents and parsed_email in one form; a thread is a list and a subject without its reply marks."""
+    docs = read_table(spark, sf, "documents", "doc_id", "source_type", "source_id", "source", "title", "author", "created_at", "body").where("source_type = 'mailing_list_msg'")
+    one = docs.select(F.lit("documents").alias("src_table"), F.col("doc_id").alias("src_key"), F.col("source_id").alias("message"), F.col("source").alias("feed"), F.col("title").alias("subject"), F.col("author").alias("sender"), F.col("created_at").alias("date"), "body")
+    two = read_table(spark, sf, "parsed_email", "mail_id", "message_id", "list_name", "subject", "sender", "date", "body").select(
+        F.lit("parsed_email").alias("src_table"), F.col("mail_id").alias("src_key"), F.col("message_id").alias("message"), F.col("list_name").alias("feed"), "subject", "sender", "date", "body"
+    )
+    mails = normalise(one.unionByName(two), "date", "feed", read_table(spark, sf, "source_zones"))
+    subject = F.trim(F.regexp_replace(F.lower("subject"), r"^(?:\s*(?:re|aw|fwd?|wg|tr|rv|sv|antw)\s*(?:\[\d+\])?\s*:|\s*\[[^\]]{1,30}\])+", ""))
+    message = F.coalesce("message", F.concat_ws(":", "src_table", "src_key"))
+    return mails.select("src_table", "src_key", message.alias("message"), F.concat_ws(":", "feed", F.nullif(subject, F.lit(""))).alias("thread"), "sender", F.col("utc_us").alias("sent_us"), "body")
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return new_text(_mails(spark, sf)).where("part = 'text'").select("src_table", "src_key", "line_no")
+
+
+def p3_parts(spark: SparkSession, sf: str) -> DataFrame:
+    return new_text(_mails(spark, sf)).groupBy("src_table", "part").agg(F.count("*").alias("n_lines"))
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = similar_pairs(read_table(spark, sf, "documents", "doc_id", "title", "body"), width=3, threshold=0.5)
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
@@ -18,7 +41,7 @@ def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
     return linked_classes(read_table(spark, sf, "documents", "doc_id", "title", "body"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_classes)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p4_found, p4_classes)}
 
 _SHINGLES = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
