@@ -118,7 +118,8 @@ def _blocks(width: int, min_words: int, buckets: int) -> Callable[[Iterator[pa.R
 
 
 def _frequencies(table: pa.Table) -> pa.Table:
-    """One hash range: sums the counts of each shingle and answers each block with those of two documents or more."""
+    """One hash range: sums the counts of each shingle and answers each block with those of two documents or more. Frequencies
+    beyond 16 bits count as equal: any order that is the same everywhere keeps the prefixes complete."""
     rows = list(zip(*(table.column(c).to_pylist() for c in _COLUMNS)))
     shares = [r for r in rows if r[1] == _SHARES]
     out = [r for r in rows if r[1] != _SHARES]
@@ -135,7 +136,7 @@ def _frequencies(table: pa.Table) -> pa.Table:
             keep = df >= 2
             each = np.repeat(keep, np.where(often, 0, c))
             doc = np.frombuffer(r[6], np.uint16)[each]
-            out.append((r[0], _SHARES, r[2], 0, _planes(u[keep]), np.where(often, 0, c)[keep].astype("<u2").tobytes(), doc.tobytes(), np.minimum(df[keep], 2**32 - 1).astype("<u4").tobytes()))
+            out.append((r[0], _SHARES, r[2], 0, _planes(u[keep]), np.where(often, 0, c)[keep].astype("<u2").tobytes(), doc.tobytes(), np.minimum(df[keep], 2**16 - 1).astype("<u2").tobytes()))
     return pa.Table.from_batches([_rows(out)])
 
 
@@ -155,7 +156,7 @@ def _prefixes(threshold: float, buckets: int) -> Callable[[pa.Table], pa.Table]:
         known_u, known_df = [], []
         for r in rows:
             if r[1] == _SHARES:
-                u, c, df = _unplanes(r[4]), np.frombuffer(r[5], "<u2"), np.frombuffer(r[7], "<u4")
+                u, c, df = _unplanes(r[4]), np.frombuffer(r[5], "<u2"), np.frombuffer(r[7], "<u2")
                 us.append(np.repeat(u, c))
                 dfs.append(np.repeat(df, c))
                 ds.append(np.frombuffer(r[6], np.uint16))
@@ -316,7 +317,7 @@ def similar_classes(
     buckets = 2 ** max(3, math.ceil(math.log2(chars / 3e6 + 1)))
     asked = texts.mapInArrow(_blocks(width, min_words, buckets), _MESSAGE)
     answered = asked.groupBy("bucket").applyInArrow(_frequencies, _MESSAGE)
-    packed = cut(answered.groupBy("block").applyInArrow(_prefixes(threshold, max(1, buckets // 4)), _MESSAGE))
+    packed = cut(answered.groupBy("block").applyInArrow(_prefixes(threshold, max(1, buckets // 16)), _MESSAGE))
     met = packed.where(f"kind = {_SHARES}").groupBy("bucket").applyInArrow(_tiles(threshold), "a long, b long")
     met = cut(met.distinct())
     needed = met.select(F.explode(F.array("a", "b")).alias("k")).distinct()
