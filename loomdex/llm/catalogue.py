@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm.mailtext import new_text
+from loomdex.llm.moderation import unsafe_rates, unsafe_scores
 from loomdex.llm.neardup import linked_classes, similar_pairs
 from loomdex.operators.timestamps import normalise
 from loomdex.session import read_table
@@ -41,7 +42,19 @@ def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
     return linked_classes(read_table(spark, sf, "documents", "doc_id", "title", "body"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p4_found, p4_classes)}
+def _scores(spark: SparkSession, sf: str) -> DataFrame:
+    return unsafe_scores(read_table(spark, sf, "documents", "doc_id", "text", "source"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _scores(spark, sf).where("score >= 0.5").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return unsafe_rates(_scores(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p4_found, p4_classes, p9_found, p9_rates)}
 
 _SHINGLES = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
