@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomdex.llm.mailtext import new_text
 from loomdex.llm.moderation import unsafe_rates, unsafe_scores
+from loomdex.llm.names import entities, variant_pairs
 from loomdex.llm.neardup import linked_classes, similar_pairs
 from loomdex.operators.timestamps import normalise
 from loomdex.session import read_table
@@ -42,6 +43,15 @@ def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
     return linked_classes(read_table(spark, sf, "documents", "doc_id", "title", "body"))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return variant_pairs(entities(read_table(spark, sf, "documents", "author")))
+
+
+def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
+    links = entities(read_table(spark, sf, "documents", "author"))
+    return links.groupBy("entity").agg(F.count("*").alias("n_spellings"), F.min("author").alias("first_spelling"))
+
+
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return unsafe_scores(read_table(spark, sf, "documents", "doc_id", "text", "source"))
 
@@ -54,7 +64,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return unsafe_rates(_scores(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p4_found, p4_classes, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p4_found, p4_classes, p5_found, p5_entities, p9_found, p9_rates)}
 
 _SHINGLES = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
