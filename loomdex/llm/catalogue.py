@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm.mailtext import new_text
+from loomdex.llm.mixing import mix, mix_report
 from loomdex.llm.moderation import unsafe_rates, unsafe_scores
 from loomdex.llm.names import entities, variant_pairs
 from loomdex.llm.neardup import linked_classes, similar_pairs
+from loomdex.llm.packing import pack, packing_report
+from loomdex.llm.tokens import token_counts
 from loomdex.operators.timestamps import normalise
-from loomdex.session import read_table
+from loomdex.session import cut, read_table
 
 
 def _mails(spark: SparkSession, sf: str) -> DataFrame:
@@ -52,6 +55,33 @@ def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
     return links.groupBy("entity").agg(F.count("*").alias("n_spellings"), F.min("author").alias("first_spelling"))
 
 
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    # The container sizes are a handful of parameters, so they are read on the driver.
+    capacities = {r[0]: r[1] for r in read_table(spark, sf, "pack_capacities").groupBy("container").agg(F.min("capacity_tokens")).collect()}
+    return pack(token_counts(read_table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text"), capacities)
+
+
+def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return _packed(spark, sf)
+
+
+def p7_report(spark: SparkSession, sf: str) -> DataFrame:
+    return packing_report(_packed(spark, sf), read_table(spark, sf, "pack_capacities"))
+
+
+def _mixed(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = cut(token_counts(read_table(spark, sf, "documents", "doc_id", "text", "source"), "doc_id", "text", "source"))
+    return mix(sizes, read_table(spark, sf, "mix_targets"))
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed(spark, sf).select("doc", "source", "n_tokens", "copies")
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mix_report(_mixed(spark, sf), read_table(spark, sf, "mix_targets"))
+
+
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return unsafe_scores(read_table(spark, sf, "documents", "doc_id", "text", "source"))
 
@@ -64,7 +94,7 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return unsafe_rates(_scores(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p4_found, p4_classes, p5_found, p5_entities, p9_found, p9_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p4_found, p4_classes, p5_found, p5_entities, p7_packing, p7_report, p8_mix, p8_shares, p9_found, p9_rates)}
 
 _SHINGLES = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
