@@ -10,12 +10,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import fold, tokens
 from loomdex.operators.query import Near, Op, Phrase, parse, phrases, tokens_of
 from loomdex.schema import SOURCE_TYPES, document_url
+from loomdex.session import cut
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"title": 5.0, "body": 1.0}
@@ -187,8 +188,13 @@ def ranked(hits: DataFrame, tree) -> DataFrame:
     ok, contributions = _match(tree, {}, [0])
     count = len(contributions)
     n_of = [F.count_if((_count(n, "title") + _count(n, "body")) > 0).alias(f"n{n}") for n in range(count)]
-    # One row of corpus statistics, fetched as numbers: they are parameters of the score expression.
-    corpus = hits.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), *n_of).first()
+    # Corpus statistics are observed over all documents while the few with a hit are written, so the texts are read once; the
+    # numbers are parameters of the score expression.
+    seen, some = Observation(), F.lit(False)
+    for n in range(count):
+        some = some | ((_count(n, "title") + _count(n, "body")) > 0)
+    hits = cut(hits.observe(seen, F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), *n_of).where(some))
+    corpus = seen.get
     score = F.lit(0.0)
     for n, contributes in contributions:
         df = corpus[f"n{n}"]
@@ -261,6 +267,7 @@ def search(documents: DataFrame, params: SearchParams, mentions: DataFrame | Non
             marks = [f"h{n}" for n in range(len(wanted))] if snippets else []
             rows = metadata_filter(documents, params).select(*columns).join(found.select("id", "score", *marks), "id")
             top = rows.orderBy(F.desc("score"), "id").limit(limit)
+    top = cut(top)
     top = top.crossJoin(F.broadcast(top.agg(F.count("*").alias("total_count"))))  # at most 100 rows by one
     if snippets:
         top = _with_snippets(top, documents, tree)
