@@ -119,9 +119,16 @@ def tag_concepts(documents: DataFrame, words: list[tuple[str, list[str]]] | None
 
     The vocabulary is a parameter of fixed size; each concept is one pattern, compiled once per task. Null bodies give no rows.
     """
-    body = F.lower("body")
-    hits = F.array(*[F.when(body.rlike(alias_pattern(aliases)), F.lit(slug)) for slug, aliases in (words or vocabulary())])
-    rows = documents.where(F.col("body").isNotNull()).select(F.col("id").alias("doc_id"), F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("concept_slug"))
+    # Lower-cased once behind a generator; a plain substring test spares most texts the pattern.
+    rows = documents.where(F.col("body").isNotNull()).select(F.col("id").alias("doc_id"), F.explode_outer(F.array(F.lower("body"))).alias("t"))
+    hits = []
+    for slug, aliases in words or vocabulary():
+        maybe = F.lit(False)
+        for a in aliases:
+            if not any(b != a and b in a for b in aliases):
+                maybe = maybe | F.col("t").contains(a)
+        hits.append(F.when(maybe & F.col("t").rlike(alias_pattern(aliases)), F.lit(slug)))
+    rows = rows.select("doc_id", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("concept_slug"))
     return rows.withColumn("confidence", F.lit(1.0).cast("float"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomdex.operators.hierarchy import nested_sets
 from loomdex.operators.orphans import orphan_references, orphan_report
 from loomdex.operators.timestamps import normalise
-from loomdex.session import read_table
+from loomdex.session import read_table, spread
 
 _CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+00:00$"
 
@@ -19,7 +19,7 @@ def _times(spark: SparkSession, sf: str) -> DataFrame:
     for table, key, value, source in parts:
         one = read_table(spark, sf, table, key, value, source).select(F.lit(table).alias("src_table"), F.col(key).alias("src_key"), F.col(value).alias("value"), F.col(source).alias("feed"))
         rows = one if rows is None else rows.unionByName(one)
-    return normalise(rows, "value", "feed", read_table(spark, sf, "source_zones"))
+    return normalise(spread(rows), "value", "feed", read_table(spark, sf, "source_zones"))
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,7 +12,7 @@ from loomdex.operators import mutations as U
 from loomdex.operators.enrich import VOCABULARY, extract_references, resolve_references, tag_concepts, vocabulary
 from loomdex.operators.search import SearchParams, build_index, search
 from loomdex.schema import document_url, make_id, parse_instant
-from loomdex.session import read_table
+from loomdex.session import read_table, spread
 from loomdex.streaming.ingest import minute_counts_stream
 
 _DOCS = ("id", "source_type", "source_repo", "source_id", "title", "body", "author", "author_id", "created_at", "updated_at", "parent_id", "metadata", "seq")
@@ -33,7 +33,8 @@ def _query(sql: str | None = None):
 def docs(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     """The documents table in the data model; ``created_at`` is an instant, null where the text is neither RFC 3339 nor a day."""
     df = read_table(spark, sf, "documents", *(columns or _DOCS))
-    return df.withColumn("created_at", parse_instant(F.col("created_at"))) if "created_at" in df.columns else df
+    df = df.withColumn("created_at", parse_instant(F.col("created_at"))) if "created_at" in df.columns else df
+    return spread(df) if "body" in df.columns else df
 
 
 _TIME = r"""CASE WHEN regexp_matches(created_at, '^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$') THEN try_cast(regexp_replace(created_at, '(\.\d{6})\d+', '\1') AS TIMESTAMPTZ)

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its input has fewer splits than there are cores (a small file read by expensive expressions);
+    an input with more splits, as any large one has, is left as it is and not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One table of a data directory; ``columns`` prunes the Parquet scan. ``TIMESTAMP_NTZ`` columns are read
     as UTC instants, so that results do not depend on the session time zone."""
