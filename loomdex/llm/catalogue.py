@@ -13,7 +13,7 @@ from loomdex.llm.neardup import linked_classes, similar_pairs
 from loomdex.llm.packing import pack, packing_report
 from loomdex.llm.tokens import token_counts
 from loomdex.operators.timestamps import normalise
-from loomdex.session import cut, read_table
+from loomdex.session import cut, read_table, spread
 
 
 def _mails(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,7 +23,7 @@ def _mails(spark: SparkSession, sf: str) -> DataFrame:
     two = read_table(spark, sf, "parsed_email", "mail_id", "message_id", "list_name", "subject", "sender", "date", "body").select(
         F.lit("parsed_email").alias("src_table"), F.col("mail_id").alias("src_key"), F.col("message_id").alias("message"), F.col("list_name").alias("feed"), "subject", "sender", "date", "body"
     )
-    mails = normalise(one.unionByName(two), "date", "feed", read_table(spark, sf, "source_zones"))
+    mails = normalise(spread(one.unionByName(two)), "date", "feed", read_table(spark, sf, "source_zones"))
     subject = F.trim(F.regexp_replace(F.lower("subject"), r"^(?:\s*(?:re|aw|fwd?|wg|tr|rv|sv|antw)\s*(?:\[\d+\])?\s*:|\s*\[[^\]]{1,30}\])+", ""))
     message = F.coalesce("message", F.concat_ws(":", "src_table", "src_key"))
     return mails.select("src_table", "src_key", message.alias("message"), F.concat_ws(":", "feed", F.nullif(subject, F.lit(""))).alias("thread"), "sender", F.col("utc_us").alias("sent_us"), "body")
@@ -38,12 +38,12 @@ def p3_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = similar_pairs(read_table(spark, sf, "documents", "doc_id", "title", "body"), width=3, threshold=0.5)
+    pairs = similar_pairs(spread(read_table(spark, sf, "documents", "doc_id", "title", "body")), width=3, threshold=0.5)
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
 def p4_classes(spark: SparkSession, sf: str) -> DataFrame:
-    return linked_classes(read_table(spark, sf, "documents", "doc_id", "title", "body"))
+    return linked_classes(spread(read_table(spark, sf, "documents", "doc_id", "title", "body")))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -58,7 +58,7 @@ def p5_entities(spark: SparkSession, sf: str) -> DataFrame:
 def _packed(spark: SparkSession, sf: str) -> DataFrame:
     # The container sizes are a handful of parameters, so they are read on the driver.
     capacities = {r[0]: r[1] for r in read_table(spark, sf, "pack_capacities").groupBy("container").agg(F.min("capacity_tokens")).collect()}
-    return pack(token_counts(read_table(spark, sf, "documents", "doc_id", "text"), "doc_id", "text"), capacities)
+    return pack(token_counts(spread(read_table(spark, sf, "documents", "doc_id", "text")), "doc_id", "text"), capacities)
 
 
 def p7_packing(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +70,7 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = cut(token_counts(read_table(spark, sf, "documents", "doc_id", "text", "source"), "doc_id", "text", "source"))
+    sizes = cut(token_counts(spread(read_table(spark, sf, "documents", "doc_id", "text", "source")), "doc_id", "text", "source"))
     return mix(sizes, read_table(spark, sf, "mix_targets"))
 
 
@@ -83,7 +83,7 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
-    return unsafe_scores(read_table(spark, sf, "documents", "doc_id", "text", "source"))
+    return unsafe_scores(spread(read_table(spark, sf, "documents", "doc_id", "text", "source")))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
