@@ -66,7 +66,7 @@ _BASIC_TIME = r"^[T ](\d{2})(\d{2})(\d{2})?((?:[+-]\d{2}:?\d{2}|[+-]\d{2}|[A-Z]{
 
 
 def _map(pairs: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+    return F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in pairs.items()) + ")")
 
 
 def _int(c: Column) -> Column:
@@ -114,7 +114,8 @@ def with_readings(df: DataFrame, value: str, zone: Column) -> DataFrame:
         .otherwise(F.try_element_at(_map(ABBREVIATIONS), F.col("_z")))
     )
     named = F.when(F.col("_z").isNull(), zone).otherwise(F.col("_z"))
-    out = out.withColumns({"_off": minutes, "_zone": F.when(named.isin(zones), named)})
+    known = F.expr("array(" + ", ".join(f"'{z}'" for z in zones) + ")")
+    out = out.withColumns({"_off": minutes, "_zone": F.when(F.array_contains(known, named), named)})
     month = F.coalesce(F.try_element_at(_map({n: m for m, ns in MONTHS.items() for n in ns.split()}), F.lower(part(2))), F.lit(0))
     year = _int(part(1))
     year = F.when(F.length(part(1)) == 2, year + F.when(year < 70, 2000).otherwise(1900)).otherwise(year)
@@ -192,9 +193,15 @@ def normalise(
     before the change. Rows are kept as they are, repeated ones too.
 
     status: ``ok``; ``null`` (no value); ``unreadable`` (no valid full date and time); ``ambiguous`` (no reading
-    reaches ``threshold``); ``no_zone`` (local time of a source without zone). Only ``ok`` rows have ``utc_us``.
+    reaches ``threshold``); ``no_zone`` (local time of a source without zone). Only ``ok`` rows have ``utc_us``. Other columns stay; one
+    named like an added column is replaced. A null source is a source of its own. An empty table gives an empty result.
     """
     side = zones.groupBy(F.col("source").alias("_source")).agg(F.min("zone_name").alias("_zone_name"), F.min(F.upper("date_order")).alias("_order"))
+    added = ("utc_us", "reading", "posterior", "status")
+    kept = [c for c in df.columns if c not in added]
+    # The caller's columns travel in one struct, so that their names cannot meet those used here.
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in kept], F.lit(0).alias("_")).alias("_row"), F.col(f"`{value}`").alias("_value"), F.coalesce(F.col(f"`{source}`"), F.lit("")).alias("_source"))
+    value = "_value"
     got = {"DMY": ("dmy", "mdy"), "MDY": ("mdy", "dmy")}
 
     def belief(name: str) -> Column:
@@ -204,8 +211,7 @@ def normalise(
         return c
 
     prior = F.array(*[belief(x) for x in READINGS])
-    own = df.withColumn("_source", F.coalesce(F.col(source), F.lit("")))
-    read = with_readings(own.join(side, "_source", "left"), value, F.col("_zone_name")).withColumn("_prior", prior)
+    read = with_readings(df.join(side, "_source", "left"), value, F.col("_zone_name")).withColumn("_prior", prior)
     weights = mixture_weights(read, "_source", "_prior").select(F.col("source").alias("_source"), F.col("weights").alias("_w"))
     out = read.join(weights, "_source", "left")
     score = F.transform("readings", lambda r: F.struct((F.get("_w", r["reading"]) * F.get("_prior", r["reading"])).alias("w"), r["reading"].alias("reading"), r["utc_us"].alias("utc_us")))
@@ -223,4 +229,4 @@ def normalise(
     out = out.withColumn("status", status)
     name = F.get(F.array(*[F.lit(x) for x in READINGS]), F.col("_best")["reading"])
     out = out.withColumns({"utc_us": F.when(F.col("status") == "ok", F.col("_best")["utc_us"]), "reading": name})
-    return out.select(*df.columns, "utc_us", "reading", "posterior", "status")
+    return out.select(*[F.col(f"_row.`{c}`").alias(c) for c in kept], *added)
