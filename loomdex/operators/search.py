@@ -142,7 +142,7 @@ def _count(n: int, column: str) -> Column:
     return F.greatest(F.coalesce(F.size(F.col(f"h{n}.{column}")), F.lit(0)), F.lit(0))
 
 
-def _match(tree, number: dict[int, int], at: list[int]) -> tuple[Column, list[tuple[int, Column]]]:
+def _match(tree, at: list[int]) -> tuple[Column, list[tuple[int, Column]]]:
     """(matches, [(phrase number, contributes)]) of a tree; phrases are numbered in order. Only phrases in true sub-expressions contribute."""
     if isinstance(tree, Phrase):
         n = at[0]
@@ -157,7 +157,7 @@ def _match(tree, number: dict[int, int], at: list[int]) -> tuple[Column, list[tu
             one = _near(tree, ns, c)
             near = one if near is None else near | one
         return near, [(n, near) for n in ns]
-    parts = [_match(i, number, at) for i in tree.items]
+    parts = [_match(i, at) for i in tree.items]
     if tree.kind == "not":
         ok = parts[0][0] & ~parts[1][0]
         return ok, [(n, c & ok) for n, c in parts[0][1]]
@@ -185,8 +185,9 @@ def _near(tree: Near, ns: list[int], c: str) -> Column:
 
 def ranked(hits: DataFrame, tree) -> DataFrame:
     """(id, score, h*): matching documents with their BM25 score over the whole corpus behind ``hits``."""
-    ok, contributions = _match(tree, {}, [0])
-    count = len(contributions)
+    seen_phrases = [0]
+    ok, contributions = _match(tree, seen_phrases)
+    count = seen_phrases[0]
     n_of = [F.count_if((_count(n, "title") + _count(n, "body")) > 0).alias(f"n{n}") for n in range(count)]
     # Corpus statistics are observed over all documents while the few with a hit are written, so the texts are read once; the
     # numbers are parameters of the score expression.
@@ -264,7 +265,7 @@ def search(documents: DataFrame, params: SearchParams, mentions: DataFrame | Non
             wanted = phrases(tree)
             hits = hits_from_index(*index, wanted) if index else hits_from_text(documents, wanted)
             found = ranked(hits, tree)
-            marks = [f"h{n}" for n in range(len(wanted))] if snippets else []
+            marks = [c for c in found.columns if c not in ("id", "score")] if snippets else []
             rows = metadata_filter(documents, params).select(*columns).join(found.select("id", "score", *marks), "id")
             top = rows.orderBy(F.desc("score"), "id").limit(limit)
     top = cut(top)
@@ -335,8 +336,9 @@ def snippet(body: str | None, hits: list[tuple[int, int, int]], size: int = SNIP
 
 
 def _with_snippets(top: DataFrame, documents: DataFrame, tree) -> DataFrame:
-    lengths = [len(p.tokens) for p in phrases(tree)]
-    names = [f"h{n}" for n in range(len(lengths)) if f"h{n}" in top.columns]
+    by_name = {f"h{n}": len(p.tokens) for n, p in enumerate(phrases(tree))}
+    names = [n for n in by_name if n in top.columns]
+    lengths = [by_name[n] for n in names]
     arrays = [F.coalesce(F.col(f"{n}.body"), F.array().cast("array<int>")) for n in names]
     marks = F.array(*arrays) if arrays else F.array().cast("array<array<int>>")
     rows = top.withColumn("_marks", marks).drop(*names)
