@@ -110,7 +110,7 @@ def search_filtered(spark, sf):
     return _found(spark, sf, query="wallet", source_type=["github_issue", "github_pr", "no_such_type"], source_repo=["emberd/emberd"], after="2015-01-01", before="2024-06-30", limit=50)
 
 
-@_query(f"SELECT id, source_type, title, {_URL} AS url, 0.0 AS score FROM (SELECT *, {_TIME} AS made_at FROM documents) WHERE source_type = 'github_pr' ORDER BY made_at DESC NULLS LAST, id LIMIT 100")
+@_query(f"SELECT id, source_type, title, {_URL} AS url, 0.0::DOUBLE AS score FROM (SELECT *, {_TIME} AS made_at FROM documents) WHERE source_type = 'github_pr' ORDER BY made_at DESC NULLS LAST, id LIMIT 100")
 def search_wildcard(spark, sf):
     return _found(spark, sf, query="*", source_type=["github_pr"], limit=500)
 
@@ -406,7 +406,7 @@ def pending_jobs(spark, sf):
     return M.pending_jobs(s, s.where("last_synced_at is not null"))
 
 
-@_query("SELECT source_id, items_found, CASE WHEN coalesce(items_found, 0) = 0 THEN 7200.0 WHEN items_found <= 5 THEN 3600.0 ELSE 1800.0 END AS interval_s FROM sync_state")
+@_query("SELECT source_id, items_found, CASE WHEN coalesce(items_found, 0) = 0 THEN 7200.0 WHEN items_found <= 5 THEN 3600.0 ELSE 1800.0 END::DOUBLE AS interval_s FROM sync_state")
 def adaptive_interval(spark, sf):
     s = read_table(spark, sf, "sync_state", "source_id", "items_found")
     return s.select("source_id", "items_found", M.adaptive_interval(F.lit(3600.0), F.coalesce("items_found", F.lit(0))).alias("interval_s"))

@@ -1,8 +1,8 @@
 """A paged source as a Spark data source: pages of JSON rows behind a cursor, for batch and streaming reads.
 
-``spark.dataSource.register(PagedSource)``; then ``spark.read.format("paged")`` or ``spark.readStream.format("paged")`` with options ``path`` (folder of page
-files, read in name order, one JSON object a line) and ``pages`` (pages per batch at most, 10). The offset is the name of the last page read,
-so a restarted stream goes on behind it and new pages are picked up. A limited interface is spared by ``pages``.
+``spark.dataSource.register(PagedSource)``; then ``spark.read.format("paged")`` or ``spark.readStream.format("paged")`` with option ``path`` (shared folder of
+page files, read in name order, one JSON object a line). The offset is the name of the last page read, so a restarted stream goes on behind it and new
+pages are picked up.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import json
 import os
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def _pages(path: str) -> list[str]:
@@ -39,19 +39,24 @@ class _Batch(DataSourceReader):
         yield from _rows(self.path, partition.name)
 
 
-class _Stream(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, pages: int):
-        self.path, self.pages = path, pages
+class _Stream(DataSourceStreamReader):
+    """Pages are listed on the driver and read by the executors, one task a page."""
+
+    def __init__(self, path: str):
+        self.path = path
 
     def initialOffset(self) -> dict:
         return {"page": ""}
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        todo = [n for n in _pages(self.path) if n > start["page"]][: self.pages]
-        return (r for n in todo for r in _rows(self.path, n)), {"page": todo[-1]} if todo else start
+    def latestOffset(self) -> dict:
+        names = _pages(self.path)
+        return {"page": names[-1] if names else ""}
 
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return (r for n in _pages(self.path) if start["page"] < n <= end["page"] for r in _rows(self.path, n))
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [PagePartition(n) for n in _pages(self.path) if start["page"] < n <= end["page"]]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        yield from _rows(self.path, partition.name)
 
     def commit(self, end: dict) -> None:
         pass
@@ -68,5 +73,5 @@ class PagedSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Batch(self.options["path"])
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
-        return _Stream(self.options["path"], int(self.options.get("pages", "10")))
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _Stream(self.options["path"])
