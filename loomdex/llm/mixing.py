@@ -20,7 +20,7 @@ def allocate(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = No
     """
     asked = targets.where("source is not null").groupBy("source").agg(F.max(F.greatest(F.coalesce("target_share", F.lit(0.0)), F.lit(0.0))).alias("target_share"), F.min("max_repeats").cast("double").alias("max_repeats"))
     present = asked.join(sizes.where("available > 0"), "source")
-    share = F.col("target_share") / F.sum("target_share").over(Window.partitionBy(F.lit(1)))
+    share = F.coalesce(F.try_divide("target_share", F.sum("target_share").over(Window.partitionBy(F.lit(1)))), F.lit(0.0))
     rows = present.withColumn("share", share)  # one row per target: a small table
     if total_tokens is None:
         most = rows.where("share > 0").agg(F.min(F.col("max_repeats") * F.col("available") / F.col("share")), F.sum("available")).first()

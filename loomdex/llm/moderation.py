@@ -120,6 +120,7 @@ PATTERNS = [
         ("sexual", 0.95, rf"[LV]{_ANY}{{0,12}}S"),
         ("sexual", 0.9, rf"[YPIU]{_ANY}{{0,8}}S"),
         ("sexual", 0.9, rf"S{_ANY}{{0,8}}[YPIU]"),
+        ("sexual", 0.9, rf"[UL]{_ANY}{{0,4}}V[UY]"),
         ("sexual", 0.9, rf"L{_ANY}{{0,3}}[IY]{_ANY}{{0,12}}L"),
         ("sexual", 0.9, rf"[IY]x{{0,2}}YL{_ANY}{{0,6}}[LIP]"),
         ("sexual", 0.9, rf"U{_ANY}{{0,3}}L{_ANY}{{0,4}}U{_ANY}{{0,4}}L"),
