@@ -141,8 +141,9 @@ def _misspelt(cores: DataFrame) -> DataFrame:
     cores = cut(cores.join(known, "g"))
     weak = cores.where("support = 1")
     other = cores.select(F.col("g").alias("g2"), F.col("s").alias("s2"), F.col("support").alias("support2"), F.col("n").alias("n2"), F.col("surnames").alias("surnames2"), F.col("kind").alias("kind2"))
-    # The surname is the intact piece: given names one edit apart, of which one is rare.
-    rare = (F.col("surnames") * 8 <= F.col("surnames2")) | (F.col("kind") == "org")
+    # The surname is the intact piece: given names one edit apart, of which one is rare or no known name.
+    listed = list(NICKNAMES)
+    rare = (F.col("surnames") * 8 <= F.col("surnames2")) | (~F.col("g").isin(listed) & F.col("g2").isin(listed)) | (F.col("kind") == "org")
     by_last = weak.join(other, (F.col("s") == F.col("s2")) & (F.col("kind") == F.col("kind2"))).where((F.col("g") != F.col("g2")) & (F.length("g") >= 4) & rare).where(_one_edit(F.col("g"), F.col("g2")))
     # The given name is intact: one of the surname's segments is, up to a shift.
     index = other.where(F.length("s2") >= 5).select("*", F.explode(_segments(F.col("s2"), F.length("s2"), (0,))).alias("x")).select("*", "x.*")
