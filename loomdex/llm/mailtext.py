@@ -126,7 +126,7 @@ def _regions(lines: DataFrame) -> DataFrame:
         .when(signed & ~greets & ~is_("ps"), "signature")
         .otherwise("text")
     )
-    return rows.withColumn("part", part).drop("prev", "next", "next2", "next_short", "intro", "start", "foot", "low", "breaks", "fwd", "footed", "seal", "head", "notice", "sig", "ahead")
+    return rows.withColumn("part", part).drop("prev", "next", "next2", "next_short", "intro", "start", "foot", "breaks", "fwd", "footed", "seal", "head", "notice", "sig", "ahead")
 
 
 def new_text(mails: DataFrame, *, closing_lines: int = 6, recurrences: int = 3, senders: int = 3) -> DataFrame:
@@ -140,12 +140,12 @@ def new_text(mails: DataFrame, *, closing_lines: int = 6, recurrences: int = 3,
     name = F.lower(F.trim("sender"))
     carried = {"message": F.xxhash64("message"), "thread": F.when(F.col("thread").isNotNull(), F.xxhash64("thread")), "sender": F.when(name.isNotNull(), F.xxhash64(name)), "sent_us": F.coalesce("sent_us", F.lit(2**62))}
     rows = _regions(explode_lines(mails.withColumns(carried), *carried))
-    # The last paragraph of what is left as text holds the candidates of the closing-line rules.
+    # The last paragraph of what is left as text holds the candidates of the closing-line rules, if none of its lines reads like a sentence.
     mail = Window.partitionBy("src_table", "src_key")
     text = F.col("part") == "text"
     rows = rows.withColumn("last", F.max(F.when(text, F.col("para"))).over(mail))
     back = F.sum(F.when(text & (F.col("para") == F.col("last")), 1).otherwise(0)).over(mail)
-    closing = text & (F.col("para") == F.col("last")) & (F.col("last") > 1) & F.col("short") & (F.col("kind") == "text") & (back <= closing_lines) & F.col("sender").isNotNull()
+    closing = text & (F.col("para") == F.col("last")) & (F.col("last") > 1) & F.col("low") & (F.col("kind") == "text") & (back <= closing_lines) & F.col("sender").isNotNull()
     quoted = text & (F.col("bare") == 1) & (F.col("words") >= LONG_WORDS) & F.col("thread").isNotNull()
     rows = rows.withColumns({"closing": F.coalesce(closing, F.lit(False)), "quoted": F.coalesce(quoted, F.lit(False)), "long": text & (F.col("words") >= LONG_WORDS)})
     # First author of each long line that some message of the thread may repeat without a mark.
