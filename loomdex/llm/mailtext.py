@@ -148,10 +148,14 @@ def new_text(mails: DataFrame, *, closing_lines: int = 6, recurrences: int = 3,
     closing = text & (F.col("para") == F.col("last")) & (F.col("last") > 1) & F.col("low") & (F.col("kind") == "text") & (back <= closing_lines) & F.col("sender").isNotNull()
     quoted = text & (F.col("bare") == 1) & (F.col("words") >= LONG_WORDS) & F.col("thread").isNotNull()
     rows = rows.withColumns({"closing": F.coalesce(closing, F.lit(False)), "quoted": F.coalesce(quoted, F.lit(False)), "long": text & (F.col("words") >= LONG_WORDS)})
+    # The regions are worked out once; what the cross-mail rules need is kept for the lines that they look at.
+    seen = F.struct("h", "message", "thread", "sender", "sent_us", "closing", "quoted", "long")
+    rows = cut(rows.select("src_table", "src_key", "line_no", "part", F.when(F.col("closing") | F.col("long"), seen).alias("x")))
+    line_of = ["src_table", "src_key", "line_no", "x.*"]
+    asked = rows.where("x.closing or x.quoted").select(*line_of)
     # First author of each long line that some message of the thread may repeat without a mark.
-    asked = cut(rows.where("closing or quoted").select("src_table", "src_key", "line_no", "h", "message", "thread", "sender", "closing", "quoted"))
     repeated = asked.where("quoted").select("thread", "h").distinct()
-    first = rows.where("long and thread is not null").join(repeated, ["thread", "h"], "left_semi").groupBy("thread", "h").agg(F.min(F.struct("sent_us", "message")).alias("f"))
+    first = rows.where("x.long and x.thread is not null").select(*line_of).join(repeated, ["thread", "h"], "left_semi").groupBy("thread", "h").agg(F.min(F.struct("sent_us", "message")).alias("f"))
     old = asked.where("quoted").join(first, ["thread", "h"]).where(F.col("message") != F.col("f.message")).select("src_table", "src_key", "line_no", F.lit("history").alias("verdict"))
     # Closing lines that recur in a sender's messages or are shared by senders.
     ends = asked.where("closing")
