@@ -72,6 +72,12 @@ def lru_evictions(entries: DataFrame, cap: int, key: str = "key", access: str =
     return rows.join(before.select("_day", "_before"), "_day").withColumn("freed_before", freed).where(F.lit(total) - F.col("freed_before") > cap).drop("_day", "_before")
 
 
+def cache_usage(entries: DataFrame, cap: int, size: str = "bytes") -> DataFrame:
+    """One row: total bytes and their share of ``cap`` (null without one)."""
+    total = F.coalesce(F.sum(size), F.lit(0))
+    return entries.agg(total.alias("bytes"), F.try_divide(total.cast("double"), F.lit(float(cap))).alias("ratio"))
+
+
 def truncate_lines(lines: DataFrame, key: str = "key", order: str = "line_no", text: str = "line", cap: int = 8192) -> DataFrame:
     """(key, patch, truncated): lines joined while their bytes, newline included, stay within ``cap``."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
