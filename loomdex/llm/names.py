@@ -135,26 +135,45 @@ def _segments(name: Column, length: Column, shifts: tuple[int, ...], pieces: int
     return F.filter(F.array(*items), lambda x: x.isNotNull() & (F.length(x["seg"]) > 0))
 
 
+def _cut_forms(name: Column) -> Column:
+    """Array of the name and all forms with one letter less; names one edit or swap apart share one."""
+    less = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(name.substr(F.lit(1), i - 1), name.substr(i + 1, F.length(name))))
+    return F.array_distinct(F.concat(F.array(name), less))
+
+
 def _misspelt(cores: DataFrame) -> DataFrame:
-    """(g, s, g2, s2): for cores that are one edit from a better supported core, that core."""
+    """(g, s, g2, s2): for cores that are one edit from a better supported core, that core.
+
+    Every core is looked up; ``support`` and ``n`` are compared with the neighbour's. A target has more spellings, or as many and more rows, so
+    there are no circles. ``weight`` counts what initials or a login say for a core as one spelling more.
+    """
     known = cores.groupBy("g").agg(F.count("*").alias("surnames"))
-    cores = cut(cores.join(known, "g"))
-    weak = cores.where("support = 1")
-    other = cores.select(F.col("g").alias("g2"), F.col("s").alias("s2"), F.col("support").alias("support2"), F.col("n").alias("n2"), F.col("surnames").alias("surnames2"), F.col("kind").alias("kind2"))
-    # The surname is the intact piece: given names one edit apart, of which one is rare or no known name.
-    listed = list(NICKNAMES)
+    bearers = cores.groupBy("s").agg(F.count("*").alias("givens"))
+    cores = cut(cores.join(known, "g").join(bearers, "s").withColumn("weight", F.col("support") + F.col("backed")))
+    other = cores.select(*[F.col(c).alias(f"{c}2") for c in ("g", "s", "n", "support", "surnames", "givens", "weight", "kind")])
+    above = (F.col("support2") > F.col("support")) | ((F.col("support2") == F.col("support")) & (F.col("n2") > F.col("n")))
+    # Clearly below: fewer rows and a third of the ways of writing, or an eighth of the rows and half of the ways.
+    below = ((F.col("weight") * 3 <= F.col("weight2")) & (F.col("n") < F.col("n2"))) | ((F.col("weight") * 2 <= F.col("weight2")) & (F.col("n") * 8 <= F.col("n2")))
+    # The surname is the intact piece: given names one edit apart, of which one is rare or no known name; short ones have many neighbours.
+    listed, nicks = list(NICKNAMES), [*NICKNAMES, *_OWN]
     rare = (F.col("surnames") * 8 <= F.col("surnames2")) | (~F.col("g").isin(listed) & F.col("g2").isin(listed)) | (F.col("kind") == "org")
-    by_last = weak.join(other, (F.col("s") == F.col("s2")) & (F.col("kind") == F.col("kind2"))).where((F.col("g") != F.col("g2")) & (F.length("g") >= 4) & rare).where(_one_edit(F.col("g"), F.col("g2")))
+    rare = rare & ((F.length("g") >= 4) | (below & ~F.col("g").isin(nicks)))
+    by_last = cores.join(other, (F.col("s") == F.col("s2")) & (F.col("kind") == F.col("kind2"))).where((F.col("g") != F.col("g2")) & above & rare).where(_one_edit(F.col("g"), F.col("g2")))
     # The given name is intact: one of the surname's segments is, up to a shift.
     index = other.where(F.length("s2") >= 5).select("*", F.explode(_segments(F.col("s2"), F.length("s2"), (0,))).alias("x")).select("*", "x.*")
     size = F.length("s")
     probes = F.flatten(F.array(*[_segments(F.col("s"), size + d, (-1, 0, 1)) for d in (-1, 0, 1)]))
-    probe = weak.where((F.length("s") >= 5) & (F.col("backed") == 0)).select("*", F.explode(F.array_distinct(probes)).alias("x")).select("*", "x.*")
+    probe = cores.where(F.length("s") >= 5).select("*", F.explode(F.array_distinct(probes)).alias("x")).select("*", "x.*")
     met = probe.join(index, [F.col("g") == F.col("g2"), F.col("kind") == F.col("kind2"), probe["len"] == index["len"], probe["piece"] == index["piece"], probe["seg"] == index["seg"]])
-    by_first = met.where((F.col("s") != F.col("s2")) & _one_edit(F.col("s"), F.col("s2")))
+    by_first = met.where((F.col("s") != F.col("s2")) & above & ((F.col("weight") == 1) | below)).where(_one_edit(F.col("s"), F.col("s2")))
+    # Short surnames have no segments: all forms with one letter less are looked up. Many of them are real; a misspelt one has nearly no other bearer.
+    index = other.where(F.length("s2") <= 5).select("*", F.explode(_cut_forms(F.col("s2"))).alias("form2"))
+    probe = cores.where(F.length("s") <= 5).select("*", F.explode(_cut_forms(F.col("s"))).alias("form"))
+    met = probe.join(index, [F.col("g") == F.col("g2"), F.col("kind") == F.col("kind2"), F.col("form") == F.col("form2")]).where(F.least(F.length("s"), F.length("s2")) < 5)
+    alone = (F.col("givens") == 1) | (F.col("givens") * 8 <= F.col("givens2"))
+    by_short = met.where((F.col("s") != F.col("s2")) & above & below & alone).where(_one_edit(F.col("s"), F.col("s2")))
     keep = ["kind", "g", "s", "n", "g2", "s2", "support2", "n2"]
-    found = by_last.select(*keep).unionByName(by_first.select(*keep)).distinct()
-    found = found.where((F.col("support2") > 1) | (F.col("n2") > F.col("n")))
+    found = by_last.select(*keep).unionByName(by_first.select(*keep)).unionByName(by_short.select(*keep)).distinct()
     best = Window.partitionBy("kind", "g", "s").orderBy(F.desc("support2"), F.desc("n2"), "g2", "s2")
     return found.withColumn("r", F.row_number().over(best)).where("r = 1").select("kind", "g", "s", "g2", "s2")
 
@@ -191,8 +210,8 @@ def entities(df: DataFrame, author: str = "author") -> DataFrame:
     settled = unsure.join(hits, "author", "left").select("author", "n", "kind", F.when(F.col("c") == 1, F.col("g")).otherwise(F.col("first")).alias("g"), F.col("last").alias("s"))
     full = cut(sure.unionByName(settled))
     cores = full.groupBy("kind", "g", "s").agg(F.sum("n").alias("n"), F.count("*").alias("support"))
-    # A surname that initials or a login speak for is no slip of the pen.
-    own = cores.where("support = 1").select("kind", "g", "s", F.explode(_spoken(F.col("kind"), F.col("g"), F.col("s"))).alias("fused"))
+    # What initials or a login say for a core.
+    own = cores.select("kind", "g", "s", F.explode(_spoken(F.col("kind"), F.col("g"), F.col("s"))).alias("fused"))
     said = parsed.where("kind = 'login'").select("fused").unionByName(parsed.where("kind = 'short'").select(F.concat("first", F.lit("."), "last").alias("fused"))).distinct()
     backed = own.join(said, "fused", "left_semi").select("kind", "g", "s").distinct().withColumn("backed", F.lit(1))
     cores = cores.join(backed, ["kind", "g", "s"], "left").withColumn("backed", F.coalesce("backed", F.lit(0)))

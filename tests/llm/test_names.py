@@ -50,3 +50,19 @@ def test_segments_find_every_single_edit(spark):
 
 def test_empty(spark):
     assert entities(spark.createDataFrame([], "author string")).count() == 0
+
+
+def test_misspelt_in_several_forms(spark):
+    """A misspelling is found by its relative support: written in two ways, backed by an initial, with a short surname or a short given name."""
+    ways = lambda g, s: [f"{g} {s}", f"{s}, {g}", f"{g} {s} <{g[0]}{s}@x.example>".lower(), f"{g.lower()}  {s.lower()}", f"{g} {s}".upper(), f"{g} {s} (Org)"]
+    right = [("Samantha", "Kestimimner"), ("Marta", "Oxbelelmoor"), ("Edward", "Lindegoz"), ("David", "Holm"), ("Ann", "Voskavdale")]
+    wrong = [("Samntha", "Kestimimner"), ("Marta", "Oxbelelmor"), ("Edward", "Lindegzo"), ("David", "Hlom"), ("An", "Voskavdale")]
+    rows = [(w, 1) for g, s in right for w in ways(g, s)] * 9 + [(w, 1) for g, s in wrong[:2] for w in ways(g, s)[:2]] + [(f"{g} {s}", 1) for g, s in wrong[2:]] + [("E. Lindegzo", 1)]
+    rows += [(f"{g} Voskavdale", 1) for g in ("Edward",)] + [(f"Ann {s}", 1) for s in ("Moorner", "Kestodale", "Garrwick", "Dovarner", "Queluner", "Haskequist", "Tarnutani")]
+    # Two people: both written in several ways.
+    rows += [(w, 1) for s in ("Ullulen", "Ullusen") for w in ways("Thomas", s)[: 2 if s == "Ullulen" else 3]] + [(w, 1) for s in ("Lee", "Lie") for w in ways("Robert", s)[:2]]
+    links = {r.author: r.entity for r in entities(spark.createDataFrame(rows, "author string, n int")).collect()}
+    for (g, s), (g2, s2) in zip(right, wrong):
+        assert links[f"{g2} {s2}"] == links[f"{g} {s}"], (g2, s2)
+    assert links["Kestimimner, Samntha"] == links["Samantha Kestimimner"] and links["Oxbelelmor, Marta"] == links["Marta Oxbelelmoor"]
+    assert links["Thomas Ullulen"] != links["Thomas Ullusen"] and links["Robert Lee"] != links["Robert Lie"]
