@@ -8,7 +8,9 @@ A text runs through a chain of finite-state stages:
    negation ...), everything else ``x``; sentence ends cut the string of symbols into clauses;
 3. *patterns*: regular expressions over that alphabet, with weights, for insults, threats, demeaned groups and explicit scenes. A
    word alone has no weight: there must be a target, an address or a scene;
-4. *context*: regular expressions for reported speech, moderation talk and self-reference, which scale a clause's weight down.
+4. *negation*: a match whose predicate is denied ("you are not a ...", "I don't think you are ...") is scaled down; forms in which the
+   negation is part of the abuse ("never trust ...", "nothing but a ...", "can't wait to ...") keep their weight;
+5. *context*: regular expressions for reported speech, moderation talk and self-reference, which scale a clause's weight down.
 
 The score of a text is ``1 - product(1 - weight)`` over its clauses. Whole texts are read, quoted lines included.
 """
@@ -133,6 +135,15 @@ CONTEXTS = [
     (0.2, re.compile(r"^[^|YPNGK]{0,12}R[^|YPK]*$")),
     (0.1, re.compile(r"^[^YPGSUTK]*I[^YPGSUTKN]*$")),
 ]
+# Negation: words that deny what follows, what they may deny (by the kind of a match), and words that take the denial back.
+DENIAL = 0.1
+NEGATORS = frozenset("not never no don't dont isn't isnt aren't arent wasn't wasnt weren't werent doesn't doesnt didn't didnt won't wont wouldn't wouldnt shouldn't shouldnt mustn't ain't nicht kein keine pas jamais".split())
+RESTORERS = frozenset("only just merely simply but better more less than even wait hesitate stop rest fail mind regret".split())
+_DENIED = {"insult": re.compile(r"B?x{0,3}[AV]{0,3}x?[AV]?(?:N|A(?![AVN]))"), "hate": re.compile(r"B?x{0,3}[AV]{0,2}x?[DEHN]"), "threat": re.compile(r"B?x{0,3}T")}
+# "don't think (that) you are ..." needs the copula, "never call you ..." does not.
+_OPINION = frozenset("think believe say said saying mean meant imply implied implying claim claimed suggest suggested suggesting find consider feel assume".split())
+_CALL = frozenset("call called calling".split())
+_COPULA = frozenset("you're youre u're they're".split())
 _TOKEN = re.compile(r"(?P<b>[.!?…]+(?=[\s\"'”<)\]]|$)|\n\s*\n|\n\[\d|\n\s*[-*#•] |</?[a-z][^>]{0,40}>)|(?P<s>[,;:–—]|[!?])|[\w@$*][\w@$*'’+-]*")
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "’": "'"})
 _TWICE = re.compile(r"(.)\1{2,}")
@@ -198,43 +209,70 @@ class Grammar:
     def __init__(self):
         self.symbol = Speller()
 
-    def clauses(self, text: str) -> list[str]:
+    def clauses(self, text: str) -> list[tuple[str, list[str]]]:
+        """(symbols, their tokens) of each clause."""
         text = text.replace("​", "").replace("­", "").lower()
         text = _SPACED.sub(lambda m: re.sub(r"[ .]", "", m.group()), text)
-        out, now, symbol = [], [], self.symbol
+        out, now, said, symbol = [], [], [], self.symbol
         for m in _TOKEN.finditer(text):
             kind = m.lastgroup
             if kind == "b":
                 if now:
-                    out.append("".join(now))
-                    now = []
+                    out.append(("".join(now), said))
+                    now, said = [], []
             elif kind == "s":
                 now.append(",")
+                said.append(m.group())
             else:
                 t = m.group()
+                said.append(t)
                 if t == "f" and text[m.end() : m.end() + 3].strip(" .*-")[:1] == "u" and not text[m.end() + 2 : m.end() + 3].isalnum():
                     now.append("K")
                     continue
                 now.append(symbol[t])
         if now:
-            out.append("".join(now))
+            out.append(("".join(now), said))
         return out
 
+    @staticmethod
+    def denied(kind: str, clause: str, said: list[str], deniers: list[int], start: int, end: int) -> bool:
+        """Whether a negation governs the predicate of a match; two take each other back."""
+        predicate, inner, outer = _DENIED.get(kind), False, False
+        if predicate is None:
+            return False
+        for i in deniers:
+            if i >= end:
+                break
+            got = predicate.match(clause, i + 1)
+            if got and start < got.end() <= end and not _TRIGGERS.intersection(clause[got.end() : end]) and not RESTORERS.intersection(said[i + 1 : got.end()]):
+                inner = not inner
+            elif i < start <= i + 4 and "," not in clause[i:start]:
+                verbs = said[i + 1 : start]
+                copula = "B" in clause[start:end] or said[start] in _COPULA
+                if not RESTORERS.intersection(verbs) and (_CALL.intersection(verbs) or (copula and _OPINION.intersection(verbs))):
+                    outer = not outer
+        return inner != outer
+
     def score(self, text: str | None) -> tuple[float, dict[str, float]]:
         """(score, best weight by kind)."""
         rest, kinds = 1.0, {}
-        for clause in self.clauses(text or ""):
+        for clause, said in self.clauses(text or ""):
             if not _TRIGGERS.intersection(clause) and "C" not in clause and "J" not in clause:
                 continue
             scale = 1.0
             for factor, p in CONTEXTS:
                 if p.search(clause):
                     scale = min(scale, factor)
+            deniers = [i for i, w in enumerate(said) if w.replace("’", "'") in NEGATORS]
             best = 0.0
             for kind, weight, p in PATTERNS:
-                if weight * scale > max(best, kinds.get(kind, 0.0)) and p.search(clause):
-                    best = max(best, weight * scale)
-                    kinds[kind] = max(kinds.get(kind, 0.0), weight * scale)
+                # Without a negation the first match counts; else the match that keeps most of its weight.
+                m = p.search(clause) if weight * scale > max(best, kinds.get(kind, 0.0)) else None
+                while m:
+                    now = weight * scale * (DENIAL if deniers and self.denied(kind, clause, said, deniers, *m.span()) else 1.0)
+                    best = max(best, now)
+                    kinds[kind] = max(kinds.get(kind, 0.0), now)
+                    m = p.search(clause, m.start() + 1) if now < weight * scale else None
             rest *= 1.0 - best
         return 1.0 - rest, kinds
 

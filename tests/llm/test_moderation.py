@@ -46,3 +46,19 @@ def test_frame(spark):
     rates = {r.source: (r.n_documents, r.n_unsafe) for r in unsafe_rates(scores).collect()}
     assert rates == {"a": (3, 2), None: (1, 0), "b": (1, 1)}
     assert unsafe_scores(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+@pytest.mark.parametrize("text", ["I don't think you are an idiot.", "you are not a stupid idiot", "I don’t believe that you're a moron.", "I would never call you an idiot.", "You aren't a clown.", "Immigrants are not vermin.", "I will not hurt you."])
+def test_denied(text):
+    assert Grammar().score(text)[0] < 0.5
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "You are nothing but a stupid idiot.", "You are not only a stupid idiot.", "I don't think you fucking idiots can read.", "You are not helping, you stupid idiot.", "I can't wait to strangle you.", "Never trust immigrants.", "I don't think you are not a stupid idiot.",
+        "You are not a liar. You are a stupid idiot.", "you are not a clown and you are a moron",
+    ],
+)
+def test_negation_in_abuse(text):
+    assert Grammar().score(text)[0] >= 0.5
