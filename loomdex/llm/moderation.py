@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -129,12 +130,15 @@ PATTERNS = [
         ("sexual", 0.9, rf"L{_ANY}{{0,12}}L{_ANY}{{0,12}}L"),
     )
 ]
-# Context: what scales the weight of all patterns of a clause.
-CONTEXTS = [
+# Context: what scales the weight of the matches in its scope: the stretches between commas and line ends that it touches, REACH symbols
+# around it at most, and the next stretch if it ends with the reporting word ("he called me this: ...").
+REPORTED = [
     (0.1, re.compile(r"R[^|]{0,6}R|R[xU]{0,3}R|[IW][xB]{0,3}R[^|]{0,3}R")),
-    (0.2, re.compile(r"^[^|YPNGK]{0,12}R[^|YPK]*$")),
-    (0.1, re.compile(r"^[^YPGSUTK]*I[^YPGSUTKN]*$")),
+    (0.2, re.compile(r"^[^|YPNGK]{0,12}R(?=[^|YPK]*$)")),
 ]
+# Self-reference holds for a whole clause, in which nobody is addressed.
+SELF = (0.1, re.compile(r"^[^YPGSUTK]*I[^YPGSUTKN]*$"))
+REACH = 20
 # Negation: words that deny what follows, what they may deny (by the kind of a match), and words that take the denial back.
 DENIAL = 0.1
 NEGATORS = frozenset("not never no don't dont isn't isnt aren't arent wasn't wasnt weren't werent doesn't doesnt didn't didnt won't wont wouldn't wouldnt shouldn't shouldnt mustn't ain't nicht kein keine pas jamais".split())
@@ -209,17 +213,20 @@ class Grammar:
     def __init__(self):
         self.symbol = Speller()
 
-    def clauses(self, text: str) -> list[tuple[str, list[str]]]:
-        """(symbols, their tokens) of each clause."""
+    def clauses(self, text: str) -> list[tuple[str, list[str], list[int]]]:
+        """(symbols, their tokens, where lines begin) of each clause."""
         text = text.replace("​", "").replace("­", "").lower()
         text = _SPACED.sub(lambda m: re.sub(r"[ .]", "", m.group()), text)
-        out, now, said, symbol = [], [], [], self.symbol
+        out, now, said, lines, symbol, end = [], [], [], [], self.symbol, 0
         for m in _TOKEN.finditer(text):
             kind = m.lastgroup
+            if now and text.find("\n", end, m.start()) >= 0:
+                lines.append(len(now))
+            end = m.end()
             if kind == "b":
                 if now:
-                    out.append(("".join(now), said))
-                    now, said = [], []
+                    out.append(("".join(now), said, lines))
+                    now, said, lines = [], [], []
             elif kind == "s":
                 now.append(",")
                 said.append(m.group())
@@ -231,7 +238,24 @@ class Grammar:
                     continue
                 now.append(symbol[t])
         if now:
-            out.append(("".join(now), said))
+            out.append(("".join(now), said, lines))
+        return out
+
+    @staticmethod
+    def scopes(clause: str, lines: list[int]) -> list[tuple[int, int, float]]:
+        """(start, end, factor) of reported speech and moderation talk."""
+        if "R" not in clause:
+            return []
+        edges = sorted({0, len(clause), *lines, *(i for i, c in enumerate(clause) if c == ","), *(i + 1 for i, c in enumerate(clause) if c == ",")})
+        out = []
+        for factor, p in REPORTED:
+            m = p.search(clause)
+            while m:
+                k = bisect_left(edges, m.end())
+                if m.end() == edges[k] and clause[m.end() : m.end() + 1] == ",":
+                    k = min(k + 2, len(edges) - 1)
+                out.append((max(edges[bisect_right(edges, m.start()) - 1], m.start() - REACH), min(edges[k], m.end() + REACH), factor))
+                m = p.search(clause, m.start() + 1)
         return out
 
     @staticmethod
@@ -256,20 +280,18 @@ class Grammar:
     def score(self, text: str | None) -> tuple[float, dict[str, float]]:
         """(score, best weight by kind)."""
         rest, kinds = 1.0, {}
-        for clause, said in self.clauses(text or ""):
+        for clause, said, lines in self.clauses(text or ""):
             if not _TRIGGERS.intersection(clause) and "C" not in clause and "J" not in clause:
                 continue
-            scale = 1.0
-            for factor, p in CONTEXTS:
-                if p.search(clause):
-                    scale = min(scale, factor)
+            scale = SELF[0] if SELF[1].search(clause) else 1.0
+            scopes = self.scopes(clause, lines)
             deniers = [i for i, w in enumerate(said) if w.replace("’", "'") in NEGATORS]
             best = 0.0
             for kind, weight, p in PATTERNS:
-                # Without a negation the first match counts; else the match that keeps most of its weight.
+                # Without a negation or a report the first match counts; else the match that keeps most of its weight.
                 m = p.search(clause) if weight * scale > max(best, kinds.get(kind, 0.0)) else None
                 while m:
-                    now = weight * scale * (DENIAL if deniers and self.denied(kind, clause, said, deniers, *m.span()) else 1.0)
+                    now = weight * min([scale, *(f for a, b, f in scopes if a <= m.start() and m.end() <= b)]) * (DENIAL if deniers and self.denied(kind, clause, said, deniers, *m.span()) else 1.0)
                     best = max(best, now)
                     kinds[kind] = max(kinds.get(kind, 0.0), now)
                     m = p.search(clause, m.start() + 1) if now < weight * scale else None

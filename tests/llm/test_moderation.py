@@ -62,3 +62,13 @@ def test_denied(text):
 )
 def test_negation_in_abuse(text):
     assert Grammar().score(text)[0] >= 0.5
+
+
+@pytest.mark.parametrize("text", ["you said i called you names, you fucking idiot", "merged: policy wording\nreported by ci\nyou are a worthless moron\nbuild passed", "moderators said the banned list is long\nThose foreigners are vermin", "he said that the policy " + "was fine and " * 20 + "you are a worthless moron"])
+def test_report_elsewhere(text):
+    assert Grammar().score(text)[0] >= 0.5
+
+
+@pytest.mark.parametrize("text", ["He was banned because he said you are an idiot.", "Moderators reported the insult: you idiot.", "the wording 'you are a moron' was reported, so the log is locked"])
+def test_report(text):
+    assert Grammar().score(text)[0] < 0.5
