@@ -93,8 +93,8 @@ def forum_date(c: Column) -> Column:
 
 
 def mail_date(c: Column) -> Column:
-    """RFC 2822 first, then RFC 3339, else null."""
-    plain = F.regexp_replace(F.regexp_replace(F.trim(c), r"^(?i)(mon|tue|wed|thu|fri|sat|sun),? +", ""), r" *\([^)]*\)$", "")
+    """RFC 2822 first, with any white space between its parts, then RFC 3339, else null."""
+    plain = F.regexp_replace(F.regexp_replace(F.trim(F.regexp_replace(c, r"\s+", " ")), r"^(?i)(mon|tue|wed|thu|fri|sat|sun),? +", ""), r" *\([^)]*\)$", "")
     plain = F.regexp_replace(F.regexp_replace(plain, r" (GMT|UTC|UT|Z)$", " +0000"), " +", " ")
     seconds = F.when(plain.rlike(r" \d{2}:\d{2} "), F.regexp_replace(plain, r"( \d{2}:\d{2}) ", "$1:00 ")).otherwise(plain)
     mail = F.when(seconds.rlike(r"^\d{1,2} \p{L}{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$"), F.try_to_timestamp(F.initcap(seconds), F.lit("d MMM yyyy HH:mm:ss xx")))

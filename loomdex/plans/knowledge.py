@@ -279,6 +279,21 @@ def mail_dates(spark, sf):
     return e.select("mail_id", F.unix_micros(X.mail_date(F.col("date"))).alias("utc_us"))
 
 
+@_query()
+def mail_headers_all(spark, sf):
+    """``mail_headers`` of every mail: folded subjects and mails without one, which its SQL leaves out, too."""
+    e = read_table(spark, sf, "parsed_email", "mail_id", "subject", "sender", "body")
+    raw = F.concat(F.lit("SUBJECT: "), F.coalesce("subject", F.lit("")), F.lit("\nX-Id: 1\nfrom: "), F.coalesce("sender", F.lit("")), F.lit("\nSubject:\n\n"), F.coalesce("body", F.lit("")))
+    return e.select("mail_id", X.mail_headers(raw).alias("h")).select("mail_id", "h.subject", "h.sender", "h.body")
+
+
+@_query()
+def mail_dates_all(spark, sf):
+    """``mail_dates`` of every mail: dates with tabs or several blanks and mails without one, which its SQL leaves out, too."""
+    e = read_table(spark, sf, "parsed_email", "mail_id", "date")
+    return e.select("mail_id", F.unix_micros(X.mail_date(F.col("date"))).alias("utc_us"))
+
+
 _NUM = "cast(cast(source_id AS INT) AS VARCHAR)"
 _PAD = f"CASE WHEN length({_NUM}) < 2 THEN '0' || {_NUM} ELSE {_NUM} END"
 
