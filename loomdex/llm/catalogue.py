@@ -94,7 +94,16 @@ def p9_rates(spark: SparkSession, sf: str) -> DataFrame:
     return unsafe_rates(_scores(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p4_found, p4_classes, p5_found, p5_entities, p7_packing, p7_report, p8_mix, p8_shares, p9_found, p9_rates)}
+def p9_heldout(spark: SparkSession, sf: str) -> DataFrame:
+    """Agreement with the raters on documents of even key, which nobody looked at while writing the grammar; only documents with two ratings or more, all equal."""
+    rated = read_table(spark, sf, "moderation_labels").where("unsafe is not null and doc_id % 2 = 0").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("unsafe").alias("lo"), F.max("unsafe").alias("hi")).where("n >= 2 and lo = hi")
+    got = _scores(spark, sf).join(rated, "doc_id").select((F.col("lo") == 1).alias("unsafe"), (F.col("score") >= 0.5).alias("found"))
+    both = F.count_if(F.col("unsafe") & F.col("found"))
+    counts = got.agg(F.count("*").alias("n_rated"), F.count_if("unsafe").alias("n_unsafe"), F.count_if("found").alias("n_found"), both.alias("n_both"))
+    return counts.withColumns({"recall": F.try_divide("n_both", "n_unsafe"), "precision": F.try_divide("n_both", "n_found")})
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p4_found, p4_classes, p5_found, p5_entities, p7_packing, p7_report, p8_mix, p8_shares, p9_found, p9_rates, p9_heldout)}
 
 _SHINGLES = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),

@@ -1,158 +1,188 @@
 """Abusive, hateful or sexual content: a weighted finite-state pattern grammar over clauses.
 
-A text runs through a chain of finite-state stages:
-
-1. *spelling*: each token is rewritten to a word of the lexicon if it is one in disguise (digits and signs for letters,
-   starred or hyphenated letters, stretched vowels, accents);
-2. *classes*: each word becomes one symbol of a small alphabet (insult, abuse, target, group, violence, sexual term, self, report,
-   negation ...), everything else ``x``; sentence ends cut the string of symbols into clauses;
-3. *patterns*: regular expressions over that alphabet, with weights, for insults, threats, demeaned groups and explicit scenes. A
-   word alone has no weight: there must be a target, an address or a scene;
-4. *negation*: a match whose predicate is denied ("you are not a ...", "I don't think you are ...") is scaled down; forms in which the
-   negation is part of the abuse ("never trust ...", "nothing but a ...", "can't wait to ...") keep their weight;
-5. *context*: regular expressions for reported speech, moderation talk and self-reference, which scale a clause's weight down.
-
-The score of a text is ``1 - product(1 - weight)`` over its clauses. Whole texts are read, quoted lines included.
+A text is cut into clauses and tokens. *Spelling* rewrites a token to a word of the lexicon if it is one in disguise (digits and signs for
+letters, starred or hyphenated letters, stretched letters, accents), and the lexicon turns words into symbols. The symbols of a clause
+then run through one composed machine (``fst.Composed``):
+
+1. *phrases*: set phrases become one symbol ("shut the fuck up", "where you live");
+2. *chunks*: noun phrases become one symbol: insults with their determiner and adjectives, groups of people by construction ("those X people", "the
+   X-ish", "X-ians": no list of peoples), persons;
+3. *negation*: predicates that a negation governs come out damped ("you are not a ...", "I don't think you are ..."), unless it is taken back ("not only
+   ...", "nothing but ...", "can't wait to ...", a second negation);
+4. *reported speech*: what somebody is said to have said, or what is talked about as a wording, comes out damped;
+5. *clauses*: weighted patterns for insults, threats, demeaned groups and explicit scenes. A word alone has no weight: there must be somebody it is
+   said of, an address or a scene. Self-reference matches none, because the person in each pattern is another one.
+
+A damped match keeps a tenth of its weight. The score of a text is ``1 - product(1 - best weight)`` over its clauses. Whole texts are read, quoted lines included.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The lexicon, symbol -> words.
+from loomdex.llm.fst import Composed, Rewrite, Weighted
+
+# The lexicon, symbol -> words. Plurals in -s are added to the symbols of PLURALS.
 LEXICON = {
-    "Y": "you u ya yourself yourselves youre you're you'd you'll u're vous usted ustedes du ihr dich dir eres",
-    "P": "your ur yo tu ton ta tes votre vos tus su dein deine deinen deiner",
-    "B": "are is was were be r being bist ist sind es est sont son",
-    "N": "idiot idiots moron morons imbecile imbeciles cretin cretins halfwit halfwits dumbass dumbasses bastard bastards scumbag scumbags parasite parasites loser losers "
-         "clown clowns coward cowards asshole assholes jackass dickhead prick pricks bitch bitches slut whore cunt wanker twat douchebag motherfucker fucker retard retards "
-         "nitwit dimwit simpleton buffoon nobody's pig swine dipshit shithead scum lowlife maggot cockroach trash garbage dirtbag "
-         "imbécil imbecil idiota idiotas gilipollas pendejo cabron cabrón imbécile connard salaud abruti crétin débile vollidiot trottel depp arschloch idioten dummkopf vollpfosten schwachkopf",
-    "A": "brainless rotten filthy stinking worthless disgusting spineless pathetic clueless miserable lying useless stupid dumb ugly incompetent lazy ignorant moronic idiotic "
-         "braindead fucking bloody goddamn wretched vile dirty little asqueroso pathétique verdammter verdammte verdammtes dreckiger blöder",
-    "V": "fuck fucked fucking shit shitty crap bullshit hell damn merde mierda scheiße scheisse puta",
-    "K": "stfu kys gtfo fu stfuu",
-    "I": "i me my mine myself we our us i'd i'm im",
-    "G": "immigrants immigrant foreigners foreigner women muslims jews gays blacks whites gypsies refugees migrants norvians norvian zemlans zemlan tarkese ilvari quorish "
-         "extranjeros inmigrantes étrangers immigrés ausländer ausländerpack einwanderer migranten flüchtlinge",
-    "D": "vermin rats rat plague subhuman subhumans inferior breed filth cage thieves animals savages parasitic disease cockroaches lice vermine ratas ungeziefer abschaum untermenschen dreck pack",
-    "E": "wipe exterminate deport driven drive huts out back echarlos fuera dehors raus weg eradicate gas purge",
-    "T": "smash beat break breaks broke kill kills stab strangle shoot murder hurt crush slit burn rape punch choke hang jump",
-    "M": "mother mom face brain brains kids fingers teeth shoes bones skull neck throat legs family house bridge cliff train",
-    "S": "porn porno cock cocks dick penis pussy tits boobs panties orgasm orgasms erotic horny thighs nude nudes nudity sexy moaning moan undress housewives xxx blowjob cum masturbate masturbating sex "
-         "vagina clit lingerie stripper milf anal",
-    "L": "naked lips wet stroke stroked stroking lick girls girlfriend boyfriend hotel bed scream baby shower bend desk lonely singles pictures clips cams tonight begged wear photo",
-    "U": "he she him her his hers them they those these people folks ces esos esas diese",
-    "H": "puke vomit disgust disgusts disgusted despise loathe asco pue",
-    "R": "insult insults insulting insulted slur slurs harasser harassers harassment moderator moderators moderation banned ban conduct forbids forbidden reported flagged policy offensive abusive wording "
-         "quote quoted said says called calls",
-    "Z": "not never no nobody don't dont cannot can't cant nothing without",
-    "O": "pain suffer die death deserve deserves deserved regret coming bleed cry",
-    "W": "somebody someone anybody everyone nobody everybody",
-    "C": "crawl shut go get cállate callate halt ferme lárgate verpiss hole",
-    "F": "find where live hope wish track",
-    "J": "hire trust let review allow allowed",
+    "you be": "you're youre u're",
+    "he be": "he's she's they're",
+    "you": "you u ya yourself yourselves ur vous tu du ihr usted ustedes tú",
+    "your": "your yo ton ta tes votre vos tus dein deine deinen deiner euer",
+    "I": "i we i'd i'm im i'll we'll i've me us",
+    "my": "my mine our myself",
+    "he": "he she they them him these ces esos diese",
+    "his": "his her hers their",
+    "one": "somebody someone anybody anyone",
+    "be": "are is was were be r being bist ist sind es est sont son eres",
+    "will": "will would shall should must ought can could gonna going want wanna",
+    "to": "to",
+    "a": "a an the such what un une una ein eine le la el der die das",
+    "that": "this that",
+    "these": "those all most",
+    "of": "of",
+    "as": "as like",
+    "people": "people folk folks race tribe peoples",
+    "ADJ": "brainless rotten filthy stinking worthless disgusting spineless pathetic clueless miserable lying useless stupid dumb ugly incompetent ignorant moronic idiotic braindead wretched vile despicable "
+           "gutless witless mindless repulsive hideous cowardly loathsome contemptible deranged delusional retarded asqueroso asquerosa pathétique débile dämlicher",
+    "adj": "fucking bloody goddamn damn dirty little lazy complete total utter absolute fat old big small sorry poor real bunch such so very really just too also always still clearly obviously truly verdammter verdammte verdammtes dreckiger blöder",
+    "N": "idiot moron imbecile cretin halfwit dumbass bastard scumbag loser asshole arsehole jackass dickhead prick bitch slut whore cunt wanker twat douchebag douche motherfucker fucker retard nitwit dimwit simpleton "
+         "buffoon dipshit shithead scum lowlife maggot dirtbag dolt nincompoop dunce ignoramus blockhead numbskull dullard fool coward clown parasite swine weasel sleazebag tosser git pillock bellend fuckwit asshat "
+         "asswipe shitbag scoundrel crackpot degenerate pig imbécil idiota gilipollas pendejo cabrón connard salaud abruti crétin vollidiot trottel depp arschloch dummkopf vollpfosten schwachkopf",
+    "vulgar": "fuck fucked shit shitty crap bullshit merde mierda scheiße garbage trash filth hell",
+    "kin": "mother mom mum father kids children wife sister parents family",
+    "body": "face skull neck throat bones teeth legs knees fingers ribs brain brains head kneecaps arms nose",
+    "disgust": "disgust disgusts sicken sickens repulse repulses puke vomit revolt revolts",
+    "hit": "smash beat break kill strangle stab murder hurt crush slit burn choke punch slap hunt gut skin torture behead rape shoot hang slaughter",
+    "die": "suffer die death pain agony bleed suffering dying cancer",
+    "deserve": "deserve deserves hope pray",
+    "find": "find know found",
+    "G": "immigrant foreigner migrant refugee women woman females muslim jew christian gay lesbian black white gypsy asian african arab extranjeros inmigrantes étrangers immigrés ausländer einwanderer migranten flüchtlinge",
+    "DEHUM": "vermin subhuman cockroach lice filth rat savage ungeziefer abschaum untermenschen plague disease breed cancer scum animal thieves parasite barbarian ratas basura",
+    "inferior": "inferior subhuman lesser",
+    "purge": "exterminate eradicate deport gas purge cleanse lynch expel",
+    "trust": "hire trust let allow employ allowed",
+    "vile": "breed breeds infest swarm multiply steal steals stink stinks leech rape",
+    "land": "huts hut country countries cave caves jungle village villages desert homeland shithole",
+    "person": "maintainer moderator developer dev reviewer author contributor manager guy man woman boss admin user ceo president colleague coder programmer teacher neighbour guys contributors maintainers moderators devs",
+    "SEX": "porn porno cock pussy tits boobs panties orgasm blowjob milf anal cum penis vagina clit dildo threesome tit boob orgasms cocks nudes xxx",
+    "strip": "naked nude horny erotic sexy nudity topless lingerie",
+    "lewd": "undress moan moaning masturbate masturbating lick stroke stroked stroking seduce thrust thrusting fondle fondled grope groped spank sex sexual",
+    "flesh": "thighs lips nipples breasts breast buttocks butt ass crotch cleavage bosom",
+    "shots": "pictures pics photos photo video videos clips cams cam selfies girls boys housewives singles babes women teens chat",
+    "baby": "baby babe honey darling",
+    "NOT": "not never no don't dont isn't isnt aren't arent wasn't wasnt weren't werent doesn't doesnt didn't didnt won't wont wouldn't wouldnt shouldn't shouldnt mustn't ain't cannot can't cant nobody none neither nicht kein keine pas jamais nothing hardly",
+    "only": "only",
+    "back": "just merely simply but better more less than even wait hesitate stop rest fail mind regret help without",
+    "deem": "think believe mean meant imply implied implying claim suggest suggested suggesting find consider feel assume thinks believes",
+    "call": "call calling",
+    "say": "said says say saying told tells wrote writes called calls shouted yelled claimed claims",
+    "term": "insult insults insulting insulted slur slurs harasser harassers harassment wording quote quotes quoted offensive abusive banned forbids forbidden reported flagged phrase removed",
+    "some": "some which",
+    "go": "go get crawl geh va",
+    "in": "in into with from near by over for",
+    "where": "where",
 }
+PLURALS = ("N", "G", "DEHUM")
+
+# Set phrases, symbol -> phrases apart by |; words of the lexicon may also stand as <symbol>, ? makes a word optional.
+PHRASES = {
+    "OFF": "shut the fuck up|shut your <adj>? mouth|shut your fucking mouth|fuck off|fuck you|fuck u|f u|f you|screw you|go to hell|burn in hell|rot in hell|go fuck yourself|eat shit|piss off|stfu|gtfo|drop dead|up yours|go to <vulgar>|"
+           "ferme ta gueule|ta gueule|nique ta mère|vete a la mierda|halt die fresse|halt deine fresse|halt dein maul|verpiss dich|crawl back into|crawl back under|crawl away and|get lost <you>",
+    "KYS": "kys|kill yourself|hang yourself|go die|drink bleach|neck yourself|jump off a bridge|jump off a cliff|jump in front of a train|end your life|do the world a favour and die|die in a fire",
+    "HOME": "where you live|where you sleep|where your family lives|where you work|your home address",
+    "PUKE": "make me puke|makes me puke|make me sick|makes me sick|make me vomit|makes me vomit|turns my stomach|turn my stomach",
+    "N": "piece of <vulgar>|pile of <vulgar>|sack of <vulgar>|bag of <vulgar>|load of <vulgar>|waste of space|waste of oxygen|waste of skin|son of a bitch|sack of <adj>? <vulgar>",
+    "you": "espèce de|especie de|pedazo de|bande de",
+    "BELITTLE": "tie your shoes|tie your own shoes|tie your shoelaces|tie your own shoelaces|count to ten|find your own ass",
+    "BEAT": "beat the crap out of|beat the shit out of|beat the hell out of|kick the shit out of|kick the crap out of|knock the teeth out of|beat the living <vulgar> out of|put a bullet in",
+    "LIKEYOU": "just like you|exactly like you|same as you|just like your mother",
+    "DOOM": "by blood|by nature|by birth|in a cage|in cages|on a train|in camps|no brain|no brains|no soul",
+    "EXPEL": "wipe out|wipe them out|get rid of|drive out|round up|kick out|send back|ship back|keep out",
+    "OUT": "driven out|kicked out|thrown out|wiped out|rounded up|shipped back|sent back|put down|put on a train|raus|fuera|dehors",
+    "GOBACK": "go back to <your> <adj>? mud? <land>|go back to their <adj>? mud? <land>|go back to where you came from|go back where you came from|go back to where they came from|go back where they came from",
+    "RIGHTS": "be allowed to|be permitted to|be trusted with|be allowed near",
+    "BEND": "bend over|make you scream|make you moan|make her scream|make me moan|deep inside her|deep inside him|deep inside me|inside her|lips around me|lips around my|wear nothing|spread your legs|spread her legs|on your knees|in the shower|hotel room|go down on|take off your|pulled off her|ride me",
+    "SERVE": "what you deserve|what is coming to you|what's coming to you|watch your back",
+    "FAVOUR": "do us all a favour|do us a favour|do everyone a favour|do the world a favour|do the list a favour|do us all a favor",
+    "REFUSE": "refuse to|refuses to|refused to",
+}
+_TRIGGER = frozenset("trust demonym demonyms ADJ N vulgar disgust hit die G DEHUM purge vile SEX strip lewd flesh inferior land".split())
+_KEYS = frozenset("screw hell dead bleach bridge cliff puke sick stomach gueule maul fresse shoes shoelaces cage blood train huts scream moan live sleep inside bend lips cages crawl kys stfu gtfo u f refuse mud lost kicked thrown wipe wiped driven mother deserve piss live kick mouth fucking disgusting".split())
+
+# Chunks. Symbols: MAN a person spoken of, FOLK a group of people, N an insult.
+CHUNKS = [
+    ("[a these some]? [ADJ adj]{0,4} N", "N"), ("these N", "N"), ("[a these] x N", "N"),
+    ("[a these]? adj of [ADJ adj]{0,3} N", "N"), ("you people", "you"), ("you all", "you"),
+    ("[a these]? [adj ADJ]{0,2} person", "MAN"), ("that person", "MAN"), ("name be", "MAN be"),
+    # A group by construction: "those quorish people", "the Tarkese", "Zemlans", and the plain nouns for groups.
+    ("[a these]? [adj ADJ]{0,2} G people?", "FOLK"), ("[a these] [demonym demonyms name names x] people", "FOLK"), ("[a these] [demonym demonyms]", "FOLK"), ("demonyms", "FOLK"), ("these names", "FOLK"),
+    ("[a]? [ADJ adj inferior]{0,3} DEHUM", "DEHUM"), ("a? inferior [DEHUM vile]", "DEHUM"), ("a? inferior people", "DEHUM"),
+    # "was reported", ", he said": a report behind what it reports.
+    ("be term", "tag"), (", [he person name x] say ,", ", tag ,"),
+]
 
-# Weighted patterns over symbols; "," is a soft break inside a clause.
-_ANY = "[^|]"
+# Patterns: (kind, weight, pattern), each behind the rule of grammar that it states. "," is a break at a comma, "/" at a line end.
 PATTERNS = [
-    (kind, weight, re.compile(p))
-    for kind, weight, p in (
-        # you are (a) ... noun; noun as address next to you/your; only a ... noun would
-        ("insult", 0.95, r"[YP]B?x{0,2}[AV]{0,3}x?[AV]?N"),
-        ("insult", 0.95, r"[YP]B[xZ]{0,3}[AV]{1,3}N"),
-        ("insult", 0.9, r"Yx{0,2}B?x{0,2}[AV]N"),
-        ("insult", 0.9, rf"(?:^|,)x?[AV]{{0,3}}N(?:,|$){_ANY}{{0,40}}[YPCK]"),
-        ("insult", 0.9, rf"[YPCK]{_ANY}{{0,40}},x{{0,2}}[AV]{{0,3}}N(?:,|$)"),
-        ("insult", 0.9, rf"^x{{0,3}}[AV]{{0,3}}N,{_ANY}{{0,4}}[YP]"),
-        ("insult", 0.9, rf"^[xF]{{0,3}},?[AV]{{1,3}}N,{_ANY}{{0,12}}[YPC]"),
-        ("insult", 0.8, rf"^{_ANY}{{0,3}}x?[AV]N[xB]"),
-        ("insult", 0.85, r"[xU]N,.{0,6}[ZCxY].{0,12}K"),
-        ("insult", 0.9, r"K.{0,2}(?:$|,)"),
-        ("insult", 0.9, rf"K{_ANY}{{0,2}}Px{{0,2}}A"),
-        ("insult", 0.9, rf"^.{{0,3}}CxVx?[CE]?|CxVx,?Y|CxVEx?,?[YAN]"),
-        ("insult", 0.9, r"C[xE]{0,2}xV(?:x|,|$|P|Y)"),
-        ("insult", 0.9, r"[xI]C?xVxxP"),
-        ("insult", 0.9, r"Ax{0,2}(?:x|P|Y){0,3}V[xY]?YB"),
-        ("insult", 0.95, r"[AV]xxV[YB]|xxV(?:xV|V)?YB"),
-        ("insult", 0.9, r"Px{1,4}Bx{0,2}Ax{0,3}PM"),
-        ("insult", 0.85, r"Yx?H(?:I|x)"),
-        ("insult", 0.85, r"Y(?:x|P){1,8}x?I?H"),
-        ("insult", 0.85, r"YHI"),
-        ("insult", 0.8, r"PMx.{0,3}x{0,3}Y"),
-        ("insult", 0.85, rf"Z?JYxxPM"),
-        ("insult", 0.85, rf"ZxxJYx{{0,3}}PM|[IZ]x{{0,2}}ZJY"),
-        ("insult", 0.85, r"CEx{0,2}P[xC]"),
-        ("insult", 0.85, r"Cx{1,3}O"),
-        ("insult", 0.85, r"M[xB]{0,2}x?IxxY"),
-        ("insult", 0.85, rf"[AN]{{1,3}}x{{0,2}}xVx?"),
-        ("insult", 0.8, r"YBA(?:,|$|x{0,3}$)"),
-        ("insult", 0.9, r"N[xV,]{1,6}Zx"),
-        ("insult", 0.9, r"[YP]x{0,4}[HV]x?[VH]"),
-        # threats against a person
-        ("threat", 0.95, rf"I{_ANY}{{0,3}}F{_ANY}{{0,3}}FY{_ANY}{{0,5}}T?"),
-        ("threat", 0.95, rf"[IW]{_ANY}{{0,4}}TPM"),
-        ("threat", 0.9, rf"W[xB]{{0,3}}T{_ANY}{{0,2}}V"),
-        ("threat", 0.9, rf"[IF]{_ANY}{{0,4}}[TO]Y(?:,|$|x)(?!x)"),
-        ("threat", 0.85, rf"AxYO|YO|[YN]{_ANY}{{0,2}}OxxxO|UxA?x?Y?O{_ANY}{{0,8}}O"),
-        ("threat", 0.9, rf"Tx{{1,2}}M{_ANY}{{0,3}}Y"),
-        # groups of people demeaned, to be driven out or harmed
-        ("hate", 0.95, rf"G{_ANY}{{0,5}}[DH]"),
-        ("hate", 0.95, rf"[DA]{_ANY}{{0,3}}G"),
-        ("hate", 0.95, rf"G{_ANY}{{0,8}}E"),
-        ("hate", 0.95, rf"[ET]{_ANY}{{0,4}}G"),
-        ("hate", 0.9, rf"Z{_ANY}{{0,3}}J?G{_ANY}{{0,12}}(?:[DE]|$)"),
-        ("hate", 0.9, rf"[ZJ]x?J?G"),
-        ("hate", 0.9, rf"G{_ANY}{{0,3}}Z{_ANY}{{0,2}}J"),
-        ("hate", 0.9, rf"G{_ANY}{{0,4}}x{{0,3}}M{_ANY}{{0,3}}x[ZE]?"),
-        ("hate", 0.9, rf"J{_ANY}{{0,3}}G"),
-        ("hate", 0.9, rf"G{_ANY}{{0,4}}Z?{_ANY}?M"),
-        ("hate", 0.9, rf"Zx{{1,3}}G,"),
-        ("hate", 0.9, r"U[D],Ux"),
-        ("hate", 0.9, r"E.{0,2}P?x?x?E$"),
-        # explicit scenes, offers and remarks
-        ("sexual", 0.95, rf"S{_ANY}{{0,12}}[SLV]"),
-        ("sexual", 0.95, rf"[LV]{_ANY}{{0,12}}S"),
-        ("sexual", 0.9, rf"[YPIU]{_ANY}{{0,8}}S"),
-        ("sexual", 0.9, rf"S{_ANY}{{0,8}}[YPIU]"),
-        ("sexual", 0.9, rf"[UL]{_ANY}{{0,4}}V[UY]"),
-        ("sexual", 0.9, rf"L{_ANY}{{0,3}}[IY]{_ANY}{{0,12}}L"),
-        ("sexual", 0.9, rf"[IY]x{{0,2}}YL{_ANY}{{0,6}}[LIP]"),
-        ("sexual", 0.9, rf"U{_ANY}{{0,3}}L{_ANY}{{0,4}}U{_ANY}{{0,4}}L"),
-        ("sexual", 0.9, rf"L{_ANY}{{0,12}}L{_ANY}{{0,12}}L"),
-    )
+    # predication: a person is an insult
+    ("insult", 0.95, "[you he MAN FOLK] be [adj NOT deem back only]{0,3} N"), ("insult", 0.9, "your [x ADJ kin body]{1,3} be [adj NOT]{0,2} N"), ("insult", 0.9, "[you he] be [adj NOT as]{0,3} ADJ [, / $ a in to as]"),
+    # address: you + insult, insult + you are
+    ("insult", 0.95, "you x? [ADJ adj vulgar]{0,3} N"), ("insult", 0.95, "N you be"), ("insult", 0.95, "you be [adj NOT ADJ]{0,3} vulgar [, / $]"),
+    # vocative: an insult that fills the stretch, in a clause that addresses somebody
+    ("insult", 0.9, "[you your go OFF KYS BELITTLE] [^$]* [, /] x{0,2} N [, / $]"), ("insult", 0.9, "[^ / ,] [x find]? ,? N [, /] [^$]* [you your go OFF HOME]"), ("insult", 0.9, "[^] [x go find hi]? ,? N [, /] [^$]* [you your go OFF HOME]"),
+    # dismissal: an imperative phrase that ends there, or goes on to its addressee
+    ("insult", 0.9, "OFF [, / $ you your N ADJ I MAN]"), ("insult", 0.9, "OFF [in x] [your you]"),
+    # generic agent: only/some insult does that
+    ("insult", 0.85, "[only some] N [will x say]"), ("insult", 0.8, "some N"),
+    # demonstrative: this/that + insult
+    ("insult", 0.85, "that N [, / $ x NOT]"),
+    # disgust: you make me sick
+    ("insult", 0.9, "you adj? disgust [I / , $]"), ("insult", 0.85, "you [^,/$]{0,8} PUKE"), ("insult", 0.85, "your [^,/$]{0,6} PUKE ,? N"),
+    # unfit: nobody would trust you with a child's task
+    ("insult", 0.85, "NOT [trust find will] you [^,$]{0,3} BELITTLE"), ("insult", 0.8, "you NOT [^,$]{0,2} BELITTLE"),
+    # simile: as ... as you; trash, just like you
+    ("insult", 0.85, "as ADJ as [you your]"), ("insult", 0.85, "ADJ as your [body kin]"), ("insult", 0.85, "be a? [vulgar N ADJ] ,? LIKEYOU"),
+    # the addressee's mother
+    ("insult", 0.85, "your kin will [^$]{1,4} you"), ("insult", 0.9, "your kin be [adj]{0,2} [N vulgar ADJ]"),
+    # nobody wants you
+    ("insult", 0.75, "NOT x{0,1} [x as] you , [^$]* KYS"),
+    # threats: I / somebody will harm you or your body
+    ("threat", 0.95, "[I one] [^$]{0,8} find [^,$]{0,3} HOME"), ("threat", 0.9, "[I one] will [to x adj be]{0,3} hit you [, / $ in as]"), ("threat", 0.9, "NOT back to? hit [you your]"), ("threat", 0.95, "[I one] will [^,$]{0,5} hit [your his] x? [body kin]"),
+    ("threat", 0.9, "[one I] will to? x? BEAT"), ("threat", 0.95, "[hit BEAT] your adj? body"), ("threat", 0.9, "one will to? [hit] [you he MAN]"),
+    # death wishes
+    ("threat", 0.9, "you x? deserve [^,$]{0,6} die"), ("threat", 0.9, "deserve [^,$]{0,2} you [^,$]{0,3} die"), ("threat", 0.9, "[FAVOUR go] [^$]{0,3} KYS"), ("threat", 0.9, "[^] adj? KYS"), ("threat", 0.9, "[, / you will x] x? KYS"), ("threat", 0.8, "I will [^,$]{0,6} SERVE"),
+    # hate: a group is called less than human, by predicate, apposition, simile or fate
+    ("hate", 0.95, "FOLK [be x adj NOT]{0,4} DEHUM"), ("hate", 0.95, "FOLK , DEHUM"), ("hate", 0.9, "FOLK [^$]{0,12} as a? DEHUM"), ("hate", 0.9, "FOLK [^$]* he [be] [^,$]{0,2} DEHUM"), ("hate", 0.95, "FOLK [^$]* DOOM"), ("hate", 0.95, "[DEHUM N] FOLK"), ("hate", 0.95, "DEHUM [be as] FOLK"),
+    ("hate", 0.9, "FOLK be [adj]{0,2} [inferior N vulgar ADJ]"),
+    # a group to be driven out or killed
+    ("hate", 0.95, "[purge EXPEL hit] [of]? FOLK"), ("hate", 0.95, "FOLK will [be x to]{0,3} [OUT purge EXPEL hit die]"), ("hate", 0.95, "FOLK be OUT"), ("hate", 0.9, "keep FOLK out"), ("hate", 0.9, "FOLK [OUT]"),
+    # a group denied what others have
+    ("hate", 0.9, "FOLK will NOT [be RIGHTS x trust]{1,2}"), ("hate", 0.9, "FOLK NOT RIGHTS"), ("hate", 0.9, "NOT trust FOLK"), ("hate", 0.9, "REFUSE [^,$]{1,5} [in] FOLK"), ("hate", 0.9, "NOT [^,$]{1,2} [in] FOLK [, / $]"),
+    # sent home
+    ("hate", 0.9, "GOBACK"),
+    # them: two demeaning verbs in a row
+    ("hate", 0.9, "he vile [, x]{1,2} he? vile"),
+    # sexual: an explicit noun with another explicit word, somebody's, or on offer
+    ("sexual", 0.95, "[SEX strip lewd flesh] [^$]* SEX"), ("sexual", 0.95, "SEX [^$]* [strip lewd flesh BEND]"), ("sexual", 0.95, "[his your my] [x adj strip ADJ]{0,2} SEX"), ("sexual", 0.9, "he [x adj]{1,3} SEX"), ("sexual", 0.9, "[x adj] SEX shots"), ("sexual", 0.9, "SEX [^$]{0,6} shots"),
+    # undressed people and their pictures
+    ("sexual", 0.9, "strip [shots baby]"), ("sexual", 0.9, "strip [^,$]{0,2} shots"), ("sexual", 0.9, "[I he] x? [you he] strip"), ("sexual", 0.9, "I will you strip"),
+    # acts on somebody
+    ("sexual", 0.9, "lewd [^,$]{0,3} [you he his your]"), ("sexual", 0.95, "vulgar [he his]"), ("sexual", 0.9, "lewd in [you I he]"),
+    # scenes: two suggestive elements
+    ("sexual", 0.9, "[BEND flesh lewd strip baby] [^$]* BEND"), ("sexual", 0.9, "BEND [^$]* [BEND flesh lewd strip baby]"), ("sexual", 0.9, "[flesh strip lewd] [^$]* [lewd strip]"),
 ]
-# Context: what scales the weight of the matches in its scope: the stretches between commas and line ends that it touches, REACH symbols
-# around it at most, and the next stretch if it ends with the reporting word ("he called me this: ...").
-REPORTED = [
-    (0.1, re.compile(r"R[^|]{0,6}R|R[xU]{0,3}R|[IW][xB]{0,3}R[^|]{0,3}R")),
-    (0.2, re.compile(r"^[^|YPNGK]{0,12}R(?=[^|YPK]*$)")),
-]
-# Self-reference holds for a whole clause, in which nobody is addressed.
-SELF = (0.1, re.compile(r"^[^YPGSUTK]*I[^YPGSUTKN]*$"))
-REACH = 20
-# Negation: words that deny what follows, what they may deny (by the kind of a match), and words that take the denial back.
-DENIAL = 0.1
-NEGATORS = frozenset("not never no don't dont isn't isnt aren't arent wasn't wasnt weren't werent doesn't doesnt didn't didnt won't wont wouldn't wouldnt shouldn't shouldnt mustn't ain't nicht kein keine pas jamais".split())
-RESTORERS = frozenset("only just merely simply but better more less than even wait hesitate stop rest fail mind regret".split())
-_DENIED = {"insult": re.compile(r"B?x{0,3}[AV]{0,3}x?[AV]?(?:N|A(?![AVN]))"), "hate": re.compile(r"B?x{0,3}[AV]{0,2}x?[DEHN]"), "threat": re.compile(r"B?x{0,3}T")}
-# "don't think (that) you are ..." needs the copula, "never call you ..." does not.
-_OPINION = frozenset("think believe say said saying mean meant imply implied implying claim claimed suggest suggested suggesting find consider feel assume".split())
-_CALL = frozenset("call called calling".split())
-_COPULA = frozenset("you're youre u're they're".split())
-_TOKEN = re.compile(r"(?P<b>[.!?…]+(?=[\s\"'”<)\]]|$)|\n\s*\n|\n\[\d|\n\s*[-*#•] |</?[a-z][^>]{0,40}>)|(?P<s>[,;:–—]|[!?])|[\w@$*][\w@$*'’+-]*")
+
+_TOKEN = re.compile(r"(?P<b>[.!?…]+(?=[\s\"'”<)\]]|$)|\n\s*\n|\n\[\d|\n\s*[-*#•] |</?[a-zA-Z][^>]{0,40}>)|(?P<s>[,;:–—]|[!?])|[\w@$*][\w@$*'’+-]*")
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "’": "'"})
-_TWICE = re.compile(r"(.)\1{2,}")
-_SPACED = re.compile(r"(?<![\w-])(?:[a-z][ .](?=[a-z](?![a-z]))){2,}[a-z](?![\w-])")
-_TRIGGERS = frozenset("NAVKGDTSLHO")
+_RUN = re.compile(r"(.)\1{2,}")
+_SPACED = re.compile(r"(?<![\w-])(?:[A-Za-z][ .](?=[A-Za-z](?![A-Za-z]))){2,}[A-Za-z](?![\w-])")
+# Names of peoples by their endings: as a collective ("the ...ese"), as a plural ("...ians").
+_DEMONYM, _DEMONYMS = re.compile(r"(?:ese|ish|[^\Waeiou\d_]i)$"), re.compile(r"(?:ans|ites|[^\Waeiou\d_]is)$")
 
 
 def _fold(word: str) -> str:
@@ -160,142 +190,181 @@ def _fold(word: str) -> str:
 
 
 class Speller(dict):
-    """token -> symbol: the first two stages; every token is worked out once."""
+    """token -> symbol: every token is worked out once. A word that only phrases know is a symbol of its own, ``=word``."""
 
     def __init__(self):
         super().__init__()
-        self.words = {}
+        self.words: dict[str, str] = {}
         for symbol, words in LEXICON.items():
             for w in words.split():
-                self.words.setdefault(w, symbol)
-                self.words.setdefault(_fold(w), symbol)
-        self.disguised = {w: s for w, s in self.words.items() if len(w) >= 3}
-        self.strong = {w: s for w, s in self.disguised.items() if s in _TRIGGERS}
+                for form in (w, *([w + "s", w + "es"] if symbol in PLURALS else ())):
+                    self.words.setdefault(form, symbol)
+        phrase_words = {w.rstrip("?") for v in PHRASES.values() for p in v.split("|") for w in p.split() if w[0] != "<"}
+        # A word of a phrase keeps its spelling; ``plain`` is what it stands for outside the phrase.
+        self.plain = {f"={w}": self.words.get(w, "x") for w in sorted(phrase_words)}
+        self.words.update({w: f"={w}" for w in phrase_words})
+        for w in list(self.words):
+            self.words.setdefault(_fold(w), self.words[w])
+        self.heavy = {s for s in (*self.words.values(), *self.plain) if self.plain.get(s, s) in _TRIGGER or s.lstrip("=") in _KEYS}
+        self.strong = {w: s for w, s in self.words.items() if len(w) >= 3 and s in self.heavy}
         self.by_length: dict[int, list[str]] = {}
         for w in self.strong:
             self.by_length.setdefault(len(w), []).append(w)
 
-    def _spell(self, t: str) -> str:
+    def _spell(self, token: str) -> str:
+        t = token.lower()
         got = self.words.get(t) or self.words.get(_fold(t))
         if got:
             return got
+        if t.endswith("'s") and (got := self.words.get(t[:-2])):
+            return got
         if "-" in t:
             parts = t.split("-")
-            if len(parts) > 2 and all(len(p) <= 1 for p in parts):
-                return self._spell("".join(parts))
-            return "x"
+            return self._spell("".join(parts)) if len(parts) > 2 and all(len(p) <= 1 for p in parts) else "x"
         if "*" in t:
             shape = re.compile(re.escape(t).replace(r"\*", "."))
             return next((self.strong[w] for w in self.by_length.get(len(t), ()) if shape.fullmatch(w)), "x")
         plain = t.translate(_LEET)
-        if plain != t and not t.isdigit():
-            got = self.disguised.get(plain) or self.disguised.get(plain.strip("'"))
+        if plain != t and not t.isdigit() and len(plain) >= 3:
+            got = self.words.get(plain) or self.words.get(plain.strip("'"))
             if got:
                 return got
-        for repeat in (r"\1", r"\1\1"):
-            short = _TWICE.sub(repeat, plain)
-            if short != plain and (got := self.words.get(short)):
-                return got
+        if _RUN.search(plain):
+            for repeat in (r"\1", r"\1\1"):
+                if got := self.words.get(_RUN.sub(repeat, plain)):
+                    return got
         if t.startswith("@") and t[1:].isalpha():
             return ","
+        if token[:1].isupper() and token[1:].islower() and len(token) > 3:
+            return "demonyms" if _DEMONYMS.search(t) else "demonym" if _DEMONYM.search(t) else "names" if t.endswith("s") else "name"
         return "x"
 
-    def __missing__(self, t: str) -> str:
+    def __missing__(self, token: str) -> str:
         if len(self) > 300_000:
             self.clear()
-        s = self[t] = self._spell(t)
+        s = self[token] = self._spell(token)
         return s
 
 
+class Negation:
+    """Damps the predicates that a negation governs. A state is (mode, symbols left): idle, scope, or opinion ("don't think (that) you are ...")."""
+
+    start = ("idle", 0)
+    REACH = 6
+    PREDICATE = frozenset("N ADJ vulgar DEHUM inferior hit BEAT disgust".split())
+    THROUGH = frozenset("be x a adj to will he MAN FOLK these some of as find".split())
+
+    def step(self, state: tuple, s: str) -> tuple[tuple, tuple]:
+        mode, left = state
+        if s == "NOT":
+            return (("scope", self.REACH) if mode == "idle" else self.start), (s,)
+        if mode == "idle":
+            return state, (s,)
+        if mode == "asked":
+            return (("scope", left - 1) if s == "be" else self.start), (s,)
+        if s in self.PREDICATE:
+            # Adjectives go on to their noun; the noun ends the scope.
+            return ((mode, left - 1) if s == "ADJ" and left > 1 else self.start), ("~" + s,)
+        if left <= 1 or s in (",", "back", "only"):
+            return self.start, (s,)
+        if s in ("deem", "say"):
+            return ("opinion", self.REACH), (s,)
+        if s == "call":
+            return ("named", self.REACH), (s,)
+        if s == "you":
+            return {"opinion": ("asked", left - 1), "named": ("scope", left - 1)}.get(mode, self.start), (s,)
+        if s in self.THROUGH or mode == "opinion" or s == "/":
+            return (mode, left - 1), (s,)
+        return self.start, (s,)
+
+    def end(self, state: tuple) -> tuple:
+        return ()
+
+
+class Report:
+    """Damps what stands in reported speech or is talked about as a wording. A state is (symbols left, symbols since the report, who spoke last)."""
+
+    start = (0, 9, "")
+    REACH = 20
+    MARKED = frozenset("N ADJ vulgar DEHUM inferior hit BEAT disgust OFF KYS PUKE GOBACK DOOM EXPEL OUT purge die vile SEX strip lewd flesh BEND BELITTLE LIKEYOU".split())
+
+    def step(self, state: tuple, s: str) -> tuple[tuple, tuple]:
+        left, since, who = state
+        plain = s.lstrip("~")
+        if plain in ("I", "he", "one", "MAN", "you", "NOT"):
+            who = plain
+        if plain == "term" or (plain == "say" and who not in ("I", "you")):
+            return (self.REACH, 0, who), (s,)
+        if plain in (",", "/"):
+            # A break right behind the reporting word opens what it reports; any other break closes it.
+            return ((left - 1, since + 1, "") if left > 1 and since <= 1 and plain == "," else (0, 9, "")), (s,)
+        if left > 0 and plain in self.MARKED:
+            s = "~" + plain
+        return (max(left - 1, 0), min(since + 1, 9), who), (s,)
+
+    def end(self, state: tuple) -> tuple:
+        return ()
+
+
+def _phrase_rules(plain: dict[str, str]) -> list[tuple[str, str]]:
+    out = []
+    for symbol, phrases in PHRASES.items():
+        for phrase in phrases.split("|"):
+            out.append((" ".join((_alternatives(w.strip("<>?"), plain) if w[0] == "<" else f"={w.rstrip('?')}") + ("?" if w.endswith("?") else "") for w in phrase.split()), symbol))
+    return out
+
+
+def _alternatives(symbol: str, plain: dict[str, str]) -> str:
+    return f"[{' '.join([symbol, *(w for w, s in plain.items() if s == symbol)])}]"
+
+
 class Grammar:
     """Scores of single texts."""
 
     def __init__(self):
         self.symbol = Speller()
+        plain = self.symbol.plain
+        special = {"=keep": "keep", "=out": "out"}
+        phrases = Rewrite(_phrase_rules(plain), lambda s: special.get(s, plain.get(s, s)))
+        self.machine = Composed(phrases, Rewrite(CHUNKS, lambda s: "x" if s in ("name", "names", "demonym", "demonyms") else s), Negation(), Report(), Weighted(PATTERNS))
 
-    def clauses(self, text: str) -> list[tuple[str, list[str], list[int]]]:
-        """(symbols, their tokens, where lines begin) of each clause."""
-        text = text.replace("​", "").replace("­", "").lower()
+    def clauses(self, text: str) -> list[tuple[list[str], bool]]:
+        """(symbols, whether one of them can carry weight) of each clause."""
+        text = text.replace("​", "").replace("­", "")
         text = _SPACED.sub(lambda m: re.sub(r"[ .]", "", m.group()), text)
-        out, now, said, lines, symbol, end = [], [], [], [], self.symbol, 0
+        out, now, symbol, heavy, end, some = [], [], self.symbol, self.symbol.heavy, 0, False
         for m in _TOKEN.finditer(text):
             kind = m.lastgroup
             if now and text.find("\n", end, m.start()) >= 0:
-                lines.append(len(now))
+                now.append("/")
             end = m.end()
             if kind == "b":
                 if now:
-                    out.append(("".join(now), said, lines))
-                    now, said, lines = [], [], []
+                    out.append((now, some))
+                    now, some = [], False
             elif kind == "s":
                 now.append(",")
-                said.append(m.group())
             else:
-                t = m.group()
-                said.append(t)
-                if t == "f" and text[m.end() : m.end() + 3].strip(" .*-")[:1] == "u" and not text[m.end() + 2 : m.end() + 3].isalnum():
-                    now.append("K")
-                    continue
-                now.append(symbol[t])
+                s = symbol[m.group()]
+                some = some or s in heavy
+                if " " in s:
+                    now.extend(s.split())
+                else:
+                    now.append(s)
         if now:
-            out.append(("".join(now), said, lines))
+            out.append((now, some))
         return out
 
-    @staticmethod
-    def scopes(clause: str, lines: list[int]) -> list[tuple[int, int, float]]:
-        """(start, end, factor) of reported speech and moderation talk."""
-        if "R" not in clause:
-            return []
-        edges = sorted({0, len(clause), *lines, *(i for i, c in enumerate(clause) if c == ","), *(i + 1 for i, c in enumerate(clause) if c == ",")})
-        out = []
-        for factor, p in REPORTED:
-            m = p.search(clause)
-            while m:
-                k = bisect_left(edges, m.end())
-                if m.end() == edges[k] and clause[m.end() : m.end() + 1] == ",":
-                    k = min(k + 2, len(edges) - 1)
-                out.append((max(edges[bisect_right(edges, m.start()) - 1], m.start() - REACH), min(edges[k], m.end() + REACH), factor))
-                m = p.search(clause, m.start() + 1)
-        return out
-
-    @staticmethod
-    def denied(kind: str, clause: str, said: list[str], deniers: list[int], start: int, end: int) -> bool:
-        """Whether a negation governs the predicate of a match; two take each other back."""
-        predicate, inner, outer = _DENIED.get(kind), False, False
-        if predicate is None:
-            return False
-        for i in deniers:
-            if i >= end:
-                break
-            got = predicate.match(clause, i + 1)
-            if got and start < got.end() <= end and not _TRIGGERS.intersection(clause[got.end() : end]) and not RESTORERS.intersection(said[i + 1 : got.end()]):
-                inner = not inner
-            elif i < start <= i + 4 and "," not in clause[i:start]:
-                verbs = said[i + 1 : start]
-                copula = "B" in clause[start:end] or said[start] in _COPULA
-                if not RESTORERS.intersection(verbs) and (_CALL.intersection(verbs) or (copula and _OPINION.intersection(verbs))):
-                    outer = not outer
-        return inner != outer
-
     def score(self, text: str | None) -> tuple[float, dict[str, float]]:
         """(score, best weight by kind)."""
         rest, kinds = 1.0, {}
-        for clause, said, lines in self.clauses(text or ""):
-            if not _TRIGGERS.intersection(clause) and "C" not in clause and "J" not in clause:
-                continue
-            scale = SELF[0] if SELF[1].search(clause) else 1.0
-            scopes = self.scopes(clause, lines)
-            deniers = [i for i, w in enumerate(said) if w.replace("’", "'") in NEGATORS]
-            best = 0.0
-            for kind, weight, p in PATTERNS:
-                # Without a negation or a report the first match counts; else the match that keeps most of its weight.
-                m = p.search(clause) if weight * scale > max(best, kinds.get(kind, 0.0)) else None
-                while m:
-                    now = weight * min([scale, *(f for a, b, f in scopes if a <= m.start() and m.end() <= b)]) * (DENIAL if deniers and self.denied(kind, clause, said, deniers, *m.span()) else 1.0)
-                    best = max(best, now)
-                    kinds[kind] = max(kinds.get(kind, 0.0), now)
-                    m = p.search(clause, m.start() + 1) if now < weight * scale else None
-            rest *= 1.0 - best
+        for symbols, some in self.clauses(text or ""):
+            if some:
+                best = 0.0
+                for kind, weight in self.machine.run(symbols):
+                    best = max(best, weight)
+                    kinds[kind] = max(kinds.get(kind, 0.0), weight)
+                rest *= 1.0 - best
         return 1.0 - rest, kinds
 
 

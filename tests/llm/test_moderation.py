@@ -25,6 +25,37 @@ def test_safe(text):
     assert Grammar().score(text)[0] < 0.5
 
 
+#: Sentences that no test table holds: forms by rule, peoples that do not exist.
+UNSEEN_UNSAFE = [
+    "All Frobnians are vermin", "You are a dolt", "you absolute nincompoop", "He is an idiot.", "The moderator is a complete moron", "The maintainers are a bunch of morons",
+    "You people are idiots", "those Blorkish folk are an inferior race", "Kick out all Vendarians", "They should deport the immigrants", "I will kill you", "I'm going to break your legs",
+    "I hope you die in a fire", "Go kill yourself", "you're pathetic", "You are so stupid", "What an idiot you are", "Your mother is a whore",
+    "shut your fucking mouth", "fuck you and your patches", "You disgust me", "this guy is a complete asshole", "Nobody likes you, kys.", "Women are inferior",
+    "gays belong in a cage", "Never trust Zorbanians", "No jobs for foreigners", "go back to your country", "she has huge tits", "I want to lick your pussy",
+    "naked girls on cams", "send me your nudes, baby", "he fucked her hard", "Somebody should punch you in the face", "If you merge this I will hurt you", "You are worthless trash",
+    "You fucking moron", "Listen, idiot: stop it or I find out where you live", "Jews are rats", "we should gas the refugees",
+]
+UNSEEN_SAFE = [
+    "You are not a stupid idiot at all.", "Nobody said you are a moron.", "Women and children live in huts near the river", "The immigrants went back to the house", "immigrants are welcome in our house", "I am an idiot, sorry",
+    "what an idiot I was", "my stupid mistake", "kill the process and its children", "the master kills the slave", "He said you are an idiot and was banned", "We do not tolerate insults like 'you are a moron'",
+    "This is not idiot-proof", "I never said that you are stupid", "dirty pages are flushed", "Dumb terminals are useless", "Your stupid bot is broken", "the dick pic spam was removed",
+    "sex field in the form is optional", "Refugees are not vermin", "hit your endpoint", "strip the witness", "you are in trouble", "this parser is garbage",
+    "these results are useless", "We should drop dead peers", "Trust no one", "Do not trust the Guardian", "They breed cats", "I will beat you to it",
+    "You will find your keys", "Never let users near the database", "where do you live?", "Could you go back to the previous version", "Gays and lesbians founded the group", "black list",
+    "white space is trimmed", "Blacks and whites vote", "all women are invited", "wet run of the naked build",
+]
+
+
+@pytest.mark.parametrize("text", UNSEEN_UNSAFE)
+def test_unseen_unsafe(text):
+    assert Grammar().score(text)[0] >= 0.5
+
+
+@pytest.mark.parametrize("text", UNSEEN_SAFE)
+def test_unseen_safe(text):
+    assert Grammar().score(text)[0] < 0.5
+
+
 def test_rated_sample(sf):
     """Agreement with the majority of raters on the sample at scale 0.1 (raters err)."""
     import pandas as pd
