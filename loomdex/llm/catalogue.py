@@ -34,7 +34,7 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return new_text(_mails(spark, sf)).groupBy("src_table", "part").agg(F.count("*").alias("n_lines"))
+    return new_text(_mails(spark, sf)).groupBy("src_table", "part", "rule").agg(F.count("*").alias("n_lines"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,13 +1,12 @@
 """Mail bodies to the lines their sender wrote for this mail.
 
-Bodies are exploded to normalised lines. Each line gets a kind from its form alone (quote mark, introduction of a quote, forward
-header, closing formula, delimiter, notice, footer, armour ...); windows over the lines of a mail turn kinds into regions. Across
-mails, the messages of a thread are ranked by date: a long line first authored in an earlier message of another sender is history,
-even without a mark. Closing lines that recur in a sender's messages, and closing lines shared by many senders, are
-signature, slogan or notice.
-
-Only hashes, lengths and kinds are shuffled, never the text. Windows are per mail; everything across mails is
-pre-aggregated, so neither a sender nor a thread holding a third of all lines gathers in one task.
+Bodies are exploded to normalised lines. Across mails, the messages of a thread are ranked by date and only the first-authored occurrence of a
+line is kept; closing lines that recur in a sender's messages are signature. The form of lines (quote mark, introduction of a
+quote, forward header, closing formula, delimiter, notice, footer, armour ...) gives each line a kind, and windows over the
+lines of a mail turn kinds into regions: the prior of both rules, and the verdict where a mail's originals or siblings are not at hand.
+
+Only hashes, lengths and kinds are shuffled, never the text. Windows are per mail, or cut off on the map side; everything else across
+mails is pre-aggregated, so neither a sender nor a thread holding a third of all lines gathers in one task.
 """
 
 from __future__ import annotations
@@ -26,12 +25,12 @@ CLOSINGS = (
     "cordialement", "bien cordialement", "amicalement", "bien à vous", "merci", "salutations", "cordiali saluti", "atenciosamente", "abraços",
 )
 _QUOTE = r"^ {0,2}(?:>|\|(?: |$)|\p{Lu}{1,3}>)"
-_SAYS = r"(?:wrote|writes|schrieb(?: [^:]{1,80})?|a écrit|escribió|ha scritto|scrisse|schreef|escreveu|skrev)"
+_SAYS = r"(?:wrote|writes|schrieb(?: [^:]+)?|a écrit|escribió|ha scritto|scrisse|schreef|escreveu|skrev)"
 _DATED = rf"(?u)^(?:On|Am|Le|El|Il|Op|Em|Den|At) [^:]*\d.*{_SAYS} ?:$"
 _LEAD = r"(?u)^(?:On|Am|Le|El|Il|Op|Em|Den|At) .*\d"
-_ENDS = rf"(?u)^.{{0,90}}\b{_SAYS} ?:$"
-_NAMED = r"(?u)^(?:[\p{Lu}\"].{1,70} writes:|(?:Quoting|Citando|Zitat von) .{1,90}:|\* .{1,80} \[[\d:. /-]+\]:)$"
-_FORWARD = r"(?iu)^(?:-{2,} ?(?:original message|forwarded message|forwarded by .{1,60}|ursprüngliche nachricht|weitergeleitete nachricht|message d'origine|message original|message transféré|mensaje original|mensaje reenviado|messaggio originale) ?-{2,}|begin forwarded message:)$"
+_ENDS = rf"(?u)^.*\b{_SAYS} ?:$"
+_NAMED = r"(?u)^(?:[\p{Lu}\"].+ writes:|(?:Quoting|Citando|Zitat von) .+:|\* .+ \[[\d:. /-]+\]:)$"
+_FORWARD = r"(?iu)^(?:-{2,} ?(?:original message|forwarded message|forwarded by .+|ursprüngliche nachricht|weitergeleitete nachricht|message d'origine|message original|message transféré|mensaje original|mensaje reenviado|messaggio originale) ?-{2,}|begin forwarded message:)$"
 _HEADER = r"(?iu)^(?:from|sent|date|to|cc|subject|von|gesendet|datum|an|betreff|de|envoyé|à|objet|enviado|para|asunto|fecha|reply-to|message-id): ?.*$"
 _FROM = r"(?iu)^(?:from|von|de): .*<[^<>@ ]+@[^<>@ ]+>$"
 _SLOGAN = r"(?iu)^(?:sent from my |sent from |sent with |sent via |get .{1,30} for |gesendet von |von meinem .{1,40} gesendet|envoyé d|enviado desde |inviato da|verzonden vanaf ).{0,60}$"
@@ -41,6 +40,8 @@ _SENTENCE = r"(?u)(?:[\p{L}\p{N})`]{2,}[.!?:;]|\?)$"
 
 #: Words from which a line is long enough to be recognised in another message.
 LONG_WORDS = 5
+#: Slices of lines for each input split; the size of a task, not a cap on anything.
+SLICES = 4
 
 
 def _kind(t: Column) -> Column:
@@ -53,7 +54,8 @@ def _kind(t: Column) -> Column:
     ]
     out = F.when(t.rlike(forms[0][1]), forms[0][0])
     for name, pattern in forms[1:]:
-        out = out.when(t.rlike(pattern), name)
+        # Introductions end with a colon: a cheap test before the costly patterns.
+        out = out.when(t.endswith(":") & t.rlike(pattern) if name in ("dated", "named", "ends") else t.rlike(pattern), name)
     return out.otherwise("text")
 
 
@@ -129,40 +131,62 @@ def _regions(lines: DataFrame) -> DataFrame:
     return rows.withColumn("part", part).drop("prev", "next", "next2", "next_short", "intro", "start", "foot", "breaks", "fwd", "footed", "seal", "head", "notice", "sig", "ahead")
 
 
-def new_text(mails: DataFrame, *, closing_lines: int = 6, recurrences: int = 3, senders: int = 3) -> DataFrame:
-    """Every line with ``part``: (src_table, src_key, line_no, part); lines with part ``text`` are the new ones.
+def _person(sender: Column) -> Column:
+    """The name of a sender in one form: without address, list mark and company, given name first."""
+    name = F.regexp_replace(F.lower(sender), r"<[^>]*>|\([^)]*\)|\"| via .*$", " ")
+    name = F.trim(F.regexp_replace(name, r"\s+", " "))
+    turned = F.trim(F.concat(F.substring_index(name, ",", -1), F.lit(" "), F.substring_index(name, ",", 1)))
+    return F.nullif(F.when(name.contains(","), turned).otherwise(name), F.lit(""))
+
+
+def new_text(mails: DataFrame, *, recurrences: int = 3, share: float = 0.1) -> DataFrame:
+    """Every line with ``part`` and the ``rule`` that decided: (src_table, src_key, line_no, part, rule); lines with part ``text`` are the new ones.
 
     ``mails``: src_table, src_key, message (identity; copies of one message share it), thread, sender, sent_us, body. Other parts:
-    blank, history, signature, slogan, notice, footer, armour. Null bodies have no lines, an empty body has one blank
-    line; null thread or sender: the cross-mail rules are not applied; null sent_us ranks last in its thread; repeated
-    mails share their message, so neither is the other's history; bodies of any length are used whole.
+    blank, history, signature, slogan, notice, footer, armour. Rules, the first that applies:
+
+    * ``thread``: a line of LONG_WORDS words or more that an earlier message of the thread authored, that is, holds unmarked, is history where it is
+      marked as a quote, stands in a forwarded part, or below an introduction without marked lines. A mail that repeats
+      lines of an earlier one without any such sign is taken for an edited re-send, which keeps its text;
+    * ``recurrence``: a line of the last two paragraphs of a sender's own part, of any length and form, that closes ``recurrences`` of that sender's messages or
+      more and at least ``share`` of them, is signature;
+    * ``form``: what the form of lines says, for messages whose originals or siblings are not in the collection.
+
+    Null bodies have no lines, an empty body has one blank line; null thread or sender: the cross-mail rules are not applied; null sent_us ranks
+    last in its thread; repeated mails share their message, so neither is the other's history; bodies of any length are used whole.
     """
-    name = F.lower(F.trim("sender"))
+    name = _person(F.col("sender"))
     carried = {"message": F.xxhash64("message"), "thread": F.when(F.col("thread").isNotNull(), F.xxhash64("thread")), "sender": F.when(name.isNotNull(), F.xxhash64(name)), "sent_us": F.coalesce("sent_us", F.lit(2**62))}
-    rows = _regions(explode_lines(mails.withColumns(carried), *carried))
-    # The last paragraph of what is left as text holds the candidates of the closing-line rules, if none of its lines reads like a sentence.
+    # Slices in proportion to the input, so that tasks keep their size when the collection grows.
+    splits, cores = mails.rdd.getNumPartitions(), mails.sparkSession.sparkContext.defaultParallelism
+    slices = SLICES * splits if splits > cores else cores
+    lines = explode_lines(mails.withColumns(carried), *carried).repartition(slices, "src_table", "src_key")
     mail = Window.partitionBy("src_table", "src_key")
-    text = F.col("part") == "text"
-    rows = rows.withColumn("last", F.max(F.when(text, F.col("para"))).over(mail))
-    back = F.sum(F.when(text & (F.col("para") == F.col("last")), 1).otherwise(0)).over(mail)
-    closing = text & (F.col("para") == F.col("last")) & (F.col("last") > 1) & F.col("low") & (F.col("kind") == "text") & (back <= closing_lines) & F.col("sender").isNotNull()
-    quoted = text & (F.col("bare") == 1) & (F.col("words") >= LONG_WORDS) & F.col("thread").isNotNull()
-    rows = rows.withColumns({"closing": F.coalesce(closing, F.lit(False)), "quoted": F.coalesce(quoted, F.lit(False)), "long": text & (F.col("words") >= LONG_WORDS)})
+    # Closing lines: the last two paragraphs of the sender's own part, if they are not its first.
+    rows = _regions(lines)
+    own = F.when(~F.col("part").isin("history", "footer", "armour", "blank"), F.col("para"))
+    rows = rows.withColumns({"ends": F.max(own).over(mail), "begins": F.min(own).over(mail)})
+    closing = own.isNotNull() & (F.col("para") >= F.col("ends") - 1) & (F.col("para") > F.col("begins")) & F.col("sender").isNotNull()
+    long = (F.col("words") >= LONG_WORDS) & F.col("thread").isNotNull()
+    signed = (F.col("kind") == "quote") | ((F.col("part") == "history") & (F.col("kind") == "text")) | ((F.col("part") == "text") & F.coalesce(F.col("bare") == 1, F.lit(False)))
+    rows = rows.withColumns({"closing": F.coalesce(closing, F.lit(False)), "quoted": F.coalesce(long & signed, F.lit(False)), "authored": F.coalesce(long & (F.col("part") == "text"), F.lit(False))})
     # The regions are worked out once; what the cross-mail rules need is kept for the lines that they look at.
-    seen = F.struct("h", "message", "thread", "sender", "sent_us", "closing", "quoted", "long")
-    rows = cut(rows.select("src_table", "src_key", "line_no", "part", F.when(F.col("closing") | F.col("long"), seen).alias("x")))
+    seen = F.struct("h", "message", "thread", "sender", "sent_us", "closing", "quoted", "authored")
+    rows = cut(rows.select("src_table", "src_key", "line_no", "part", F.when(F.col("closing") | F.col("quoted") | F.col("authored") | (F.col("line_no") == 1), seen).alias("x")))
     line_of = ["src_table", "src_key", "line_no", "x.*"]
-    asked = rows.where("x.closing or x.quoted").select(*line_of)
-    # First author of each long line that some message of the thread may repeat without a mark.
-    repeated = asked.where("quoted").select("thread", "h").distinct()
-    first = rows.where("x.long and x.thread is not null").select(*line_of).join(repeated, ["thread", "h"], "left_semi").groupBy("thread", "h").agg(F.min(F.struct("sent_us", "message")).alias("f"))
-    old = asked.where("quoted").join(first, ["thread", "h"]).where(F.col("message") != F.col("f.message")).select("src_table", "src_key", "line_no", F.lit("history").alias("verdict"))
-    # Closing lines that recur in a sender's messages or are shared by senders.
-    ends = asked.where("closing")
-    own = ends.groupBy("sender", "h").agg(F.count_distinct("message").alias("n")).where(F.col("n") >= recurrences).select("sender", "h")
-    shared = ends.groupBy("h").agg(F.count_distinct("sender").alias("n")).where(F.col("n") >= senders).select("h")
-    line = ["src_table", "src_key", "line_no", F.lit("signature").alias("verdict")]
-    again = ends.join(own, ["sender", "h"], "left_semi").select(*line).unionByName(ends.join(shared, "h", "left_semi").select(*line))
-    verdicts = old.unionByName(again).groupBy("src_table", "src_key", "line_no").agg(F.min("verdict").alias("verdict"))
+    # Thread messages are ranked by date: the first that authored a line. The rank is cut off on the map side, so a line that a third of all messages hold is no hot group.
+    rank = Window.partitionBy("thread", "h").orderBy("sent_us", "message")
+    first = rows.where("x.authored").select("x.thread", "x.h", "x.sent_us", "x.message").withColumn("r", F.row_number().over(rank)).where("r = 1").select("thread", "h", F.struct("sent_us", "message").alias("f"))
+    later = (F.col("f.message") != F.col("message")) & (F.col("f") < F.struct("sent_us", "message"))
+    old = rows.where("x.quoted").select(*line_of).join(first, ["thread", "h"]).where(later).select("src_table", "src_key", "line_no", F.lit("history").alias("verdict"), F.lit("thread").alias("why"))
+    # Closing lines that recur in a sender's messages.
+    ends = rows.where("x.closing").select(*line_of)
+    # A sender's messages are counted by the mails' first lines: every mail has one.
+    sent = rows.where("line_no = 1 and x.sender is not null").groupBy("x.sender").agg(F.count_distinct("x.message").alias("total"))
+    again = ends.groupBy("sender", "h").agg(F.count_distinct("message").alias("n")).where(F.col("n") >= recurrences).join(sent, "sender").where(F.col("n") >= share * F.col("total")).select("sender", "h")
+    mine = ends.join(again, ["sender", "h"], "left_semi").select("src_table", "src_key", "line_no", F.lit("signature").alias("verdict"), F.lit("recurrence").alias("why"))
+    verdicts = old.unionByName(mine).groupBy("src_table", "src_key", "line_no").agg(F.min(F.struct("verdict", "why")).alias("v"))
     out = rows.select("src_table", "src_key", "line_no", "part").join(verdicts, ["src_table", "src_key", "line_no"], "left")
-    return out.select("src_table", "src_key", "line_no", F.coalesce("verdict", "part").alias("part"))
+    # Notices and slogans that recur keep their finer name.
+    part = F.when(F.col("part").isin("notice", "slogan") & (F.col("v.why") == "recurrence"), F.col("part")).otherwise(F.coalesce("v.verdict", "part"))
+    return out.select("src_table", "src_key", "line_no", part.alias("part"), F.coalesce("v.why", F.lit("form")).alias("rule"))

@@ -107,9 +107,9 @@ PHRASES = {
     "OUT": "driven out|kicked out|thrown out|wiped out|rounded up|shipped back|sent back|put down|put on a train|raus|fuera|dehors",
     "GOBACK": "go back to <your> <adj>? mud? <land>|go back to their <adj>? mud? <land>|go back to where you came from|go back where you came from|go back to where they came from|go back where they came from",
     "RIGHTS": "be allowed to|be permitted to|be trusted with|be allowed near",
-    "BEND": "bend over|make you scream|make you moan|make her scream|make me moan|deep inside her|deep inside him|deep inside me|inside her|lips around me|lips around my|wear nothing|spread your legs|spread her legs|on your knees|in the shower|hotel room|go down on|take off your|pulled off her|ride me",
+    "BEND": "bend over|make you scream|make you moan|make her scream|make me moan|deep inside her|deep inside him|deep inside me|inside her|lips around me|lips around my|wear nothing|spread your legs|spread her legs|on your knees|go down on|take off your|pulled off her|ride me",
     "SERVE": "what you deserve|what is coming to you|what's coming to you|watch your back",
-    "FAVOUR": "do us all a favour|do us a favour|do everyone a favour|do the world a favour|do the list a favour|do us all a favor",
+    "FAVOUR": "do us all a favour|do us a favour|do everyone a favour|do the world a favour|do us all a favor",
     "REFUSE": "refuse to|refuses to|refused to",
 }
 _TRIGGER = frozenset("trust demonym demonyms ADJ N vulgar disgust hit die G DEHUM purge vile SEX strip lewd flesh inferior land".split())

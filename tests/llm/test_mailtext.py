@@ -60,6 +60,21 @@ def test_thread_and_recurrence(spark):
     assert got[(2, 4)] == "history" and got[(2, 5)] == "text" and got[(1, 1)] == got[(3, 1)] == "text" and got[(10, 3)] == "signature" and got[(10, 1)] == "text"
 
 
+def test_rules(spark):
+    """Quotes whose original is in the thread fall to the thread rule; an edited re-send keeps its text; contact lines of any length fall to recurrence, and not below its share."""
+    a, b = "The quick brown fox jumps over it.", "A second sentence stands here alone."
+    block = "\n".join(f"{w} of the long contact block of this sender, which ends like sentences do." for w in ("One", "Two", "Three", "Four", "Five", "Six", "Seven", "Eight"))
+    rows = [("m", 1, "a", "t", "Bob B <b@x>", 1, f"{a}\n{b}"), ("m", 2, "b", "t", "ann", 2, f"> {a}\nNo.\n> > Not in the thread at all, this."), ("m", 3, "c", "t", "bob", 3, f"{a}\n{b}\nAnd one more line of it.")]
+    rows += [("m", 10 + i, f"n{i}", f"u{i}", '"B, Cy" <c@x>' if i % 2 else "Cy B via list", 9, f"Some sentence number {i}.\n\n{block}") for i in range(4)]
+    rows += [("m", 50 + i, f"o{i}", f"v{i}", "dee", 9, f"Other sentence number {i}.\n\n" + ("Thanks for the fish." if i < 3 else f"Nothing {i} here.")) for i in range(40)]
+    df = spark.createDataFrame(rows, "src_table string, src_key long, message string, thread string, sender string, sent_us long, body string")
+    got = {(r.src_key, r.line_no): (r.part, r.rule) for r in new_text(df).collect()}
+    assert got[(2, 1)] == ("history", "thread") and got[(2, 2)][0] == "text" and got[(2, 3)] == ("history", "form")
+    assert [got[(3, n)][0] for n in (1, 2, 3)] == ["text"] * 3
+    assert all(got[(10 + i, n)] == ("signature", "recurrence") for i in range(4) for n in range(3, 11)) and got[(10, 1)][0] == "text"
+    assert got[(50, 3)][0] == "text"
+
+
 def test_edges(spark):
     rows = [("m", 1, None, None, None, None, None), ("m", 2, None, None, None, None, ""), ("m", 3, "x", "t", "s", None, "one line\n" * 20000), ("m", 3, "x", "t", "s", None, "again")]
     df = spark.createDataFrame(rows, "src_table string, src_key long, message string, thread string, sender string, sent_us long, body string")
