@@ -1,10 +1,11 @@
 """Variant spellings of names: linking all spellings of one person or organisation.
 
 Each distinct spelling is parsed once (mail forms, logins, reordered parts, initials, titles, nicknames, company words) to a *core*:
-(given name, surname) of a person or (kind, proper name) of an organisation. Misspelt cores meet their neighbours through a
-pigeonhole segment join: a name is cut into given name and surname, the surname again into k + 1 segments; a name with few edits keeps
-one piece intact, so its substrings at shifted positions are looked up in an inverted index of segments, and a banded edit distance
-decides. Initials and logins then attach to the one core they can stand for; what could stand for several is left alone.
+(given name, surname) of a person or (kind, proper name) of an organisation. Variant cores meet through a pigeonhole segment join: k
+edits, k by the length of the part, leave one of its segments intact, so the substrings of a core at shifted positions are looked
+up in an inverted index of the segments of given name and surname, and a banded edit distance decides. Names written apart or
+the other way round, or without a middle name, meet by their letters. Initials and logins then attach to the one core they
+can stand for; what could stand for several is left alone.
 """
 
 from __future__ import annotations
@@ -25,10 +26,12 @@ NICKNAMES = {
     "charles": "chuck charlie", "christina": "chris tina chrissy", "christopher": "chris kit topher", "daniel": "dan danny", "daniela": "dani", "david": "dave", "deborah": "debbie deb",
     "dorothea": "thea dora dorothy", "edward": "ned ed eddie ted", "elizabeth": "liz beth lizzie betty eliza", "frederic": "fred freddy", "gabriela": "gabi gaby", "james": "jim jimmy", "jennifer": "jen jenny",
     "johanna": "hanna jo", "john": "jack johnny", "jonathan": "jon jonny", "joseph": "joe joey", "katherine": "kate kathy katie kat", "leonard": "leo lenny", "leonora": "nora leo", "margaret": "peggy maggie meg greta",
-    "marta": "martuska", "martin": "marty", "matthias": "matz matt", "matthew": "matt", "maximilian": "max", "michael": "mike mick", "nicolas": "nico nick", "nicholas": "nick", "patricia": "trish pat patty",
+    "marta": "martha", "martin": "marty", "muhammad": "mohamed mohammed muhammed mohammad mohamad", "matthias": "matz matt", "matthew": "matt", "maximilian": "max", "michael": "mike mick", "nicolas": "nico nick", "nicholas": "nick", "patricia": "trish pat patty",
     "philippa": "pippa", "rebecca": "becky becca", "richard": "dick rick", "robert": "bob rob bobby", "samantha": "sam", "samuel": "sam sammy", "stefan": "steff", "stephen": "steve", "theodore": "ted theo teddy",
     "thomas": "tom tommy", "victoria": "vicky vic tori", "wilhelmina": "mina willa", "william": "bill will billy", "zacharias": "zack zach",
 }
+#: Endings of short and pet forms, after the first letters of the name.
+DIMINUTIVES = ("ushka", "uschka", "uska", "usia", "inka", "inho", "inha", "chen", "ito", "ita", "ino", "ina", "ette", "ie", "y", "i", "ka")
 # Words of organisations and their short forms; legal forms; names that are nobody's.
 ORG_WORDS = {
     "labs": "labs", "lab": "labs", "laboratories": "labs", "laboratory": "labs", "foundation": "foundation", "fdn": "foundation", "found": "foundation", "institute": "institute", "inst": "institute",
@@ -53,7 +56,14 @@ def given_options(g: str) -> list[str]:
     """The given names that a folded given name may stand for."""
     if g in NICKNAMES:
         return [g]
-    return [k for k, v in NICKNAMES.items() if g in v.split()] or [g]
+    found = [k for k, v in NICKNAMES.items() if g in v.split()]
+    for ending in DIMINUTIVES if not found else ():
+        stem = g.removesuffix(ending)
+        if stem != g and len(stem) >= 4:
+            found = [k for k in NICKNAMES if k.startswith(stem)]
+            if found:
+                break
+    return found or [g]
 
 
 def parse(author: str | None) -> tuple[str, str | None, list[str] | None, str | None, str | None]:
@@ -81,7 +91,7 @@ def parse(author: str | None) -> tuple[str, str | None, list[str] | None, str |
         parts = [p for p in re.split(r"[-_.]", plain) if p]
         if len(parts) >= 2 and parts[-1] in ORG_WORDS:
             return ("org", ORG_WORDS[parts[-1]], None, "-".join(parts[:-1]), None)
-        if len(parts) == 2 and (parts[0] in NICKNAMES or parts[0] in _OWN) and len(parts[1]) > 2:
+        if len(parts) == 2 and (parts[0] in NICKNAMES or given_options(parts[0]) != [parts[0]]) and len(parts[1]) > 2:
             return ("person", parts[0], given_options(parts[0]), parts[1], None)
         return ("login", None, None, None, re.sub(r"[^a-z0-9]", "", plain))
     words = [w for w in re.split(r"[\s,]+", re.sub(r"(?<=\w)\.(?=\w)", ". ", plain)) if w]
@@ -117,64 +127,114 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("author"), batch.column("n"), *columns], names=["author", "n", "kind", "first", "options", "last", "fused"])
 
 
-def _one_edit(a: Column, b: Column) -> Column:
-    """At most one insertion, deletion, substitution or swap of neighbours: banded Levenshtein, then swaps."""
-    swap = F.exists(F.sequence(F.lit(1), F.length(a) - 1), lambda i: F.concat(a.substr(F.lit(1), i - 1), a.substr(i + 1, F.lit(1)), a.substr(i, F.lit(1)), a.substr(i + 2, F.length(a))) == b)
-    d = F.levenshtein(a, b, 2)
-    return (d == 1) | ((d == 2) & (F.length(a) == F.length(b)) & (F.length(a) > 1) & swap)
+def _swaps(a: Column) -> Column:
+    """All forms of ``a`` with two neighbouring letters swapped."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1))), lambda i: F.concat(a.substr(F.lit(1), i - 1), a.substr(i + 1, F.lit(1)), a.substr(i, F.lit(1)), a.substr(i + 2, F.length(a))))
 
 
-def _segments(name: Column, length: Column, shifts: tuple[int, ...], pieces: int = 3) -> Column:
-    """Array of (length, piece, text): the pieces of a name of ``length`` letters, read at shifted positions."""
-    items = []
-    for j in range(pieces):
-        start, stop = F.floor(length * j / pieces), F.floor(length * (j + 1) / pieces)
-        for d in shifts:
-            at = (start + 1 + d).cast("int")
-            items.append(F.when(at >= 1, F.struct(length.cast("int").alias("len"), F.lit(j).alias("piece"), name.substr(at, (stop - start).cast("int")).alias("seg"))))
-    return F.filter(F.array(*items), lambda x: x.isNotNull() & (F.length(x["seg"]) > 0))
+def _within(a: Column, b: Column, k: Column) -> Column:
+    """At most ``k`` (0, 1 or 2) insertions, deletions, substitutions or swaps of neighbours: banded Levenshtein, then one swap and the band again."""
+    d = F.levenshtein(a, b, 3)
+    swapped = F.exists(_swaps(a), lambda x: F.levenshtein(x, b, 1).between(0, k - 1))
+    return (a == b) | (d.between(1, k)) | ((k >= 1) & d.between(1, 3) & swapped)
 
 
-def _cut_forms(name: Column) -> Column:
-    """Array of the name and all forms with one letter less; names one edit or swap apart share one."""
-    less = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(name.substr(F.lit(1), i - 1), name.substr(i + 1, F.length(name))))
-    return F.array_distinct(F.concat(F.array(name), less))
+#: Edits by length of a name part: none below 3 letters, one, two from LONG letters.
+LONG = 9
+
+
+def _k(length: Column) -> Column:
+    return F.when(length < 3, 0).when(length < LONG, 1).otherwise(2)
+
+
+def _cut(name: Column, length: Column, j: Column, pieces: Column, shift: Column | int = 0) -> Column:
+    start, stop = F.floor(length * j / pieces), F.floor(length * (j + 1) / pieces)
+    return name.substr((start + 1 + shift).cast("int"), (stop - start).cast("int"))
+
+
+# Of 2 k + 1 segments k edits leave one intact, because a swap across a border spoils two.
+_PIECES = [(k, j) for k in (1, 2) for j in range(2 * k + 1)]
+_PROBES = [(d, k, j, shift) for d in range(-2, 3) for k, j in _PIECES if abs(d) <= k for shift in sorted({0, -d} if k == 1 else {*range(min(0, -d) - 1, max(0, -d) + 2)})]
+
+
+def _segments(name: Column) -> Column:
+    """What the index holds of a name: (length, piece, text) of its k + 1 (and k more) segments."""
+    size, known = F.length(name), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(j).alias("j")) for k, j in _PIECES])
+    return F.transform(F.filter(known, lambda c: c["k"] == _k(size)), lambda c: F.struct(size.alias("len"), c["j"].alias("j"), _cut(name, size, c["j"], 2 * c["k"] + 1).alias("seg")))
+
+
+def _shifted(name: Column) -> Column:
+    """What a name looks up: its substrings at the places, shifted by up to k letters, where names of similar length have their segments."""
+    size = F.length(name)
+    known = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(j).alias("j"), F.lit(shift).alias("shift")) for d, k, j, shift in _PROBES])
+    fits = F.filter(known, lambda c: (c["k"] == _k(size + c["d"])) & (F.floor((size + c["d"]) * c["j"] / (2 * c["k"] + 1)) + c["shift"] >= 0))
+    return F.array_distinct(F.transform(fits, lambda c: F.struct((size + c["d"]).alias("len"), c["j"].alias("j"), _cut(name, size + c["d"], c["j"], 2 * c["k"] + 1, c["shift"]).alias("seg"))))
+
+
+def _met(cores: DataFrame, mode: str) -> DataFrame:
+    """Candidate pairs of cores through the inverted index of segments: ``s``: equal given name and a segment of the surname; ``g``: the other way round;
+    ``both``: a segment of each. So no key is as frequent as a given name or a surname alone."""
+    side = {
+        "s": lambda of: F.transform(f"{of}_s", lambda x: F.xxhash64(F.lit("s"), "kind", "g", x)),
+        "g": lambda of: F.transform(f"{of}_g", lambda x: F.xxhash64(F.lit("g"), "kind", "s", x)),
+        "both": lambda of: F.flatten(F.transform(f"{of}_g", lambda x: F.transform(f"{of}_s", lambda y: F.xxhash64("kind", x, y)))),
+    }[mode]
+    index = cores.select(F.explode(F.array_distinct(side("held"))).alias("h"), F.col("id").alias("id2"))
+    probe = cores.select(F.explode(F.array_distinct(side("asked"))).alias("h"), "id")
+    return probe.join(index, "h").where("id <> id2").select("id", "id2").distinct()
+
+
+def _same_letters(cores: DataFrame) -> DataFrame:
+    """Pairs of cores of one name written apart: blanks or hyphens elsewhere (exact 2), the parts the other way round, or a middle name left out (1)."""
+    bare = lambda *c: F.regexp_replace(F.concat(*c), "[^\\p{L}\\p{N}]", "")
+    fused = cores.select("kind", "id", bare("g", "s").alias("f"))
+    turned = cores.select("kind", F.col("id").alias("id2"), bare("s", "g").alias("f"))
+    people = cores.where("kind = 'person'")
+    short = people.where(F.col("s").contains("-")).select("g", F.substring_index("s", "-", -1).alias("s"), "id")
+    pairs = fused.join(fused.withColumnRenamed("id", "id2"), ["kind", "f"]).where("id <> id2").select("id", "id2", F.lit(2).alias("exact"))
+    pairs = pairs.unionByName(fused.join(turned, ["kind", "f"]).where("id <> id2").select("id", "id2", F.lit(1).alias("exact")))
+    middle = short.join(people.select("g", "s", F.col("id").alias("id2")), ["g", "s"]).select("id", "id2", F.lit(1).alias("exact"))
+    both = pairs.unionByName(middle)
+    return both.unionByName(both.select(F.col("id2").alias("id"), F.col("id").alias("id2"), "exact"))
 
 
 def _misspelt(cores: DataFrame) -> DataFrame:
-    """(g, s, g2, s2): for cores that are one edit from a better supported core, that core.
+    """(kind, g, s, g2, s2): for cores that are variants of a better known core, that core.
 
-    Every core is looked up; ``support`` and ``n`` are compared with the neighbour's. A target has more spellings, or as many and more rows, so
-    there are no circles. ``weight`` counts what initials or a login say for a core as one spelling more.
+    All cores are looked up, whatever their frequency. What is compared is whether the weaker one of a pair could stand for itself: a core written in one way
+    only and backed by no initial or login, or clearly below its neighbour, is a variant; two cores that are each written in several ways are two
+    people. ``weight`` counts what initials or a login say for a core as one spelling more. The better known one has more spellings, then more rows, then
+    the smaller name, so there are no circles.
     """
-    known = cores.groupBy("g").agg(F.count("*").alias("surnames"))
     bearers = cores.groupBy("s").agg(F.count("*").alias("givens"))
-    cores = cut(cores.join(known, "g").join(bearers, "s").withColumn("weight", F.col("support") + F.col("backed")))
-    other = cores.select(*[F.col(c).alias(f"{c}2") for c in ("g", "s", "n", "support", "surnames", "givens", "weight", "kind")])
-    above = (F.col("support2") > F.col("support")) | ((F.col("support2") == F.col("support")) & (F.col("n2") > F.col("n")))
-    # Clearly below: fewer rows and a third of the ways of writing, or an eighth of the rows and half of the ways.
+    cores = cores.join(bearers, "s").withColumns({"weight": F.col("support") + F.col("backed"), "id": F.xxhash64("kind", "g", "s")})
+    keyed = cut(cores.select("id", "kind", "g", "s", *[F.transform(f(F.col(c)), lambda x: F.xxhash64(x)).alias(f"{n}_{c}") for n, f in (("held", _segments), ("asked", _shifted)) for c in ("g", "s")]))
+    cores = cut(cores)
+    met = _met(keyed, "s").unionByName(_met(keyed, "g")).unionByName(_met(keyed, "both")).withColumn("exact", F.lit(0))
+    met = met.unionByName(_same_letters(cores)).groupBy("id", "id2").agg(F.max("exact").alias("exact"))
+    other = cores.select(*[F.col(c).alias(f"{c}2") for c in ("id", "g", "s", "n", "support", "givens", "weight")])
+    pairs = met.join(cores, "id").join(other, "id2")
     below = ((F.col("weight") * 3 <= F.col("weight2")) & (F.col("n") < F.col("n2"))) | ((F.col("weight") * 2 <= F.col("weight2")) & (F.col("n") * 8 <= F.col("n2")))
-    # The surname is the intact piece: given names one edit apart, of which one is rare or no known name; short ones have many neighbours.
-    listed, nicks = list(NICKNAMES), [*NICKNAMES, *_OWN]
-    rare = (F.col("surnames") * 8 <= F.col("surnames2")) | (~F.col("g").isin(listed) & F.col("g2").isin(listed)) | (F.col("kind") == "org")
-    rare = rare & ((F.length("g") >= 4) | (below & ~F.col("g").isin(nicks)))
-    by_last = cores.join(other, (F.col("s") == F.col("s2")) & (F.col("kind") == F.col("kind2"))).where((F.col("g") != F.col("g2")) & above & rare).where(_one_edit(F.col("g"), F.col("g2")))
-    # The given name is intact: one of the surname's segments is, up to a shift.
-    index = other.where(F.length("s2") >= 5).select("*", F.explode(_segments(F.col("s2"), F.length("s2"), (0,))).alias("x")).select("*", "x.*")
-    size = F.length("s")
-    probes = F.flatten(F.array(*[_segments(F.col("s"), size + d, (-1, 0, 1)) for d in (-1, 0, 1)]))
-    probe = cores.where(F.length("s") >= 5).select("*", F.explode(F.array_distinct(probes)).alias("x")).select("*", "x.*")
-    met = probe.join(index, [F.col("g") == F.col("g2"), F.col("kind") == F.col("kind2"), probe["len"] == index["len"], probe["piece"] == index["piece"], probe["seg"] == index["seg"]])
-    by_first = met.where((F.col("s") != F.col("s2")) & above & ((F.col("weight") == 1) | below)).where(_one_edit(F.col("s"), F.col("s2")))
-    # Short surnames have no segments: all forms with one letter less are looked up. Many of them are real; a misspelt one has nearly no other bearer.
-    index = other.where(F.length("s2") <= 5).select("*", F.explode(_cut_forms(F.col("s2"))).alias("form2"))
-    probe = cores.where(F.length("s") <= 5).select("*", F.explode(_cut_forms(F.col("s"))).alias("form"))
-    met = probe.join(index, [F.col("g") == F.col("g2"), F.col("kind") == F.col("kind2"), F.col("form") == F.col("form2")]).where(F.least(F.length("s"), F.length("s2")) < 5)
-    alone = (F.col("givens") == 1) | (F.col("givens") * 8 <= F.col("givens2"))
-    by_short = met.where((F.col("s") != F.col("s2")) & above & below & alone).where(_one_edit(F.col("s"), F.col("s2")))
-    keep = ["kind", "g", "s", "n", "g2", "s2", "support2", "n2"]
-    found = by_last.select(*keep).unionByName(by_first.select(*keep)).unionByName(by_short.select(*keep)).distinct()
-    best = Window.partitionBy("kind", "g", "s").orderBy(F.desc("support2"), F.desc("n2"), "g2", "s2")
+    listed = [*NICKNAMES, *_OWN]
+    # An initial that fits both speaks for neither; of one surname, a given name that is no known one is a slip for one that is.
+    initial = (F.col("s") == F.col("s2")) & (F.substring("g", 1, 1) == F.substring("g2", 1, 1))
+    slip = (F.col("s") == F.col("s2")) & ~F.col("g").isin(listed) & F.col("g2").isin(listed) & (F.length("g") >= 4)
+    weak = (F.col("weight") == 1) | below | (initial & (F.col("support") == 1)) | slip
+    # Two names that both are known are two names, not one misspelt.
+    named = (F.col("g") != F.col("g2")) & F.col("g").isin(listed) & F.col("g2").isin(listed) & (F.col("kind") == "person")
+    kg, ks = _k(F.greatest(F.length("g"), F.length("g2"))), _k(F.greatest(F.length("s"), F.length("s2")))
+    edited = _within(F.col("g"), F.col("g2"), F.when((F.col("s") == F.col("s2")) | (kg == 0), kg).otherwise(1)) & _within(F.col("s"), F.col("s2"), F.when((F.col("g") == F.col("g2")) | (ks == 0), ks).otherwise(1))
+    # Short surnames and short given names have many real neighbours: a surname that others bear is real, and so is a given name of a few letters.
+    short = F.least(F.length("s"), F.length("s2")) < 5
+    real = short & (F.col("s") != F.col("s2")) & (F.col("givens") > 1)
+    brief = (F.col("g") != F.col("g2")) & (F.least(F.length("g"), F.length("g2")) < 4) & ~below & (F.col("kind") == "person")
+    near = cut(pairs.where((F.col("exact") > 0) | (edited & ~named & ~real & ~brief)).withColumn("weak", weak | (F.col("exact") == 2) | ((F.col("exact") == 1) & (F.col("support") == 1))))
+    # Between equals the one with more neighbours is the form that the others vary.
+    degree = near.groupBy("id").agg(F.count("*").alias("degree"))
+    near = near.join(degree, "id").join(degree.select(F.col("id").alias("id2"), F.col("degree").alias("degree2")), "id2", "left")
+    above = F.struct("support2", "weight2", "n2", F.coalesce("degree2", F.lit(0)), F.col("id2")) > F.struct("support", "weight", "n", "degree", F.col("id"))
+    found = near.where(above & F.col("weak"))
+    best = Window.partitionBy("kind", "g", "s").orderBy(F.desc("exact"), F.desc("support2"), F.desc("n2"), "g2", "s2")
     return found.withColumn("r", F.row_number().over(best)).where("r = 1").select("kind", "g", "s", "g2", "s2")
 
 
@@ -216,9 +276,13 @@ def entities(df: DataFrame, author: str = "author") -> DataFrame:
     backed = own.join(said, "fused", "left_semi").select("kind", "g", "s").distinct().withColumn("backed", F.lit(1))
     cores = cores.join(backed, ["kind", "g", "s"], "left").withColumn("backed", F.coalesce("backed", F.lit(0)))
     fixed = cut(_misspelt(cores))
-    # A target may itself be misspelt: one more step.
-    onward = fixed.select("kind", F.col("g").alias("g2"), F.col("s").alias("s2"), F.col("g2").alias("g3"), F.col("s2").alias("s3"))
-    fixed = fixed.join(onward, ["kind", "g2", "s2"], "left").select("kind", "g", "s", F.coalesce("g3", "g2").alias("g2"), F.coalesce("s3", "s2").alias("s2"))
+    # A target may itself be a variant: pointers double until none moves.
+    while True:
+        onward = fixed.select("kind", F.col("g").alias("g2"), F.col("s").alias("s2"), F.col("g2").alias("g3"), F.col("s2").alias("s3"))
+        joined = cut(fixed.join(onward, ["kind", "g2", "s2"], "left").select("kind", "g", "s", F.coalesce("g3", "g2").alias("g2"), F.coalesce("s3", "s2").alias("s2"), F.col("g3").isNotNull().alias("moved")))
+        fixed = joined.drop("moved")
+        if not joined.where("moved").limit(1).count():
+            break
     linked = full.join(fixed, ["kind", "g", "s"], "left").select("author", "kind", F.coalesce("g2", "g").alias("g"), F.coalesce("s2", "s").alias("s"))
     linked = cut(linked)
     heads = linked.select("kind", "g", "s").distinct()

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from loomdex.llm.names import entities, parse, variant_pairs
@@ -48,6 +50,55 @@ def test_segments_find_every_single_edit(spark):
     assert {links[f"Marta {e.title()}"] for e in edits} == {f"person:marta:{name}"}
 
 
+UNSEEN = [
+    ("Zhang Wei", "Wei Zhang"), ("Jean-Luc Moreau", "Jean Luc Moreau"), ("Mary Ann Smith", "Mary Smith"), ("Anna Wong", "Anna Wnog"), ("Sebastian Petrov", "Sebastain Petrof"), ("Mohamed Salehi", "Muhammad Salehi"),
+    ("Northwind Consortium", "Northwnd Consortium"), ("Oluwaseun Adebayo", "Oluwasuen Adebayo"), ("Fitzgerald Marchetti", "Fitzgerald Marcheti"), ("Bergstrom, Ingrid", "Ingrid Bergstorm"), ("Katarzyna Wisniewska", "Katarzyna Wisnewskaa"), ("Rajesh Subramanian", "Rajehs Subramanian"),
+]
+
+
+@pytest.mark.parametrize("times", [1, 3])
+def test_unseen_pairs(spark, times):
+    """Spellings that each occur once, or one of them more often, are linked; no pair is linked to another."""
+    rows = [(a,) for p in UNSEEN for a in (*p[:1] * times, p[1])]
+    links = {r.author: r.entity for r in entities(spark.createDataFrame(rows, "author string")).collect()}
+    assert [p for p in UNSEEN if links[p[0]] != links[p[1]]] == []
+    assert len({links[p[0]] for p in UNSEEN}) == len(UNSEEN)
+
+
+def heldout(seed: int, people: int = 150) -> tuple[list[str], dict[str, int]]:
+    """Spellings of invented people by a seeded generator, none from a test table: the plain name, and two of: a typo in either part, a swap, the parts turned, an initial, no hyphen."""
+    rnd = random.Random(seed)
+    word = lambda n: "".join(rnd.choice("bcdfghklmnprstvz") + rnd.choice("aeiou") for _ in range(n))
+
+    def typo(w: str) -> str:
+        i = rnd.randrange(1, len(w) - 1)
+        return rnd.choice([w[:i] + w[i + 1 :], w[:i] + rnd.choice("aeiourst") + w[i:], w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + rnd.choice("xyzq") + w[i + 1 :]])
+
+    owner: dict[str, int] = {}
+    for who in range(people):
+        g, s = word(rnd.randint(2, 4)).title(), word(rnd.randint(3, 5)).title()
+        made = [f"{g} {s}", *rnd.sample([f"{g} {typo(s.lower()).title()}", f"{typo(g.lower()).title()} {s}", f"{s}, {g}", f"{s} {g}", f"{g[0]}. {s}", f"{g}-{s}", f"{g.lower()}{s.lower()}", f"{g} M. {s}", f"{g} Maria {s}"], 2)]
+        for a in made:
+            owner.setdefault(a, who)
+    return list(owner), owner
+
+
+def test_heldout(spark):
+    """Recall and precision of pairs on held-out invented people, every spelling once."""
+    rows, owner = heldout(11)
+    got = {(r.author_a, r.author_b) for r in variant_pairs(entities(spark.createDataFrame([(a,) for a in rows], "author string"))).collect()}
+    true = {(a, b) for a in rows for b in rows if owner[a] == owner[b] and a.encode() < b.encode()}
+    both = len(got & true)
+    print("recall", both / len(true), "precision", both / len(got), sorted(true - got)[:20], sorted(got - true)[:20])
+    assert both / len(true) >= 0.9 and both / len(got) >= 0.9
+
+
+def test_hot_surname(spark):
+    """A surname that a third of all spellings hold, and names with neighbours that are each written in several ways."""
+    rows = [(f"{chr(97 + i % 26)}{chr(97 + i // 26)}kelomunda Smith",) for i in range(200)] + [(f"Person{i:03d} Other{i:03d}x",) for i in range(50)]
+    assert entities(spark.createDataFrame(rows, "author string")).count() == len(set(rows))
+
+
 def test_empty(spark):
     assert entities(spark.createDataFrame([], "author string")).count() == 0
 
