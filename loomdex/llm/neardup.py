@@ -5,7 +5,8 @@
 2. Frequencies come back to the blocks. A document's *prefix* under the order (frequency, hash) must share a shingle with
    the prefix of every document at or above the threshold; shingles of frequency 1 lead the order and match nothing, so
    only the few rare shared ones remain.
-3. Documents meeting in a prefix shingle form size-banded tiles: sorted by size, compared only while sizes allow the threshold.
+3. Documents meeting in a prefix shingle form size-banded tiles: sorted by size, compared only while sizes, and the places of the shingle
+   in both prefixes, allow the threshold. The documents of a frequent shingle are dealt to parts, and each pair of parts is a tile elsewhere.
    Each carries a hashed bitmap of its set, whose bit counts bound the overlap from above; pairs bounded below the
    threshold are never emitted.
 4. The rest is decided by exact intersection of the sorted hash arrays.
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.shingles import Shingler, class_of
+from loomdex.llm.shingles import Shingler, _mix, class_of
 from loomdex.session import cut
 
 _MESSAGE = "bucket int, kind int, block long, m long, u binary, c binary, d binary, e binary"
@@ -34,8 +35,36 @@ _ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("block", pa.i
 _SHARES, _DOCS, _FREQUENT = 0, 1, 2
 #: A block closes at this many shingles or documents; the size of one task's arrays, not a cap on anything.
 BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 50_000
-#: Copies of one text up to this number are listed as all their pairs, larger classes as a star around their first document.
-FULL_CLASS = 256
+#: A prefix shingle of more documents than this is split into tiles of about this many.
+TILE_DOCS = 4096
+
+
+def _rank(df: np.ndarray) -> np.ndarray:
+    """Document frequencies in 16 bits: exact below 2^15, then logarithmic. Any order that is the same everywhere keeps prefixes complete."""
+    return np.where(df < 2**15, df, 2**15 + np.floor(256 * np.log2(np.maximum(df, 2**15) / 2**15))).astype("<u2")
+
+
+def _df(rank: np.ndarray) -> np.ndarray:
+    return np.where(rank < 2**15, rank, 2.0**15 * 2.0 ** ((rank.astype(np.float64) - 2**15) / 256))
+
+
+def _tile_keys(u: np.ndarray, df: np.ndarray, classes: np.ndarray, tile_docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entry, key): the runs that each prefix entry joins. The low two bits of a key say which side of a tile the entry is on, 0 for runs compared with themselves.
+
+    The documents of a frequent shingle are dealt to parts by class, and each pair of parts is a tile of its own, so no task walks the run of a
+    shingle that a third of all texts share.
+    """
+    parts = np.maximum(1, np.ceil(_df(df) / tile_docs)).astype(np.int64)
+    entry = np.repeat(np.arange(len(u)), parts)
+    n = parts[entry]
+    q = np.arange(len(entry)) - np.repeat(np.cumsum(parts) - parts, parts)
+    p = (_mix(classes[entry]) % n.astype(np.uint64)).astype(np.int64)
+    lo, hi = np.minimum(p, q).astype(np.uint64), np.maximum(p, q).astype(np.uint64)
+    side = np.where(p == q, 0, np.where(p < q, 1, 2)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        split = _mix(u[entry] + _mix(lo * np.uint64(2**32) + hi + np.uint64(1)))
+    key = np.where(n > 1, split, u[entry])
+    return entry, (key & ~np.uint64(3)) | side
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -118,8 +147,7 @@ def _blocks(width: int, min_words: int, buckets: int) -> Callable[[Iterator[pa.R
 
 
 def _frequencies(table: pa.Table) -> pa.Table:
-    """One hash range: sums the counts of each shingle and answers each block with those of two documents or more. Frequencies
-    beyond 16 bits count as equal: any order that is the same everywhere keeps the prefixes complete."""
+    """One hash range: sums the counts of each shingle and answers each block with those of two documents or more."""
     rows = list(zip(*(table.column(c).to_pylist() for c in _COLUMNS)))
     shares = [r for r in rows if r[1] == _SHARES]
     out = [r for r in rows if r[1] != _SHARES]
@@ -136,11 +164,11 @@ def _frequencies(table: pa.Table) -> pa.Table:
             keep = df >= 2
             each = np.repeat(keep, np.where(often, 0, c))
             doc = np.frombuffer(r[6], np.uint16)[each]
-            out.append((r[0], _SHARES, r[2], 0, _planes(u[keep]), np.where(often, 0, c)[keep].astype("<u2").tobytes(), doc.tobytes(), np.minimum(df[keep], 2**16 - 1).astype("<u2").tobytes()))
+            out.append((r[0], _SHARES, r[2], 0, _planes(u[keep]), np.where(often, 0, c)[keep].astype("<u2").tobytes(), doc.tobytes(), _rank(df[keep]).tobytes()))
     return pa.Table.from_batches([_rows(out)])
 
 
-def _prefixes(threshold: float, buckets: int) -> Callable[[pa.Table], pa.Table]:
+def _prefixes(threshold: float, buckets: int, tile_docs: int) -> Callable[[pa.Table], pa.Table]:
     edges = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
 
     def run(table: pa.Table) -> pa.Table:
@@ -175,14 +203,18 @@ def _prefixes(threshold: float, buckets: int) -> Callable[[pa.Table], pa.Table]:
         if us and sum(map(len, us)):
             u, d, df = np.concatenate(us), np.concatenate(ds).astype(np.int64), np.concatenate(dfs)
             order = np.lexsort((u, df, d))
-            u, d = u[order], d[order]
+            u, d, df = u[order], d[order], df[order]
             shared = np.bincount(d, minlength=len(n))
             begin = np.concatenate(([0], np.cumsum(shared)))[:-1]
             length = n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-            use = np.arange(len(u)) - begin[d] < (length - (n - shared))[d]
-            u, d = u[use], d[use]
+            # Places count the shingles that nobody shares, which lead the order. Beyond 16 bits a place is understated, which loses nothing.
+            place = np.arange(len(u)) - begin[d] + (n - shared)[d]
+            use = place < length[d]
+            u, d, df, place = u[use], d[use], df[use], np.minimum(place[use], 2**16 - 1)
+            entry, u = _tile_keys(u, df, classes[d], tile_docs)
+            d, place = d[entry], place[entry]
             order = np.argsort(u, kind="stable")
-            u, d = u[order], d[order]
+            u, d, place = u[order], d[order], place[order]
             cuts = np.concatenate(([0], np.searchsorted(u, edges), [len(u)]))
             for b in range(buckets):
                 lo, hi = cuts[b], cuts[b + 1]
@@ -190,7 +222,7 @@ def _prefixes(threshold: float, buckets: int) -> Callable[[pa.Table], pa.Table]:
                     docs, ref = np.unique(d[lo:hi], return_inverse=True)
                     bits = np.concatenate([maps[at[i] : at[i + 1]] for i in docs])
                     who = np.concatenate([key[docs].view("<u8"), n[docs].view("<u8"), classes[docs]])
-                    out.append((b, _SHARES, everyone[2], len(docs), _planes(u[lo:hi]), ref.astype("<u2").tobytes(), who.tobytes(), bits.tobytes()))
+                    out.append((b, _SHARES, everyone[2], len(docs), _planes(u[lo:hi]), np.concatenate([ref, place[lo:hi]]).astype("<u2").tobytes(), who.tobytes(), bits.tobytes()))
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -219,14 +251,16 @@ def _tiles(threshold: float) -> Callable[[pa.Table], pa.Table]:
 
     def run(table: pa.Table) -> pa.Table:
         """One hash range: pairs that share a prefix shingle, whose sizes fit and whose bitmap bound allows the threshold."""
-        us, refs, whos, words, base = [], [], [], [], 0
+        us, refs, places, whos, words, base = [], [], [], [], [], 0
         for m, u, c, d, e in zip(*(table.column(x).to_pylist() for x in ("m", "u", "c", "d", "e"))):
             us.append(_unplanes(u))
-            refs.append(np.frombuffer(c, "<u2").astype(np.int64) + base)
+            ref, place = np.frombuffer(c, "<u2").astype(np.int64).reshape(2, -1)
+            refs.append(ref + base)
+            places.append(place)
             whos.append(np.frombuffer(d, "<u8").reshape(3, m))
             words.append(np.frombuffer(e, "<u8"))
             base += m
-        u, ref, who = np.concatenate(us), np.concatenate(refs), np.concatenate(whos, axis=1)
+        u, ref, place, who = np.concatenate(us), np.concatenate(refs), np.concatenate(places), np.concatenate(whos, axis=1)
         key, n, classes, stream = who[0].view(np.int64), who[1].astype(np.int64), who[2], np.concatenate(words)
         # Copies: every message of a class names the same shingles, so its smallest key is the same everywhere.
         order = np.lexsort((key, classes))
@@ -241,18 +275,24 @@ def _tiles(threshold: float) -> Callable[[pa.Table], pa.Table]:
             of = np.flatnonzero(band == w)
             slot[of] = np.arange(len(of))
             bits[w] = stream[at[of][:, None] + np.arange(w // 64)]
-        order = np.lexsort((ref, n[ref], u))
-        u, ref = u[order], ref[order]
+        run_of, side = u >> np.uint64(2), u & np.uint64(3)
+        order = np.lexsort((ref, n[ref], run_of))
+        u, side, ref, place = run_of[order], side[order], ref[order], place[order]
         once = np.concatenate(([True], (u[1:] != u[:-1]) | (ref[1:] != ref[:-1])))
-        u, ref = u[once], ref[once]
+        u, side, ref, place = u[once], side[once], ref[once], place[once]
         size, found, held = n[ref], [], 0
+        # Texts whose first common shingle stands here share at most what follows it, so the partner's size is bounded.
+        most = (size - place) * (1 + threshold) / threshold - size + 1e-9
         some = lambda p: np.unique(np.concatenate(p)) if p else np.empty(0, np.int64)
         active, step = np.arange(len(u)), 1
         while len(active):
             active = active[active + step < len(u)]
             other = active + step
-            fits = (u[other] == u[active]) & (size[active] >= threshold * size[other] - 1e-9)
+            # Sizes grow along a run: what is too large once stays too large.
+            fits = (u[other] == u[active]) & (size[other] <= np.minimum(most[active], size[active] / threshold + 1e-9))
             active, other = active[fits], other[fits]
+            apart = (size[active] <= most[other]) & ((side[active] != side[other]) | (side[active] == 0))
+            walking, active, other = active, active[apart], other[apart]
             a, b = np.minimum(ref[active], ref[other]), np.maximum(ref[active], ref[other])
             if len(a):
                 keep = _bounded(a, b, n, bits, slot, band, threshold)
@@ -261,7 +301,7 @@ def _tiles(threshold: float) -> Callable[[pa.Table], pa.Table]:
                 if held > 4_000_000:
                     found = [some(found)]
                     held = 0
-            step += 1
+            active, step = walking, step + 1
         pair = some(found)
         a, b = key[pair // len(n)], key[pair % len(n)]
         return pa.table([np.minimum(a, b), np.maximum(a, b)], schema=schema)
@@ -300,7 +340,7 @@ def _intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def similar_classes(
     df: DataFrame, key: str = "doc_id", title: str = "title", body: str = "body", *, width: int = 5, threshold: float = 0.8, min_words: int = 30,
-    broadcast_keys: int = 500_000,
+    broadcast_keys: int = 500_000, tile_docs: int = TILE_DOCS,
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, members). pairs: (a, b, similarity) of class representatives, a < b, similarity = shared / all distinct
     shingles >= ``threshold``. members: (k, rep) for every text of at least ``min_words`` words; texts with equal shingle sets
@@ -315,10 +355,12 @@ def similar_classes(
     spark = df.sparkSession
     # Hash ranges in proportion to the text: about 3 MB of text, or half a million shingles, each.
     buckets = 2 ** max(3, math.ceil(math.log2(chars / 3e6 + 1)))
-    asked = texts.mapInArrow(_blocks(width, min_words, buckets), _MESSAGE)
-    answered = asked.groupBy("bucket").applyInArrow(_frequencies, _MESSAGE)
-    packed = cut(answered.groupBy("block").applyInArrow(_prefixes(threshold, max(1, buckets // 16)), _MESSAGE))
-    met = packed.where(f"kind = {_SHARES}").groupBy("bucket").applyInArrow(_tiles(threshold), "a long, b long")
+    # As many tasks as the text asks for, whatever the session's number of shuffle partitions, so that none grows with the collection.
+    tasks = max(spark.sparkContext.defaultParallelism, buckets // 4)
+    asked = texts.mapInArrow(_blocks(width, min_words, buckets), _MESSAGE).repartition(tasks, "bucket")
+    answered = asked.groupBy("bucket").applyInArrow(_frequencies, _MESSAGE).repartition(tasks, "block")
+    packed = cut(answered.groupBy("block").applyInArrow(_prefixes(threshold, max(1, buckets // 16), tile_docs), _MESSAGE))
+    met = packed.where(f"kind = {_SHARES}").repartition(max(spark.sparkContext.defaultParallelism, buckets // 16), "bucket").groupBy("bucket").applyInArrow(_tiles(threshold), "a long, b long")
     met = cut(met.distinct())
     needed = met.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     # The few texts in surviving pairs are read again; their keys are broadcast only while they are few.
@@ -333,13 +375,15 @@ def similar_classes(
     return pairs, members
 
 
-def similar_pairs(df: DataFrame, key: str = "doc_id", title: str = "title", body: str = "body", **options) -> DataFrame:
-    """(a, b, similarity): pairs of texts, a < b. Classes of up to FULL_CLASS copies are listed with all their pairs; a larger
-    class as pairs of its first text with each other one, and its links to other texts by that first text alone."""
+def similar_pairs(df: DataFrame, key: str = "doc_id", title: str = "title", body: str = "body", *, full_class: int | None = 256, **options) -> DataFrame:
+    """(a, b, similarity): pairs of texts, a < b. Classes of up to ``full_class`` copies are listed with all their pairs; a larger class as pairs of its first
+    text with each other one, and its links to other texts by that first text alone, so that a class of a third of all rows gives no quadratic
+    output. None lists every pair of every class."""
     pairs, members = similar_classes(df, key, title, body, **options)
     grown = members.groupBy("rep").agg(F.count("*").alias("copies")).where("copies > 1")
     of = cut(members.join(grown, "rep"))
-    small, large = of.where(F.col("copies") <= FULL_CLASS), of.where(F.col("copies") > FULL_CLASS)
+    is_small = F.lit(True) if full_class is None else F.col("copies") <= full_class
+    small, large = of.where(is_small), of.where(~is_small)
     one = F.lit(1.0).alias("similarity")
     within = small.alias("x").join(small.alias("y"), "rep").where("x.k < y.k").select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), one)
     star = large.where("k > rep").select(F.col("rep").alias("a"), F.col("k").alias("b"), one)

@@ -5,7 +5,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomdex.llm import neardup
 from loomdex.llm.neardup import linked_classes, similar_classes, similar_pairs
 from loomdex.llm.shingles import Shingler
 
@@ -56,12 +55,13 @@ def test_complete(spark, width, threshold):
         assert r.n_links == len(near)
 
 
-def test_many_blocks_and_stars(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "FULL_CLASS", 5)
+def test_many_blocks_and_stars(spark):
     rows = corpus(2)
     df = spark.createDataFrame(rows, "doc_id long, title string, body string").repartition(7)
     sets, want = brute(rows, 3, 0.5)
-    got = {(r.a, r.b) for r in similar_pairs(df, width=3, threshold=0.5, broadcast_keys=0).collect()}
+    full = {(r.a, r.b) for r in similar_pairs(df, width=3, threshold=0.5, full_class=None, tile_docs=3).collect()}
+    assert full == set(want)
+    got = {(r.a, r.b) for r in similar_pairs(df, width=3, threshold=0.5, full_class=5, broadcast_keys=0).collect()}
     assert got <= set(want)
     linked = {}
     for a, b in sorted(got):
@@ -87,3 +87,14 @@ def test_long_text(spark):
     rows = [(1, None, " ".join(words)), (2, None, " ".join(words[:40_000])), (3, None, " ".join(words[25_000:]))]
     got = {(r.a, r.b) for r in similar_pairs(spark.createDataFrame(rows, "doc_id long, title string, body string"), width=3, threshold=0.5).collect()}
     assert got == {(1, 2), (1, 3)}
+
+
+def test_template(spark):
+    """Thousands of texts that share a template below the threshold meet in its shingles, and are not compared one by one."""
+    rnd = random.Random(4)
+    common = [f"c{i}" for i in range(60)]
+    rows = [(i, None, " ".join(common + [f"o{rnd.randrange(10**9)}" for _ in range(42)])) for i in range(4000)]
+    rows += [(10_000 + i, None, rows[i][2] + " more") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, title string, body string").repartition(4)
+    got = {(r.a, r.b) for r in similar_pairs(df, width=3, threshold=0.5, tile_docs=500).collect()}
+    assert got == {(i, 10_000 + i) for i in range(5)}
