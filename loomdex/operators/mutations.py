@@ -20,16 +20,24 @@ def fold_batch(batch: DataFrame, key: str, order: str) -> DataFrame:
     return batch.groupBy(key).agg(F.max_by(F.struct(*[c for c in batch.columns if c != key]), F.struct(order, F.to_json(F.struct(*batch.columns)))).alias("r")).select(key, "r.*")
 
 
-def upsert_documents(stored: DataFrame, batch: DataFrame, change_log: DataFrame, at: str, *, check_keys: bool = True) -> tuple[DataFrame, DataFrame]:
+def check_natural_keys(stored: DataFrame, batch: DataFrame) -> None:
+    """Raises DuplicateKeyError if a natural key of the batch belongs to two documents. Of the stored rows only those with a key of the batch are compared."""
+    key = list(KEPT[1:])
+    new = batch.select("id", *key).where("source_repo is not null").distinct()
+    every = stored.select("id", *key).join(new.select(*key).distinct(), key, "left_semi").select("id", *key).unionByName(new)
+    if every.groupBy(*key).agg(F.count_distinct("id").alias("n")).where("n > 1").limit(1).count():
+        raise DuplicateKeyError("a natural key belongs to two documents")
+
+
+def upsert_documents(stored: DataFrame, batch: DataFrame, change_log: DataFrame | None, at: str, *, check_keys: bool = True, start: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, change_log) after the batch: the last row per id wins, creation time and natural key of a stored document stay, ``seq`` is the number
     of its new log entry (the caller's is ignored). The log grows by one ``insert`` or ``update`` entry per row of the batch, in (batch order, id)
-    order. ``batch`` has the document columns and ``batch_pos``. Raises DuplicateKeyError before anything is written."""
+    order. ``batch`` has the document columns and ``batch_pos``. Without ``change_log`` only the new entries come back, numbered on from ``start``. Raises DuplicateKeyError before anything is written."""
     columns = stored.columns
     if check_keys:
-        every = stored.select("id", *KEPT[1:]).unionByName(batch.select("id", *KEPT[1:])).where("source_repo is not null").distinct()
-        if every.groupBy(*KEPT[1:]).agg(F.count_distinct("id").alias("n")).where("n > 1").limit(1).count():
-            raise DuplicateKeyError("a natural key belongs to two documents")
-    start = change_log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+        check_natural_keys(stored, batch)
+    if start is None:
+        start = change_log.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
     known = stored.select("id", F.lit(True).alias("known"))
     entries = batch.select("id", "batch_pos").join(known, "id", "left")
     first = F.row_number().over(Window.partitionBy("id").orderBy("batch_pos"))
@@ -39,13 +47,14 @@ def upsert_documents(stored: DataFrame, batch: DataFrame, change_log: DataFrame,
     last = fold_batch(batch, "id", "batch_pos").withColumn("seq", (F.lit(start) + F.col("batch_pos")).cast("bigint")).select(*columns)
     old = stored.select("id", *[F.col(c).alias(f"_{c}") for c in KEPT])
     merged = last.join(old, "id", "left").select(*[F.when(F.col("_source_id").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in KEPT else F.col(c) for c in columns])
-    return stored.join(last.select("id"), "id", "left_anti").unionByName(merged), change_log.unionByName(log)
+    return stored.join(last.select("id"), "id", "left_anti").unionByName(merged), log if change_log is None else change_log.unionByName(log)
 
 
-def append_references(refs: DataFrame, new: DataFrame, *, dedupe: bool = True) -> DataFrame:
+def append_references(refs: DataFrame, new: DataFrame, *, dedupe: bool = True, start: int | None = None) -> DataFrame:
     """``refs`` with new edges numbered on from the largest id; equal edges are stored once unless ``dedupe`` is off."""
     columns = ["from_doc_id", "to_doc_id", "ref_type", "to_external", "context"]
-    start = refs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    if start is None:
+        start = refs.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     rows = new.select(*columns)
     if dedupe:
         rows = rows.distinct()

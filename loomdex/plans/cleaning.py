@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.operators.hierarchy import nested_sets
+from loomdex.operators.hierarchy import ancestors, descendants, nested_sets
 from loomdex.operators.orphans import orphan_references, orphan_report
 from loomdex.operators.timestamps import normalise
 from loomdex.session import read_table, spread
@@ -13,13 +13,13 @@ from loomdex.session import read_table, spread
 _CANONICAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\+00:00$"
 
 
-def _times(spark: SparkSession, sf: str) -> DataFrame:
+def _times(spark: SparkSession, sf: str, zones: DataFrame | None = None) -> DataFrame:
     parts = [("documents", "doc_id", "created_at", "source"), ("parsed_email", "mail_id", "date", "list_name"), ("parsed_message", "msg_num", "date", "list_name")]
     rows = None
     for table, key, value, source in parts:
         one = read_table(spark, sf, table, key, value, source).select(F.lit(table).alias("src_table"), F.col(key).alias("src_key"), F.col(value).alias("value"), F.col(source).alias("feed"))
         rows = one if rows is None else rows.unionByName(one)
-    return normalise(spread(rows), "value", "feed", read_table(spark, sf, "source_zones"))
+    return normalise(spread(rows), "value", "feed", read_table(spark, sf, "source_zones") if zones is None else zones)
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -37,7 +37,7 @@ def _trees(spark: SparkSession, sf: str, **options) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_table(spark, sf, "documents", "doc_id", "parent_id").where("parent_id is not null").select("doc_id")
-    return _trees(spark, sf).join(rows, "doc_id").select("doc_id", F.col("root").alias("root_doc_id"), "depth")
+    return _trees(spark, sf, ranges=False).join(rows, "doc_id").select("doc_id", F.col("root").alias("root_doc_id"), "depth")
 
 
 def p2_nested_sets(spark: SparkSession, sf: str) -> DataFrame:
@@ -45,6 +45,28 @@ def p2_nested_sets(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "root", "depth", "size", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"))
 
 
+def _hundredths(spark: SparkSession, sf: str) -> DataFrame:
+    """The stated set of nodes that are asked for: keys divisible by 100, against all rows."""
+    return read_table(spark, sf, "documents", "doc_id").where("doc_id % 100 = 0")
+
+
+def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    return descendants(_trees(spark, sf), _hundredths(spark, sf)).select("ancestor", "doc_id")
+
+
+def p2_ancestors(spark: SparkSession, sf: str) -> DataFrame:
+    return ancestors(_trees(spark, sf), _hundredths(spark, sf)).select("doc_id", "ancestor")
+
+
+def p1_inferred(spark: SparkSession, sf: str) -> DataFrame:
+    """Timestamps with the feeds' order of day and month withheld: what expectation-maximisation decides by itself, and how often it agrees with the stated order."""
+    zones = read_table(spark, sf, "source_zones")
+    stated = _times(spark, sf).select("src_table", "src_key", "feed", F.col("utc_us").alias("stated_us"))
+    alone = _times(spark, sf, zones.withColumn("date_order", F.lit(None).cast("string"))).select("src_table", "src_key", F.col("utc_us").alias("inferred_us"), F.col("status").alias("inferred"))
+    both = stated.join(alone, ["src_table", "src_key"])
+    return both.groupBy("feed", "inferred").agg(F.count("*").alias("n_values"), F.count_if(F.col("stated_us").eqNullSafe(F.col("inferred_us"))).alias("n_agree"))
+
+
 def _references(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_references(
         read_table(spark, sf, "documents", "doc_id", "id", "parent_id", "source_type", "source_id"),
@@ -63,7 +85,7 @@ def p6_report(spark: SparkSession, sf: str) -> DataFrame:
     return orphan_report(_references(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_nested_sets, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p1_inferred, p2_found, p2_nested_sets, p2_descendants, p2_ancestors, p6_found, p6_report)}
 
 _WALK = """
 WITH RECURSIVE own AS (SELECT id, min(doc_id) AS p FROM documents GROUP BY id),
@@ -102,6 +124,8 @@ rows AS (SELECT k.*, c.kind, i.t AS ft, CASE
 ORACLE = {
     "p2_found": _WALK + "SELECT e.k AS doc_id, e.root AS root_doc_id, e.depth FROM every e JOIN documents d ON d.doc_id = e.k WHERE d.parent_id IS NOT NULL",
     "p2_nested_sets": _WALK + "SELECT e.k AS doc_id, e.root, e.depth, s.size, e.path FROM every e LEFT JOIN sizes s ON s.k = e.k",
+    "p2_descendants": _WALK + "SELECT a.k AS ancestor, b.k AS doc_id FROM down a JOIN down b ON b.root = a.root AND starts_with(b.path, a.path || '/') WHERE a.k % 100 = 0",
+    "p2_ancestors": _WALK + "SELECT b.k AS doc_id, a.k AS ancestor FROM down a JOIN down b ON b.root = a.root AND starts_with(b.path, a.path || '/') WHERE b.k % 100 = 0",
     "p6_found": _REFS + "SELECT src_table, src_field, src_key FROM rows WHERE state IN ('gone', 'late')",
     "p6_report": _REFS + """SELECT src_table, src_field, strftime(ft, '%Y-%m') AS period, count(*) AS n_refs, count(*) FILTER (state = 'gone' AND NOT logged) AS n_missing,
       count(*) FILTER (state = 'gone' AND logged) AS n_deleted, count(*) FILTER (state = 'late') AS n_late FROM rows WHERE state <> 'none' GROUP BY ALL""",

@@ -11,9 +11,9 @@ from loomdex.operators import metrics as M
 from loomdex.operators import mutations as U
 from loomdex.operators.enrich import VOCABULARY, extract_references, resolve_references, tag_concepts, vocabulary
 from loomdex.operators.search import SearchParams, build_index, search
-from loomdex.schema import document_url, make_id, parse_instant
-from loomdex.session import read_table, spread
-from loomdex.streaming.ingest import minute_counts_stream
+from loomdex.schema import CHANGE_LOG, DOCUMENTS, REFS, document_url, make_id, parse_instant
+from loomdex.session import checkpoint_dir, read_table, spread
+from loomdex.streaming.ingest import EpochStore, ingest_batch, minute_counts_stream
 
 _DOCS = ("id", "source_type", "source_repo", "source_id", "title", "body", "author", "author_id", "created_at", "updated_at", "parent_id", "metadata", "seq")
 QUERIES: dict = {}
@@ -322,20 +322,41 @@ def upsert_fold(spark, sf):
     return U.fold_batch(read_table(spark, sf, "change_log", "doc_id", "change_type", "seq"), "doc_id", "seq").select("doc_id", "change_type", "seq")
 
 
-@_query("""WITH b AS (SELECT *, row_number() OVER (ORDER BY doc_id) AS pos FROM documents WHERE source_repo = 'emberd/emberd'), s AS (SELECT id FROM documents WHERE source_type = 'github_issue')
+@_query("""WITH b AS (SELECT *, doc_id AS pos FROM documents), s AS (SELECT id FROM documents WHERE source_type = 'github_issue')
   SELECT b.id, (SELECT max(seq) FROM change_log) + pos AS seq, CASE WHEN s.id IS NULL THEN 'insert' ELSE 'update' END AS change_type FROM b LEFT JOIN s ON s.id = b.id""")
 def change_log_seq(spark, sf):
-    """Stored issues, then a batch of one repository's records: the new log entries, and that the stored rows carry their numbers."""
+    """Stored issues, then a batch of all records: the new log entries, and that the stored rows carry their numbers."""
     d = docs(spark, sf)
-    batch = read_table(spark, sf, "documents", "doc_id", "source_repo", "id").where("source_repo = 'emberd/emberd'")
-    # The batch comes in pages, which number their rows; here the number is the rank by key, counted without a global sort.
-    ranks = batch.select("id", "doc_id").orderBy("doc_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1))
-    batch = spark.createDataFrame(ranks, "id string, batch_pos long").join(d, "id")
+    # The batch comes in pages, which number their rows; here the row number is the key.
+    numbers = read_table(spark, sf, "documents", "doc_id", "id").select("id", F.col("doc_id").alias("batch_pos"))
+    batch = d.join(numbers, "id")
     stored, log = U.upsert_documents(d.where("source_type = 'github_issue'"), batch, read_table(spark, sf, "change_log"), "2025-12-01 00:00:00+00:00")
     new = log.select("seq", F.col("doc_id").alias("id"), "change_type").join(read_table(spark, sf, "change_log", "seq"), "seq", "left_anti")
     return stored.select("id", "seq").join(new, ["id", "seq"]).select("id", "seq", "change_type")
 
 
+@_query(f"""WITH e AS ({_edge_sql()}) SELECT 'refs ' || ref_type AS name, count(*) AS n FROM e GROUP BY 1 UNION ALL SELECT 'refs replies_to', count(*) FROM documents WHERE parent_id IS NOT NULL
+  UNION ALL SELECT 'documents', count(*) FROM documents UNION ALL SELECT 'body length', cast(sum(length(body)) AS BIGINT) FROM documents UNION ALL SELECT 'log ' || t, (SELECT count(*) FROM documents) FROM (VALUES ('insert'), ('update')) AS v(t)""")
+def ingest_pages(spark, sf):
+    """All documents in two versions in one page, an older text and the stored one, then a page that states the replies: what the store holds afterwards."""
+    import uuid
+
+    store = EpochStore(spark, f"{checkpoint_dir(spark)}/ingest-{uuid.uuid4().hex}", buckets=8)
+    d = docs(spark, sf).join(read_table(spark, sf, "documents", "doc_id", "id"), "id")
+    new = d.withColumn("batch_pos", F.col("doc_id") * 2 + 1)
+    old = d.withColumns({"batch_pos": F.col("doc_id") * 2, "body": F.lit("An older text. See BIP-111 and #3.")})
+    ingest_batch(store, old.unionByName(new).drop("doc_id"), 0, "2025-12-01 00:00:00+00:00", [])
+    replies = d.where("parent_id is not null").select(F.col("id").alias("from_doc_id"), F.col("parent_id").alias("to_doc_id"), F.lit("replies_to").alias("ref_type"), F.lit(None).cast("string").alias("to_external"), F.lit(None).cast("string").alias("context"))
+    # The second page is read twice, as after a lost connection.
+    for epoch in (1, 2):
+        ingest_batch(store, new.drop("doc_id").where("false"), epoch, "2025-12-01 00:00:00+00:00", [], page_refs=replies, cursors={"pages": str(epoch)})
+    refs = store.read("refs", REFS).groupBy("ref_type", "from_doc_id", F.coalesce("to_external", "to_doc_id").alias("to")).agg(F.count("*").alias("k"))
+    stored = store.read("documents", DOCUMENTS)
+    out = refs.groupBy(F.concat(F.lit("refs "), "ref_type").alias("name")).agg(F.count("*").alias("n"))
+    out = out.unionByName(stored.agg(F.count("*").alias("n")).select(F.lit("documents").alias("name"), "n")).unionByName(stored.agg(F.sum(F.length("body")).alias("n")).select(F.lit("body length").alias("name"), "n"))
+    return out.unionByName(store.read("change_log", CHANGE_LOG).groupBy(F.concat(F.lit("log "), "change_type").alias("name")).agg(F.count("*").alias("n")))
+
+
 @_query("""WITH g AS (SELECT id FROM documents WHERE source_type = 'github_pr') SELECT * FROM (VALUES ('documents', (SELECT count(*) FROM documents WHERE source_type <> 'github_pr')),
   ('refs', (SELECT count(*) FROM refs WHERE from_doc_id NOT IN (SELECT id FROM g) AND (to_doc_id IS NULL OR to_doc_id NOT IN (SELECT id FROM g)))), ('mentions', (SELECT count(*) FROM concept_mention WHERE doc_id IS NULL OR doc_id NOT IN (SELECT id FROM g))),
   ('change_log', (SELECT count(*) FROM change_log WHERE doc_id NOT IN (SELECT id FROM g))), ('sync_state', (SELECT count(*) FROM sync_state WHERE source_id NOT ILIKE 'issues:%')), ('removed', (SELECT count(*) FROM g))) AS t(name, n)""")

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomdex.sources import archives as A
@@ -111,3 +112,35 @@ def test_paged_stream_restart(spark, tmp_path):
     assert store.read("concept_mentions").count() == 3
     assert spark.read.format("paged").option("path", str(pages)).load().count() == 4
     assert callable(ingest_stream)
+
+
+def test_last_version_and_crash(spark, tmp_path, monkeypatch):
+    """Of two versions of one id the last holds for text and references; page-level references are stored once; a crash before the manifest is published leaves the last batch in force."""
+    store = EpochStore(spark, f"file://{tmp_path}/kb", buckets=4)
+    columns = "id string, source_type string, source_repo string, source_id string, title string, body string, author string, author_id string, created_at timestamp, updated_at timestamp, parent_id string, metadata string, seq long, batch_pos long"
+    doc = lambda n, body, pos: (f"github_issue:o/r:{n}", "github_issue", "o/r", str(n), f"t{n}", body, None, None, None, None, None, None, None, pos)
+    batch = spark.createDataFrame([doc(1, "See BIP-222", 2), doc(1, "See BIP-111", 1), doc(2, None, 3)], columns)
+    stated = spark.createDataFrame([("github_issue:o/r:2", "github_issue:o/r:1", "replies_to", None, None)], "from_doc_id string, to_doc_id string, ref_type string, to_external string, context string")
+    ingest_batch(store, batch, 0, "2020-02-01 00:00:00", [], page_refs=stated, cursors={"s": "p1"})
+
+    def state():
+        return {r.id[-1]: r.body for r in store.read("documents").collect()}, sorted((r.ref_type, r.to_external) for r in store.read("refs").collect()), store.manifest()["epoch"], store.read("change_log").count()
+
+    want = ({"1": "See BIP-222", "2": None}, [("references_bip", "BIP-222"), ("replies_to", None)], 0, 3)
+    assert state() == want and store.manifest()["cursors"] == {"s": "p1"}
+
+    def crash(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(EpochStore, "_publish", crash)
+    with pytest.raises(RuntimeError):
+        ingest_batch(store, spark.createDataFrame([doc(1, "See BIP-333", 1)], columns), 1, "2020-02-02 00:00:00", [])
+    assert state() == want
+    monkeypatch.undo()
+    # A crash in the middle of writing leaves a manifest without its last line, which does not count.
+    (tmp_path / "kb" / "manifests" / "m-000000000007").write_text('{"epoch": 7')
+    assert state() == want
+    ingest_batch(store, spark.createDataFrame([doc(1, "See BIP-333", 1)], columns), 1, "2020-02-02 00:00:00", [], page_refs=stated)
+    assert state() == ({"1": "See BIP-333", "2": None}, [("references_bip", "BIP-333"), ("replies_to", None)], 1, 4)
+    store.compact("change_log", "seq long, doc_id string, change_type string, changed_at timestamp", 2)
+    assert store.read("change_log").count() == 4
