@@ -7,14 +7,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from loomdex.operators import context as C
-from loomdex.operators.search import SearchParams, search, write_index
+from loomdex.operators.search import SearchParams, read_index, search, write_index
 from loomdex.schema import SPEC_TYPES
 from loomdex.session import read_table
 
 
 @dataclass
 class KnowledgeBase:
-    """``index``: (postings, doc_stats) of a persisted index, None to read the texts."""
+    """``index``: (postings, corpus statistics) of a persisted index, None to read the texts."""
 
     documents: DataFrame
     refs: DataFrame
@@ -30,14 +30,13 @@ class KnowledgeBase:
         from loomdex.plans.knowledge import docs
 
         tables = {n: read_table(spark, path, t) for n, t in (("refs", "refs"), ("mentions", "concept_mention"), ("specs", "specs"), ("change_log", "change_log"), ("sync_state", "sync_state"))}
-        index = (spark.read.parquet(f"{index_path}/postings"), spark.read.parquet(f"{index_path}/doc_stats")) if index_path else None
+        index = read_index(spark, index_path) if index_path else None
         return cls(docs(spark, path), **tables, index=index)
 
     def build_index(self, path: str) -> KnowledgeBase:
         """Writes the index below ``path`` and searches through it from now on."""
         write_index(self.documents, path)
-        spark = self.documents.sparkSession
-        self.index = (spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/doc_stats"))
+        self.index = read_index(self.documents.sparkSession, path)
         return self
 
     def search(self, query: str = "", **params) -> DataFrame:

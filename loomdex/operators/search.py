@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions.text import fold, tokens
@@ -39,24 +39,36 @@ class SearchParams:
 
 
 def build_index(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(postings, doc_stats). postings: term, doc_id, col, positions; doc_stats: doc_id, dl. Null texts have no tokens.
+    """(postings, doc_stats). postings: term, doc_id, col, positions, dl (tokens of the document); doc_stats: doc_id, dl. Null texts have no tokens.
 
     Written with ``write_index``; one shuffle by (term, doc, column), combined map-side within a document by construction.
     """
     columns = [F.struct(F.lit(c).alias("col"), tokens(F.col(c)).alias("t")) for c in WEIGHTS]
-    words = documents.select(F.col("id").alias("doc_id"), F.explode(F.array(*columns)).alias("x"))
-    words = words.select("doc_id", "x.col", F.posexplode("x.t").alias("pos", "term"))
-    postings = words.groupBy("term", "doc_id", "col").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+    words = documents.select(F.col("id").alias("doc_id"), F.array(*columns).alias("xs")).withColumn("dl", F.aggregate("xs", F.lit(0), lambda n, x: n + F.size(x["t"])).cast("long"))
+    words = words.select("doc_id", "dl", F.explode("xs").alias("x")).select("doc_id", "dl", "x.col", F.posexplode("x.t").alias("pos", "term"))
+    postings = words.groupBy("term", "doc_id", "col", "dl").agg(F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "doc_id", "col", "positions", "dl")
     stats = documents.select(F.col("id").alias("doc_id"), sum(F.size(tokens(F.col(c))) for c in WEIGHTS).cast("long").alias("dl"))
     return postings, stats
 
 
 def write_index(documents: DataFrame, path: str, partitions: int | None = None) -> None:
-    """Persists the index under ``path``: postings range-partitioned and sorted by term, for min/max pruning of scans."""
+    """Persists the index under ``path``: postings range-partitioned and sorted by (term, doc), for min/max pruning of scans, so that a frequent term is
+    spread over many files; document lengths, and the corpus statistics in one row."""
     postings, stats = build_index(documents)
-    spread = (partitions, "term") if partitions else ("term",)
+    spread = (partitions, "term", "doc_id") if partitions else ("term", "doc_id")
     postings.repartitionByRange(*spread).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
     stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    corpus_of(documents.sparkSession.read.parquet(f"{path}/doc_stats")).write.mode("overwrite").parquet(f"{path}/corpus")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, corpus) of a persisted index."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/corpus")
+
+
+def corpus_of(stats: DataFrame) -> DataFrame:
+    """One row: docs, avgdl. A table that is this row already stays."""
+    return stats if "avgdl" in stats.columns else stats.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
 
 
 def merge_index(postings: DataFrame, stats: DataFrame, changed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,8 +125,8 @@ def _kept(found: Column, p: Phrase, column: str) -> Column:
     return F.filter(found, lambda x: x == 0) if p.first else found
 
 
-def hits_from_index(postings: DataFrame, stats: DataFrame, wanted: list[Phrase]) -> DataFrame:
-    """The same from a persisted index; only the postings of the query's terms are read."""
+def hits_from_index(postings: DataFrame, wanted: list[Phrase]) -> DataFrame:
+    """The same from a persisted index, for the documents with one of the terms; only the postings of the query's terms are read."""
     keys = {}
     for p in wanted:
         for i, t in enumerate(p.tokens):
@@ -129,13 +141,13 @@ def hits_from_index(postings: DataFrame, stats: DataFrame, wanted: list[Phrase])
         for c in WEIGHTS:
             hit = (F.col("col") == c) & (F.col("term").startswith(token) if prefix else F.col("term") == token)
             aggs.append(F.sort_array(F.flatten(F.collect_list(F.when(hit, F.col("positions"))))).alias(f"k{k}_{c}"))
-    grouped = rows.groupBy("doc_id").agg(*aggs)
+    grouped = rows.groupBy("doc_id").agg(F.max("dl").alias("dl"), *aggs)
     index = {key: k for k, key in enumerate(keys)}
     out = []
     for n, p in enumerate(wanted):
         by = [_kept(_adjacent([F.col(f"k{index[(t, p.prefix and i == len(p.tokens) - 1)]}_{c}") for i, t in enumerate(p.tokens)]), p, c).alias(c) for c in WEIGHTS]
         out.append(F.struct(*by).alias(f"h{n}"))
-    return stats.join(grouped.select("doc_id", *out), "doc_id", "left").withColumnRenamed("doc_id", "id")
+    return grouped.select(F.col("doc_id").alias("id"), "dl", *out)
 
 
 def _count(n: int, column: str) -> Column:
@@ -183,8 +195,8 @@ def _near(tree: Near, ns: list[int], c: str) -> Column:
     return F.exists(first, fits)
 
 
-def ranked(hits: DataFrame, tree) -> DataFrame:
-    """(id, score, h*): matching documents with their BM25 score over the whole corpus behind ``hits``."""
+def ranked(hits: DataFrame, tree, stored: DataFrame | None = None) -> DataFrame:
+    """(id, score, h*): matching documents with their BM25 score over the whole corpus: that of ``stored`` statistics (one row), else that of ``hits``."""
     seen_phrases = [0]
     ok, contributions = _match(tree, seen_phrases)
     count = seen_phrases[0]
@@ -195,7 +207,9 @@ def ranked(hits: DataFrame, tree) -> DataFrame:
     for n in range(count):
         some = some | ((_count(n, "title") + _count(n, "body")) > 0)
     hits = cut(hits.observe(seen, F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), *n_of).where(some))
-    corpus = seen.get
+    corpus = dict(seen.get)
+    if stored is not None:
+        corpus.update(stored.first().asDict())
     score = F.lit(0.0)
     for n, contributes in contributions:
         df = corpus[f"n{n}"]
@@ -263,13 +277,17 @@ def search(documents: DataFrame, params: SearchParams, mentions: DataFrame | Non
             top = rows.limit(limit)
         else:
             wanted = phrases(tree)
-            hits = hits_from_index(*index, wanted) if index else hits_from_text(documents, wanted)
-            found = ranked(hits, tree)
+            found = ranked(hits_from_index(index[0], wanted), tree, corpus_of(index[1])) if index else ranked(hits_from_text(documents, wanted), tree)
             marks = [c for c in found.columns if c not in ("id", "score")] if snippets else []
-            rows = metadata_filter(documents, params).select(*columns).join(found.select("id", "score", *marks), "id")
-            top = rows.orderBy(F.desc("score"), "id").limit(limit)
+            found = found.select("id", "score", *marks)
+            if params.source_type or params.source_repo or params.author is not None or params.after or params.before:
+                found = found.join(metadata_filter(documents, params).select("id"), "id", "left_semi")
+            best = cut(found.orderBy(F.desc("score"), "id").limit(limit))
+            # Metadata are read for the at most 100 rows of the answer only; their ids reach the scan.
+            ids = [r[0] for r in best.select("id").collect()]
+            top = documents.where(F.col("id").isin(ids)).select(*columns).join(F.broadcast(best), "id")
     top = cut(top)
-    top = top.crossJoin(F.broadcast(top.agg(F.count("*").alias("total_count"))))  # at most 100 rows by one
+    top = top.withColumn("total_count", F.lit(top.count()).cast("bigint"))
     if snippets:
         top = _with_snippets(top, documents, tree)
     if mentions is not None:
@@ -355,4 +373,4 @@ def _with_snippets(top: DataFrame, documents: DataFrame, tree) -> DataFrame:
     return rows.mapInArrow(run, f"{schema}, snippet string")
 
 
-__all__ = ["SearchParams", "build_index", "fold", "hits_from_index", "hits_from_text", "merge_index", "metadata_filter", "ranked", "search", "snippet", "tokens_of", "write_index", "Op"]
+__all__ = ["SearchParams", "build_index", "fold", "hits_from_index", "hits_from_text", "merge_index", "metadata_filter", "ranked", "read_index", "search", "snippet", "tokens_of", "write_index", "Op"]

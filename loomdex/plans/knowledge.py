@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from loomdex.operators import context as C
 from loomdex.operators import metrics as M
 from loomdex.operators import mutations as U
 from loomdex.operators.enrich import VOCABULARY, extract_references, resolve_references, tag_concepts, vocabulary
-from loomdex.operators.search import SearchParams, build_index, search
+from loomdex.operators.search import SearchParams, build_index, read_index, search, write_index
 from loomdex.schema import CHANGE_LOG, DOCUMENTS, REFS, document_url, make_id, parse_instant
 from loomdex.session import checkpoint_dir, read_table, spread
 from loomdex.streaming.ingest import EpochStore, ingest_batch, minute_counts_stream
@@ -56,10 +58,10 @@ def _search_sql(phrases: list[str], match: str, contributes: list[str] | None =
              "tok AS (SELECT id, 'title' AS col, unnest(tt) AS t, generate_subscripts(tt, 1) AS pos FROM d UNION ALL SELECT id, 'body', unnest(bt), generate_subscripts(bt, 1) FROM d)",
              "corpus AS (SELECT count(*) AS n, avg(len(tt) + len(bt)) AS av FROM d)"]
     for i, phrase in enumerate(phrases):
-        words = phrase.rstrip("*").split()
-        conds = [f"a{j}.t = '{w}'" for j, w in enumerate(words)]
+        words = phrase.lstrip("^").rstrip("*").split()
+        conds = [f"a{j}.t = '{w}'" for j, w in enumerate(words)] + (["a0.pos = 1"] if phrase.startswith("^") else [])
         if phrase.endswith("*"):
-            conds[-1] = f"starts_with(a{len(words) - 1}.t, '{words[-1]}')"
+            conds[len(words) - 1] = f"starts_with(a{len(words) - 1}.t, '{words[-1]}')"
         joins = "".join(f" JOIN tok a{j} ON a{j}.id = a0.id AND a{j}.col = a0.col AND a{j}.pos = a0.pos + {j}" for j in range(1, len(words)))
         parts.append(f"q{i} AS (SELECT a0.id, sum(CASE WHEN a0.col = 'title' THEN 5.0 ELSE 1.0 END) AS tf FROM tok a0{joins} WHERE {' AND '.join(conds)} GROUP BY a0.id)")
         parts.append(f"i{i} AS (SELECT CASE WHEN ln((n - c + 0.5) / (c + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - c + 0.5) / (c + 0.5)) END AS idf FROM corpus, (SELECT count(*) AS c FROM q{i}))")
@@ -70,8 +72,20 @@ def _search_sql(phrases: list[str], match: str, contributes: list[str] | None =
     return ", ".join(parts) + f" SELECT id, source_type, title, {_URL} AS url, round({terms}, 6) AS score FROM m WHERE ({match}) AND ({where}) ORDER BY {terms} DESC, id LIMIT {limit}"
 
 
+def indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The persisted index of a data directory: below the shared folder, built once in a session."""
+    path = f"{checkpoint_dir(spark)}/index-{spark.sparkContext.applicationId}-{hashlib.md5(sf.encode()).hexdigest()[:12]}"
+    if path not in _BUILT:
+        write_index(docs(spark, sf, "id", "title", "body"), path)
+        _BUILT.add(path)
+    return read_index(spark, path)
+
+
+_BUILT: set[str] = set()
+
+
 def _found(spark: SparkSession, sf: str, **params) -> DataFrame:
-    rows = search(docs(spark, sf), SearchParams(**params), snippets=False)
+    rows = search(docs(spark, sf), SearchParams(**params), index=indexed(spark, sf), snippets=False)
     return rows.select("id", "source_type", "title", "url", F.round("score", 6).alias("score"))
 
 
@@ -100,6 +114,32 @@ def search_phrase(spark, sf):
     return _found(spark, sf, query="BIP-412")
 
 
+_NEAR = "m.id IN (SELECT a.id FROM tok a JOIN tok b ON a.id = b.id AND a.col = b.col AND a.t = 'fee' AND b.t = 'mempool' AND abs(a.pos - b.pos) <= 6)"
+
+
+@_query(_search_sql(["fee", "mempool"], _NEAR, [_NEAR, _NEAR]))
+def search_near(spark, sf):
+    return _found(spark, sf, query="NEAR(fee mempool, 5)")
+
+
+@_query(_search_sql(["^the*"], "p0", limit=50))
+def search_first(spark, sf):
+    return _found(spark, sf, query="^the*", limit=50)
+
+
+@_query(_search_sql(["block*"], "p0", where="author = (SELECT author FROM documents WHERE author IS NOT NULL GROUP BY author ORDER BY count(*) DESC, author LIMIT 1)", limit=100))
+def search_author(spark, sf):
+    """Documents of the most frequent author, as written."""
+    author = read_table(spark, sf, "documents", "author").where("author is not null").groupBy("author").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "author").first()[0]
+    return _found(spark, sf, query="block", author=author, limit=100)
+
+
+@_query("SELECT count(*) AS n, min(total) AS total_count FROM (SELECT *, count(*) OVER () AS total FROM (" + _search_sql(["covenant", "relay"], "p0 OR p1", limit=100) + "))")
+def search_total(spark, sf):
+    rows = search(docs(spark, sf), SearchParams(query="covenant OR relay", limit=100), index=indexed(spark, sf), snippets=False)
+    return rows.agg(F.count("*").alias("n"), F.min("total_count").alias("total_count"))
+
+
 @_query(_search_sql(["proposal", "mempool"], "p0 AND p1"))
 def search_title_weight(spark, sf):
     return _found(spark, sf, query="proposal mempool")
@@ -117,7 +157,7 @@ def search_wildcard(spark, sf):
 
 @_query()
 def search_snippet(spark, sf):
-    rows = search(docs(spark, sf), SearchParams(query="mempool AND bip-412", limit=100), read_table(spark, sf, "concept_mention"))
+    rows = search(docs(spark, sf), SearchParams(query="mempool AND bip-412", limit=100), read_table(spark, sf, "concept_mention"), indexed(spark, sf))
     return rows.select("id", "snippet", F.array_join("concepts", ",").alias("concepts"), F.round("score", 6).alias("score"))
 
 
@@ -186,7 +226,7 @@ _COMMITS = _search_sql(["mempool*"], "p0", where="source_type IN ('commit', 'git
   pulls AS (SELECT c.id, w.id AS pull, row_number() OVER (PARTITION BY c.id ORDER BY w.id) AS r FROM documents c JOIN w ON w.h = left(c.source_id, 12) AND (c.source_repo IS NULL OR c.source_repo = w.source_repo) WHERE c.source_type = 'commit')
   SELECT t.id, t.title, t.score, coalesce((SELECT string_agg(pull, ',' ORDER BY pull) FROM pulls p WHERE p.id = t.id AND r <= 5), '') AS pulls FROM top t""")
 def find_commit(spark, sf):
-    rows = C.find_commit(docs(spark, sf), "mempool")
+    rows = C.find_commit(docs(spark, sf), "mempool", index=indexed(spark, sf))
     return rows.select("id", "title", F.round("score", 6).alias("score"), F.array_join(F.transform("pulls", lambda p: p["pull_id"]), ",").alias("pulls"))
 
 
