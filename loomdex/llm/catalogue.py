@@ -82,6 +82,40 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mix_report(_mixed(spark, sf), read_table(spark, sf, "mix_targets"))
 
 
+def p8_weighted(spark: SparkSession, sf: str) -> DataFrame:
+    """The mixture with unequal inclusion odds: longer documents of a source are preferred, by the logarithm of their size; the shares reached, and the mean size
+    of the drawn and of all documents."""
+    sizes = cut(token_counts(spread(read_table(spark, sf, "documents", "doc_id", "text", "source")), "doc_id", "text", "source").withColumn("w", F.log1p("n_tokens")))
+    drawn = mix(sizes, read_table(spark, sf, "mix_targets"), weight="w")
+    means = drawn.groupBy("source").agg(F.round(F.avg("n_tokens"), 6).alias("mean_drawn")).join(sizes.groupBy("source").agg(F.round(F.avg("n_tokens"), 6).alias("mean_all")), "source")
+    return mix_report(drawn, read_table(spark, sf, "mix_targets")).join(means, "source", "left")
+
+
+def p8_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """(source, rule, n): documents with more copies than the source's cap allows, drawn more than once as rows, and shares off by more than 0.005; all 0."""
+    targets = read_table(spark, sf, "mix_targets")
+    mixed = cut(_mixed(spark, sf))
+    caps = targets.where("source is not null").groupBy("source").agg(F.min("max_repeats").alias("cap"))
+    over = mixed.join(caps, "source").groupBy("source").agg(F.count_if(F.col("copies") > F.col("cap")).alias("over cap"), (F.count("*") - F.count_distinct("doc")).alias("drawn twice"))
+    off = mix_report(mixed, targets).select("source", (F.abs(F.col("share") - F.col("actual_share")) > 0.005).cast("long").alias("share off"))
+    rows = caps.select("source").join(over, "source", "left").join(off, "source", "left").fillna(0)
+    return rows.select("source", F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).cast("long").alias("n")) for c in ("over cap", "drawn twice", "share off")])).alias("x")).select("source", "x.*")
+
+
+def p7_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """(container, rule, n): bins over the capacity, documents whose tokens are not all in bins, documents split although they fit, and pieces that overlap; all 0."""
+    packed, caps = cut(_packed(spark, sf)), read_table(spark, sf, "pack_capacities").groupBy("container").agg(F.min("capacity_tokens").alias("cap"))
+    sizes = token_counts(spread(read_table(spark, sf, "documents", "doc_id", "text")), "doc_id", "text")
+    bins = packed.where("bin is not null").groupBy("container", "bin").agg(F.sum("tokens").alias("t")).join(caps, "container").groupBy("container").agg(F.count_if(F.col("t") > F.col("cap")).alias("over capacity"))
+    documents = packed.groupBy("container", F.col("doc").alias("k")).agg(F.sum("tokens").alias("t"), F.count("*").alias("pieces"), F.max(F.col("first_token") + F.col("tokens")).alias("end"))
+    asked = sizes.select("k", "n_tokens", F.lit(1).alias("one")).join(caps.withColumn("one", F.lit(1)), "one")  # a handful of containers
+    seen = asked.join(documents, ["container", "k"], "left").groupBy("container").agg(
+        F.count_if(F.coalesce("t", F.lit(-1)) != F.col("n_tokens")).alias("tokens lost"), F.count_if((F.col("n_tokens") <= F.col("cap")) & (F.col("pieces") > 1)).alias("split"), F.count_if(F.col("end") != F.col("t")).alias("overlap")
+    )
+    rows = caps.select("container").join(bins, "container", "left").join(seen, "container", "left").fillna(0)
+    return rows.select("container", F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.col(c).cast("long").alias("n")) for c in ("over capacity", "tokens lost", "split", "overlap")])).alias("x")).select("container", "x.*")
+
+
 def _scores(spark: SparkSession, sf: str) -> DataFrame:
     return unsafe_scores(spread(read_table(spark, sf, "documents", "doc_id", "text", "source")))
 
@@ -103,7 +137,7 @@ def p9_heldout(spark: SparkSession, sf: str) -> DataFrame:
     return counts.withColumns({"recall": F.try_divide("n_both", "n_unsafe"), "precision": F.try_divide("n_both", "n_found")})
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p4_found, p4_classes, p5_found, p5_entities, p7_packing, p7_report, p8_mix, p8_shares, p9_found, p9_rates, p9_heldout)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_parts, p4_found, p4_classes, p5_found, p5_entities, p7_packing, p7_report, p7_violations, p8_mix, p8_shares, p8_weighted, p8_violations, p9_found, p9_rates, p9_heldout)}
 
 _SHINGLES = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(body, '')), '[\p{{L}}\p{{N}}]+') AS w FROM documents),
@@ -113,6 +147,8 @@ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM tok a JOIN to
 pairs AS (SELECT a, b, c / (x.n + y.n - c) AS j FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c / (x.n + y.n - c) >= {t} - 1e-12)
 """
 ORACLE = {
+    "p7_violations": "SELECT DISTINCT container, rule, 0::BIGINT AS n FROM pack_capacities, (VALUES ('over capacity'), ('tokens lost'), ('split'), ('overlap')) AS v(rule)",
+    "p8_violations": "SELECT DISTINCT source, rule, 0::BIGINT AS n FROM mix_targets, (VALUES ('over cap'), ('drawn twice'), ('share off')) AS v(rule) WHERE source IS NOT NULL",
     "p4_found": _SHINGLES.format(k=3, t=0.5) + "SELECT a AS doc_id_a, b AS doc_id_b FROM pairs",
     "p4_classes": _SHINGLES.format(k=5, t=0.8) + """, cls AS (SELECT n.doc_id, least(n.doc_id, coalesce(min(p.a), n.doc_id)) AS class_id FROM n LEFT JOIN pairs p ON p.b = n.doc_id AND p.j > 1 - 1e-12 GROUP BY n.doc_id),
       links AS (SELECT x.class_id AS i, count(DISTINCT y.class_id) AS n_links FROM (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) p JOIN cls x ON x.doc_id = p.a JOIN cls y ON y.doc_id = p.b WHERE x.class_id <> y.class_id GROUP BY 1)

@@ -29,7 +29,7 @@ def allocate(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = No
     return rows.withColumn("wanted", wanted)
 
 
-def mix(docs: DataFrame, targets: DataFrame, *, key: str = "k", source: str = "source", size: str = "n_tokens", weight: str | None = None, total_tokens: int | None = None, seed: int = 42, bins: int = 4096) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, *, key: str = "k", source: str = "source", size: str = "n_tokens", weight: str | None = None, total_tokens: int | None = None, seed: int = 42, bins: int | None = None) -> DataFrame:
     """(doc, source, n_tokens, copies, target_share, share): the documents of the mixture, copies >= 1.
 
     ``weight``: a positive column by which documents of a source are preferred; expected copies are proportional to it, up to the source's cap
@@ -39,6 +39,8 @@ def mix(docs: DataFrame, targets: DataFrame, *, key: str = "k", source: str = "s
     """
     w = F.lit(1.0) if weight is None else F.greatest(F.coalesce(F.col(weight).cast("double"), F.lit(0.0)), F.lit(0.0))
     rows = docs.where(F.col(key).isNotNull() & F.col(source).isNotNull() & (F.col(size) > 0)).select(F.col(key).cast("long").alias("doc"), F.col(source).alias("source"), F.col(size).cast("long").alias("n_tokens"), w.alias("w"))
+    # As many bins as keep the one that is ordered at some ten thousand documents, whatever the size of a source.
+    bins = bins or max(4096, rows.count() // 10_000)
     sizes = rows.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.sum(F.col("n_tokens") * F.col("w")).alias("weighted"))
     plan = allocate(sizes, targets, total_tokens)
     rows = rows.join(plan, "source")
