@@ -101,7 +101,7 @@ def board_documents(pages: DataFrame, boards: list[int] | None = None) -> DataFr
 def archive_documents(pages: DataFrame, list_name: str) -> DataFrame:
     """(msg_num, html) pages of a list archive to messages numbered by page."""
     rows = pages.withColumn("h", X.archive_page(F.col("html")))
-    out = rows.withColumns({"source_type": F.lit("mailing_list_msg"), "source_id": F.concat(F.lit(f"{list_name}/msg"), F.lpad(F.col("msg_num").cast("string"), 5, "0")), "title": F.col("h.subject"), "body": F.col("h.body"), "author": F.col("h.sender"), "created_at": F.col("h.date"), "seq": F.col("msg_num")})
+    out = rows.withColumns({"source_type": F.lit("mailing_list_msg"), "source_id": F.concat(F.lit(f"{list_name}/msg"), F.when(F.col("msg_num") < 100_000, F.lpad(F.col("msg_num").cast("string"), 5, "0")).otherwise(F.col("msg_num").cast("string"))), "title": F.col("h.subject"), "body": F.col("h.body"), "author": F.col("h.sender"), "created_at": F.col("h.date"), "seq": F.col("msg_num")})
     return _select(out.withColumn("id", F.concat_ws(":", "source_type", "source_id")))
 
 

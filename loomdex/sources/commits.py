@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.operators.metrics import truncate_lines
 from loomdex.session import cut
-from loomdex.sources.tracker import _select
+from loomdex.sources.tracker import _column, _select
 
 COMMIT = "sha string, parents array<string>, message string, author_name string, author_email string, ts long, insertions long, deletions long, files array<struct<path: string, status: string>>, patch string"
 PATCH_BYTES, FILES, PAGE = 8192, 100, 200
@@ -39,7 +39,7 @@ def new_commits(commits: DataFrame, head: str, seen: str | None = None) -> DataF
     return commits.join(out, "sha", "left_semi")
 
 
-def commit_documents(commits: DataFrame, repo: str) -> DataFrame:
+def commit_documents(commits: DataFrame, repo: str | Column) -> DataFrame:
     """Title is the first line; the body the message and a change block: up to 100 files with status letters and the patch up to 8,192 bytes; merges have none."""
     lines = commits.where("size(parents) <= 1 and patch is not null").select("sha", F.posexplode(F.split("patch", "\n")).alias("line_no", "line"))
     patches = truncate_lines(lines, "sha", cap=PATCH_BYTES).select("sha", F.col("patch").alias("cut_patch"))
@@ -53,17 +53,17 @@ def commit_documents(commits: DataFrame, repo: str) -> DataFrame:
     block = F.concat(F.lit("\n\n---\nChangeset:\n"), summary, F.lit("\n"), listed, more, F.coalesce(F.concat(F.lit("\n\n"), "cut_patch"), F.lit("")))
     meta = F.to_json(F.struct(merge.alias("is_merge"), "parents", F.size(files).alias("files_changed"), "insertions", "deletions", F.transform(F.slice(files, 1, FILES), lambda f: f["path"]).alias("files")))
     out = rows.withColumns({
-        "source_type": F.lit("commit"), "source_repo": F.lit(repo), "source_id": F.col("sha"), "id": F.concat(F.lit(f"commit:{repo}:"), "sha"), "title": F.substring_index("message", "\n", 1),
+        "source_type": F.lit("commit"), "source_repo": _column(repo), "source_id": F.col("sha"), "id": F.concat(F.lit("commit:"), _column(repo), F.lit(":"), "sha"), "title": F.substring_index("message", "\n", 1),
         "body": F.when(merge, F.col("message")).otherwise(F.concat(F.rtrim("message"), block)), "author": F.col("author_name"), "author_id": F.col("author_email"), "created_at": F.timestamp_seconds("ts"), "metadata": meta,
     })
     return _select(out)
 
 
-def merge_edges(commits: DataFrame, repo: str) -> DataFrame:
+def merge_edges(commits: DataFrame, repo: str | Column) -> DataFrame:
     """(from_doc_id, ref_type, to_external, context) of merges that name the pull request they close."""
     number = F.regexp_extract("message", r"^Merge pull request #(\d+) from ", 1)
     rows = commits.where((F.size("parents") > 1) & (number != ""))
-    return rows.select(F.concat(F.lit(f"commit:{repo}:"), "sha").alias("from_doc_id"), F.lit("mentions_pr").alias("ref_type"), F.concat(F.lit(f"{repo}#"), number).alias("to_external"), F.substring_index("message", "\n", 1).alias("context"))
+    return rows.select(F.concat(F.lit("commit:"), _column(repo), F.lit(":"), "sha").alias("from_doc_id"), F.lit("mentions_pr").alias("ref_type"), F.concat(_column(repo), F.lit("#"), number).alias("to_external"), F.substring_index("message", "\n", 1).alias("context"))
 
 
 def page(commits: DataFrame, size: int = PAGE) -> DataFrame:
