@@ -195,3 +195,25 @@ def month_cursor(c: Column, start: str = "2011-06") -> Column:
 
 def next_month(month: Column) -> Column:
     return F.date_format(F.add_months(F.to_date(F.concat(month, F.lit("-01"))), 1), "yyyy-MM")
+
+
+# Forms of the addresses that the sources are read from.
+def feed_url(base: str, month: Column, offset: Column) -> Column:
+    """Feed of one month of a list archive, from an offset on."""
+    url = F.concat(F.lit(f"{base}/?q=d:"), month, F.lit("-01.."), next_month(month), F.lit("-01&x=A"))
+    return F.when(offset > 0, F.concat(url, F.lit("&o="), offset.cast("string"))).otherwise(url)
+
+
+def raw_url(link: Column) -> Column:
+    """Plain text of a message page."""
+    return F.concat(F.regexp_replace(link, "/+$", ""), F.lit("/raw"))
+
+
+def log_url(base: str, channel: Column, day: Column) -> Column:
+    """Log of a channel on a day."""
+    return F.concat(F.lit(f"{base}/"), channel, F.lit("/"), F.date_format(day, "yyyy-MM-dd"), F.lit(".log"))
+
+
+def archive_url(address: Column, number: Column) -> Column:
+    """Message page by number, padded to five digits."""
+    return F.concat(F.lit("https://www.mail-archive.com/"), address, F.lit("/msg"), F.format_string("%05d", number), F.lit(".html"))

@@ -19,24 +19,27 @@ def _url() -> Column:
     return document_url(*[F.col(c) for c in ("source_type", "source_repo", "source_id", "parent_id", "metadata")])
 
 
-def _edges(condition: Column | None = None) -> Column:
-    edge = F.struct(*_EDGE)
-    return F.sort_array(F.collect_list(edge if condition is None else F.when(condition, edge)))
-
-
 def document_context(documents: DataFrame, refs: DataFrame, mentions: DataFrame, ids: list[str] | None = None) -> DataFrame:
     """All columns of the documents asked for (all, without ``ids``) and url, outgoing and incoming references (by resolved target only), both by id, and
-    concepts, by slug. Unknown ids give no row; documents without edges or tags have empty arrays."""
-    docs, out, back, tags = documents, refs, refs.where("to_doc_id is not null"), mentions
+    concepts, by slug. Unknown ids give no row. References are counted here (``n_out``, ``n_in``); they themselves are rows of ``document_edges``, because a
+    document may have any number of them. ``concepts`` is an array, at most the vocabulary long."""
+    docs, tags = documents, mentions
     if ids is not None:
-        docs, out, back, tags = docs.where(F.col("id").isin(*ids)), out.where(F.col("from_doc_id").isin(*ids)), back.where(F.col("to_doc_id").isin(*ids)), tags.where(F.col("doc_id").isin(*ids))
-    outgoing = out.groupBy(F.col("from_doc_id").alias("id")).agg(_edges().alias("outgoing"))
-    incoming = back.groupBy(F.col("to_doc_id").alias("_id")).agg(_edges().alias("incoming")).withColumnRenamed("_id", "id")
+        docs, tags = docs.where(F.col("id").isin(*ids)), tags.where(F.col("doc_id").isin(*ids))
+    counts = document_edges(refs, ids).groupBy("id").agg(F.count_if(F.col("side") == "outgoing").alias("n_out"), F.count_if(F.col("side") == "incoming").alias("n_in"))
     concepts = tags.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("concept_slug")).alias("concepts"))
-    rows = docs.withColumn("url", _url())
-    for part in (outgoing, incoming, concepts):
-        rows = rows.join(part, "id", "left")
-    return rows.withColumns({c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)) for c in ("outgoing", "incoming", "concepts")})
+    rows = docs.withColumn("url", _url()).join(counts, "id", "left").join(concepts, "id", "left")
+    return rows.fillna(0, ["n_out", "n_in"]).withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
+
+
+def document_edges(refs: DataFrame, ids: list[str] | None = None) -> DataFrame:
+    """(id, side, ref_id, from_doc_id, to_doc_id, ref_type, to_external, context): each reference at its source (outgoing) and its resolved target (incoming); of the
+    documents asked for, or all. One pass over the references, no shuffle."""
+    edge = [F.col("id").alias("ref_id"), *_EDGE[1:]]
+    ends = F.array(F.struct(F.col("from_doc_id").alias("id"), F.lit("outgoing").alias("side")), F.struct(F.col("to_doc_id").alias("id"), F.lit("incoming").alias("side")))
+    rows = refs if ids is None else refs.where(F.col("from_doc_id").isin(*ids) | F.col("to_doc_id").isin(*ids))
+    rows = rows.select(*edge, F.explode(ends).alias("_e")).select("_e.*", "ref_id", *_EDGE[1:]).where("id is not null")
+    return rows if ids is None else rows.where(F.col("id").isin(*ids))
 
 
 def references_to(refs: DataFrame, entity: str, ref_type: str | None = None, limit: int = 50, cap: int | None = MAX_REFERENCES) -> DataFrame:
@@ -47,23 +50,40 @@ def references_to(refs: DataFrame, entity: str, ref_type: str | None = None, lim
     return rows.withColumn("ref_type", known_ref_type(F.col("ref_type"))).orderBy("id").limit(min(limit, cap) if cap else limit)
 
 
+def _wanted_specs(specs: DataFrame, asked: list[tuple[str, int]]) -> DataFrame:
+    """(spec_id, key, *columns of specs): the specification of each kind and number asked for, padded or not, the smaller id if both are stored."""
+    rows, match, key = specs, F.lit(False), F.lit(None).cast("string")
+    for source_type, number in asked:
+        this = (F.col("source_type") == source_type) & F.col("source_id").isin(str(number), f"{number:02d}")
+        match, key = match | this, F.when(this, f"{SPEC_TYPES[source_type]}-{number}").otherwise(key)
+    rows = rows.where(match).withColumn("key", key)
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where("_r = 1").drop("_r")
+
+
+def spec_edges(specs: DataFrame, refs: DataFrame, asked: list[tuple[str, int]]) -> DataFrame:
+    """(id, side, ref_id, ...): references of the specifications asked for, and references to their ids or to ``PREFIX-n`` with the number unpadded, each once. One pass
+    over the references, whatever the number of specifications; the specifications are a stated set."""
+    known = _wanted_specs(specs, asked).select(F.col("id").alias("spec_id"), "key")
+    names = F.array(F.struct(F.col("spec_id").alias("name"), F.lit("id").alias("by")), F.struct(F.col("key").alias("name"), F.lit("key").alias("by")))
+    names = F.broadcast(known.select("spec_id", F.explode(names).alias("_n")).select("spec_id", "_n.*"))  # two rows for each one asked for
+    ends = F.array(*[F.struct(F.col(c).alias("name"), F.lit(by).alias("by"), F.lit(side).alias("side")) for c, by, side in (("from_doc_id", "id", "outgoing"), ("to_doc_id", "id", "incoming"), ("to_external", "key", "incoming"))])
+    rows = refs.select(F.col("id").alias("ref_id"), *_EDGE[1:], F.explode(ends).alias("_e")).select("ref_id", *_EDGE[1:], "_e.*").join(names, ["name", "by"])
+    return rows.select(F.col("spec_id").alias("id"), "side", "ref_id", *_EDGE[1:]).dropDuplicates(["id", "side", "ref_id"])
+
+
+def lookup_specs(specs: DataFrame, refs: DataFrame, mentions: DataFrame, asked: list[tuple[str, int]]) -> DataFrame:
+    """The specifications asked for by kind and number, with counts of their references (``n_out``, ``n_in``; the rows are those of ``spec_edges``) and concepts. No
+    row where there is none."""
+    rows = _wanted_specs(specs, asked).drop("key")
+    counts = spec_edges(specs, refs, asked).groupBy("id").agg(F.count_if(F.col("side") == "outgoing").alias("n_out"), F.count_if(F.col("side") == "incoming").alias("n_in"))
+    tags = mentions.join(F.broadcast(rows.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_set("concept_slug")).alias("concepts"))
+    rows = rows.join(counts, "id", "left").join(tags, "id", "left")
+    return rows.fillna(0, ["n_out", "n_in"]).withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
+
+
 def lookup_spec(specs: DataFrame, refs: DataFrame, mentions: DataFrame, source_type: str, number: int) -> DataFrame:
-    """The specification of that number, padded or not (the smaller id if both are stored), with outgoing references, references to its id or to
-    ``PREFIX-n`` with the number unpadded, each once, and concepts. No row if there is none."""
-    key = f"{SPEC_TYPES[source_type]}-{number}"
-    row = specs.where((F.col("source_type") == source_type) & F.col("source_id").isin(str(number), f"{number:02d}")).orderBy("id").limit(1)
-    one = F.broadcast(row.select(F.col("id").alias("spec_id")))  # a single row
-    # Three equi-joins instead of one join with OR; a reference found twice counts once.
-    sides = [("outgoing", refs.join(one, F.col("from_doc_id") == F.col("spec_id"))), ("incoming", refs.join(one, F.col("to_doc_id") == F.col("spec_id"))),
-             ("incoming", refs.where(F.col("to_external") == key).join(one))]
-    edges = None
-    for side, found in sides:
-        found = found.select("spec_id", F.lit(side).alias("side"), *_EDGE)
-        edges = found if edges is None else edges.unionByName(found)
-    lists = edges.dropDuplicates(["side", "id"]).groupBy(F.col("spec_id").alias("id")).agg(_edges(F.col("side") == "outgoing").alias("outgoing"), _edges(F.col("side") == "incoming").alias("incoming"))
-    tags = mentions.join(one, F.col("doc_id") == F.col("spec_id")).groupBy(F.col("spec_id").alias("id")).agg(F.array_sort(F.collect_set("concept_slug")).alias("concepts"))
-    rows = row.join(lists, "id", "left").join(tags, "id", "left")
-    return rows.withColumns({c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)) for c in ("outgoing", "incoming", "concepts")})
+    """``lookup_specs`` of one."""
+    return lookup_specs(specs, refs, mentions, [(source_type, number)])
 
 
 def timeline(documents: DataFrame, mentions: DataFrame, concept: str, after: str | None = None, before: str | None = None, limit: int = MAX_TIMELINE) -> DataFrame:
@@ -126,17 +146,25 @@ def changes_since(change_log: DataFrame, since: int, limit: int = 1000) -> DataF
     return rows.withColumns({"has_more": F.col("_n") > limit, "next_seq": F.max("seq").over(Window.partitionBy(F.lit(1)))}).drop("_n")
 
 
+#: Query vectors that are compared with all rows in one pass.
+QUERY_BLOCK = 4096
+
+
 def nearest_vectors(vectors: DataFrame, query: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, vec_id, similarity): the k most similar vectors of each query vector by cosine, itself left out; a scan over all rows per block of queries.
+    """(query_id, vec_id, similarity): the k most similar vectors of each query vector by cosine, itself left out.
 
-    ``query`` is a stated set; it is broadcast, so it must be small (a set of query vectors, not the collection)."""
+    ``query`` is a stated set; it meets all rows in blocks of QUERY_BLOCK vectors by a hash of their key, each broadcast, so what is broadcast does not grow with the set."""
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
-    q = query.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = vectors.join(F.broadcast(q), F.col("query_id") != F.col("vec_id"))
-    value = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
+    n = query.count()
+    blocks = max(1, -(-2 * n // QUERY_BLOCK)) if n > QUERY_BLOCK else 1
+    q = query.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("_b"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return pairs.select("query_id", "vec_id", F.round(value, 6).alias("similarity")).withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
-
-
+    value = dot(F.col("embedding"), F.col("q")) / F.sqrt(dot(F.col("embedding"), F.col("embedding")) * dot(F.col("q"), F.col("q")))
+    out = None
+    for b in range(blocks):
+        pairs = vectors.join(F.broadcast(q.where(F.col("_b") == b)), F.col("query_id") != F.col("vec_id"))
+        one = pairs.select("query_id", "vec_id", F.round(value, 6).alias("similarity")).withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= k)
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -116,3 +116,28 @@ def exposition(by_type: DataFrame, latest: DataFrame, registered: DataFrame, rec
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def format_bytes(n: Column) -> Column:
+    """Bytes for people: whole bytes below 1,024, else KB, MB or GB with one decimal."""
+    scaled = lambda power, unit: F.concat(F.format_string("%.1f", n / F.lit(1024.0**power)), F.lit(f" {unit}"))
+    return F.when(n >= 1024**3, scaled(3, "GB")).when(n >= 1024**2, scaled(2, "MB")).when(n >= 1024, scaled(1, "KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+
+
+def dashboard(by_type: DataFrame, latest: DataFrame, registered: DataFrame, recent: DataFrame, sizes: dict[str, int] | None = None, version: str = "") -> DataFrame:
+    """(section, name, value, share): what a status page shows: documents in all and by type, the split of the jobs, requests, sizes for people, and the version."""
+    status = job_status(latest, registered)
+    spark = by_type.sparkSession
+    none = F.lit(None).cast("double")
+    row = lambda df, section, name, value, share=none: df.select(F.lit(section).alias("section"), (F.lit(name) if isinstance(name, str) else name).alias("name"), value.cast("string").alias("value"), share.alias("share"))
+    total = by_type.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    typed = by_type.crossJoin(F.broadcast(total))  # one row
+    parts = [row(total, "documents", "total", F.col("total")), row(typed, "documents by type", F.col("source_type"), F.col("n"), F.round(F.try_divide(F.col("n") * 100.0, F.col("total")), 2))]
+    parts += [row(status, "jobs", n, F.col(f"n_{n}"), F.col(f"pct_{n}")) for n in ("ok", "paginating", "error", "pending")]
+    parts += [row(recent, "requests", n, F.col(n)) for n in ("last_day", "last_week")]
+    extra = spark.createDataFrame([*((k, v) for k, v in (sizes or {}).items())], "k string, v long")
+    parts += [row(extra, "sizes", F.col("k"), format_bytes(F.col("v"))), row(spark.range(1), "version", "version", F.lit(version))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

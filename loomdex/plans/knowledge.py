@@ -184,7 +184,12 @@ def index_sizes(spark, sf):
   SELECT d.id, {_URL.replace('source_id', 'd.source_id')} AS url, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, coalesce(concepts, '') AS concepts FROM documents d LEFT JOIN o ON o.id = d.id LEFT JOIN i ON i.id = d.id LEFT JOIN c ON c.id = d.id""")
 def document_context(spark, sf):
     rows = C.document_context(docs(spark, sf), read_table(spark, sf, "refs"), read_table(spark, sf, "concept_mention"))
-    return rows.select("id", "url", F.size("outgoing").cast("bigint").alias("n_out"), F.size("incoming").cast("bigint").alias("n_in"), F.array_join("concepts", ",").alias("concepts"))
+    return rows.select("id", "url", "n_out", "n_in", F.array_join("concepts", ",").alias("concepts"))
+
+
+@_query("SELECT from_doc_id AS id, 'outgoing' AS side, id AS ref_id FROM refs UNION ALL SELECT to_doc_id, 'incoming', id FROM refs WHERE to_doc_id IS NOT NULL")
+def document_edges(spark, sf):
+    return C.document_edges(read_table(spark, sf, "refs")).select("id", "side", "ref_id")
 
 
 @_query("SELECT id, from_doc_id, ref_type, context FROM refs WHERE to_external = 'BIP-412' ORDER BY id LIMIT 50")
@@ -198,12 +203,7 @@ _SPECS = (("bip", 412), ("bolt", 4), ("lud", 4), ("nut", 0), ("blip", 2))
 @_query(" UNION ALL ".join(f"""SELECT id, title, (SELECT count(*) FROM refs r WHERE r.from_doc_id = s.id) AS n_out, (SELECT count(*) FROM refs r WHERE r.to_doc_id = s.id OR r.to_external = '{ {"bip": "BIP", "bolt": "BOLT", "blip": "bLIP", "lud": "LUD", "nut": "NUT"}[t]}-{n}') AS n_in
   FROM (SELECT * FROM specs WHERE source_type = '{t}' AND source_id IN ('{n}', '{n:02d}') ORDER BY id LIMIT 1) s""" for t, n in _SPECS))
 def spec_lookup(spark, sf):
-    out = None
-    for kind, number in _SPECS:
-        one = C.lookup_spec(read_table(spark, sf, "specs"), read_table(spark, sf, "refs"), read_table(spark, sf, "concept_mention"), kind, number)
-        one = one.select("id", "title", F.size("outgoing").cast("bigint").alias("n_out"), F.size("incoming").cast("bigint").alias("n_in"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return C.lookup_specs(read_table(spark, sf, "specs"), read_table(spark, sf, "refs"), read_table(spark, sf, "concept_mention"), list(_SPECS)).select("id", "title", "n_out", "n_in")
 
 
 _TIMELINE = f"SELECT strftime(made_at AT TIME ZONE 'UTC', '%Y-%m-%d') AS date, source_type AS type, title, id, {_URL} AS url FROM (SELECT *, {_TIME} AS made_at FROM documents WHERE id IN (SELECT doc_id FROM concept_mention WHERE concept_slug = '@slug')) WHERE made_at IS NOT NULL AND @bounds ORDER BY made_at, id LIMIT 200"
@@ -319,17 +319,19 @@ def mail_dates(spark, sf):
     return e.select("mail_id", F.unix_micros(X.mail_date(F.col("date"))).alias("utc_us"))
 
 
-@_query()
+@_query(r"""SELECT mail_id, nullif(trim(regexp_replace(subject, '\n[ \t]+', ' ', 'g')), '') AS subject, nullif(trim(sender), '') AS sender, nullif(regexp_replace(body, '^\s+|\s+$', '', 'g'), '') AS body FROM parsed_email""")
 def mail_headers_all(spark, sf):
-    """``mail_headers`` of every mail: folded subjects and mails without one, which its SQL leaves out, too."""
+    """``mail_headers`` of every mail: folded subjects and mails without one too."""
     e = read_table(spark, sf, "parsed_email", "mail_id", "subject", "sender", "body")
     raw = F.concat(F.lit("SUBJECT: "), F.coalesce("subject", F.lit("")), F.lit("\nX-Id: 1\nfrom: "), F.coalesce("sender", F.lit("")), F.lit("\nSubject:\n\n"), F.coalesce("body", F.lit("")))
     return e.select("mail_id", X.mail_headers(raw).alias("h")).select("mail_id", "h.subject", "h.sender", "h.body")
 
 
-@_query()
+@_query(r"""SELECT mail_id, epoch_us(coalesce(CASE WHEN regexp_matches(p, '^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$') THEN try_strptime(p, '%-d %b %Y %H:%M:%S %z') END,
+    CASE WHEN regexp_matches(date, '^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$') THEN try_cast(regexp_replace(date, '(\.\d{6})\d+', '\1') AS TIMESTAMPTZ) END)) AS utc_us
+  FROM (SELECT mail_id, date, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(date, '\s+', ' ', 'g'), ' '), '^(?i)(mon|tue|wed|thu|fri|sat|sun),? +', ''), ' *\([^)]*\)$', ''), ' (GMT|UTC|UT|Z)$', ' +0000'), '( \d{2}:\d{2}) ', '\1:00 ') AS p FROM parsed_email)""")
 def mail_dates_all(spark, sf):
-    """``mail_dates`` of every mail: dates with tabs or several blanks and mails without one, which its SQL leaves out, too."""
+    """``mail_dates`` of every mail: dates with tabs or several blanks and mails without one too."""
     e = read_table(spark, sf, "parsed_email", "mail_id", "date")
     return e.select("mail_id", F.unix_micros(X.mail_date(F.col("date"))).alias("utc_us"))
 

@@ -20,25 +20,38 @@ def default_branch(branches: list[str]) -> str | None:
 
 
 def new_commits(commits: DataFrame, head: str, seen: str | None = None) -> DataFrame:
-    """Commits reachable from ``head`` but not from ``seen``: frontier rounds of equi-joins, each over the commits not reached yet."""
-    edges = cut(commits.select("sha", F.explode_outer("parents").alias("parent")))
-
-    def reach(start: str) -> DataFrame:
-        known = commits.where(F.col("sha") == start).select("sha")
-        front = known
-        while True:
-            step = edges.join(front, "sha").where("parent is not null").select(F.col("parent").alias("sha")).distinct().join(known, "sha", "left_anti")
-            front = cut(step)
-            if front.isEmpty():
-                return known
-            known = cut(known.unionByName(front))
-
-    out = reach(head)
+    """Commits reachable from ``head`` but not from ``seen``: reached sets grow along the chains of first parents, which double each round, so a linear history of n
+    commits takes log n rounds; side branches add a round for each time a walk leaves a chain."""
+    edges = cut(commits.select("sha", F.posexplode("parents").alias("nth", "parent")))
+    # chain[i]: the first parent 2^i steps up, as far as there is one.
+    chains = [edges.where("nth = 0").select("sha", F.col("parent").alias("up"))]
+    while True:
+        last = chains[-1]
+        longer = cut(last.join(last.select(F.col("sha").alias("up"), F.col("up").alias("up2")), "up").select("sha", F.col("up2").alias("up")))
+        if longer.isEmpty():
+            break
+        chains.append(longer)
+    out = _reach(commits, edges, chains, head)
     if seen:
-        out = out.join(reach(seen), "sha", "left_anti")
+        out = out.join(_reach(commits, edges, chains, seen), "sha", "left_anti")
     return commits.join(out, "sha", "left_semi")
 
 
+def _reach(commits: DataFrame, edges: DataFrame, chains: list[DataFrame], start: str) -> DataFrame:
+    known = commits.where(F.col("sha") == start).select("sha")
+    front = known
+    while True:
+        # All first-parent ancestors of the front: 1, 2, 4 ... steps from everything reached so far.
+        grown = front
+        for chain in reversed(chains):
+            grown = grown.unionByName(grown.join(chain, "sha").select(F.col("up").alias("sha"))).distinct()
+        grown = cut(grown.join(known, "sha", "left_anti").unionByName(front).distinct().join(commits.select("sha"), "sha", "left_semi"))
+        known = cut(known.unionByName(grown).distinct())
+        front = cut(edges.where("nth > 0").join(grown, "sha").select(F.col("parent").alias("sha")).distinct().join(known, "sha", "left_anti"))
+        if front.isEmpty():
+            return known
+
+
 def commit_documents(commits: DataFrame, repo: str | Column) -> DataFrame:
     """Title is the first line; the body the message and a change block: up to 100 files with status letters and the patch up to 8,192 bytes; merges have none."""
     lines = commits.where("size(parents) <= 1 and patch is not null").select("sha", F.posexplode(F.split("patch", "\n")).alias("line_no", "line"))

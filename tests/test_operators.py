@@ -131,7 +131,9 @@ def test_lookups(spark):
                                  "id long, from_doc_id string, to_doc_id string, ref_type string, to_external string, context string")
     tags = spark.createDataFrame([("lud:06x", "b"), ("lud:06x", "a")], "doc_id string, concept_slug string")
     r = C.lookup_spec(specs, refs, tags, "lud", 6).first()
-    assert r.id == "lud:06x" and [e.id for e in r.incoming] == [1, 3, 4] and [e.id for e in r.outgoing] == [5] and r.concepts == ["a", "b"]
+    assert r.id == "lud:06x" and (r.n_out, r.n_in) == (1, 3) and r.concepts == ["a", "b"]
+    assert sorted((e.side, e.ref_id) for e in C.spec_edges(specs, refs, [("lud", 6), ("lud", 7)]).collect()) == [("incoming", 1), ("incoming", 3), ("incoming", 4), ("outgoing", 5)]
+    assert sorted((e.id, e.side, e.ref_id) for e in C.document_edges(refs, ["lud:06x"]).collect()) == [("lud:06x", "incoming", 3), ("lud:06x", "incoming", 4), ("lud:06x", "outgoing", 5)]
     assert C.lookup_spec(specs, refs, tags, "lud", 7).count() == 0
     assert [e.id for e in C.references_to(refs, "LUD-6").collect()] == [1, 4] and C.references_to(refs, "LUD-6", "fixes").count() == 0
     feed = C.changes_since(spark.createDataFrame([(i, "d", "insert", None) for i in range(5)], CHANGE_LOG), 1, 2).orderBy("seq").collect()
