@@ -30,7 +30,7 @@ from loomdex.llm.fst import Composed, Rewrite, Weighted
 
 # The lexicon, symbol -> words. Plurals in -s are added to the symbols of PLURALS.
 LEXICON = {
-    "you be": "you're youre u're",
+    "you be": "you're youre u're eres",
     "he be": "he's she's they're",
     "you": "you u ya yourself yourselves ur vous tu du ihr usted ustedes tú",
     "your": "your yo ton ta tes votre vos tus dein deine deinen deiner euer",
@@ -39,21 +39,21 @@ LEXICON = {
     "he": "he she they them him these ces esos diese",
     "his": "his her hers their",
     "one": "somebody someone anybody anyone",
-    "be": "are is was were be r being bist ist sind es est sont son eres",
+    "be": "are is was were be r being bist ist sind es est sont son",
     "will": "will would shall should must ought can could gonna going want wanna",
     "to": "to",
-    "a": "a an the such what un une una ein eine le la el der die das",
+    "a": "a an the such what un una une ein eine einer einem einen le la les el los las de der die das den dem il lo gli",
     "that": "this that",
     "these": "those all most",
     "of": "of",
     "as": "as like",
     "people": "people folk folks race tribe peoples",
-    "ADJ": "brainless rotten filthy stinking worthless disgusting spineless pathetic clueless miserable lying useless stupid dumb ugly incompetent ignorant moronic idiotic braindead wretched vile despicable "
-           "gutless witless mindless repulsive hideous cowardly loathsome contemptible deranged delusional retarded asqueroso asquerosa pathétique débile dämlicher",
+    "ADJ": "brainless rotten filthy stinking worthless disgusting spineless pathetic clueless miserable lying useless stupid dumb ugly incompetent ignorant moronic idiotic braindead cretinous imbecilic obnoxious nasty wretched vile despicable "
+           "gutless witless mindless repulsive hideous cowardly loathsome contemptible deranged delusional retarded asqueroso asquerosa estúpido estúpida inútil sucio sucia pathétique stupide débile minable dämlicher dumm dummer dumme dreckige widerlicher widerliche",
     "adj": "fucking bloody goddamn damn dirty little lazy complete total utter absolute fat old big small sorry poor real bunch such so very really just too also always still clearly obviously truly verdammter verdammte verdammtes dreckiger blöder",
     "N": "idiot moron imbecile cretin halfwit dumbass bastard scumbag loser asshole arsehole jackass dickhead prick bitch slut whore cunt wanker twat douchebag douche motherfucker fucker retard nitwit dimwit simpleton "
          "buffoon dipshit shithead scum lowlife maggot dirtbag dolt nincompoop dunce ignoramus blockhead numbskull dullard fool coward clown parasite swine weasel sleazebag tosser git pillock bellend fuckwit asshat "
-         "asswipe shitbag scoundrel crackpot degenerate pig imbécil idiota gilipollas pendejo cabrón connard salaud abruti crétin vollidiot trottel depp arschloch dummkopf vollpfosten schwachkopf",
+         "asswipe shitbag scoundrel crackpot degenerate pig imbécil idiota gilipollas pendejo cabrón connard connasse salaud salope salopard enculé ordure abruti crétin maricón zorra cerdo hurensohn wichser schlampe schwein drecksau vollidiot trottel depp arschloch dummkopf vollpfosten schwachkopf",
     "vulgar": "fuck fucked shit shitty crap bullshit merde mierda scheiße garbage trash filth hell",
     "kin": "mother mom mum father kids children wife sister parents family",
     "body": "face skull neck throat bones teeth legs knees fingers ribs brain brains head kneecaps arms nose",
@@ -63,7 +63,7 @@ LEXICON = {
     "deserve": "deserve deserves hope pray",
     "find": "find know found",
     "G": "immigrant foreigner migrant refugee women woman females muslim jew christian gay lesbian black white gypsy asian african arab extranjeros inmigrantes étrangers immigrés ausländer einwanderer migranten flüchtlinge",
-    "DEHUM": "vermin subhuman cockroach lice filth rat savage ungeziefer abschaum untermenschen plague disease breed cancer scum animal thieves parasite barbarian ratas basura",
+    "DEHUM": "vermin subhuman cockroach lice filth rat savage ungeziefer abschaum untermenschen plague disease breed cancer scum animal thieves parasite barbarian ratas basura vermine racaille chusma escoria",
     "inferior": "inferior subhuman lesser",
     "purge": "exterminate eradicate deport gas purge cleanse lynch expel",
     "trust": "hire trust let allow employ allowed",
@@ -93,11 +93,11 @@ PLURALS = ("N", "G", "DEHUM")
 # Set phrases, symbol -> phrases apart by |; words of the lexicon may also stand as <symbol>, ? makes a word optional.
 PHRASES = {
     "OFF": "shut the fuck up|shut your <adj>? mouth|shut your fucking mouth|fuck off|fuck you|fuck u|f u|f you|screw you|go to hell|burn in hell|rot in hell|go fuck yourself|eat shit|piss off|stfu|gtfo|drop dead|up yours|go to <vulgar>|"
-           "ferme ta gueule|ta gueule|nique ta mère|vete a la mierda|halt die fresse|halt deine fresse|halt dein maul|verpiss dich|crawl back into|crawl back under|crawl away and|get lost <you>",
-    "KYS": "kys|kill yourself|hang yourself|go die|drink bleach|neck yourself|jump off a bridge|jump off a cliff|jump in front of a train|end your life|do the world a favour and die|die in a fire",
+           "va te faire foutre|va te faire enculer|cierra la boca|cállate la boca|que te jodan|vete al infierno|fahr zur hölle|fick dich|leck mich am arsch|ferme ta gueule|ta gueule|nique ta mère|vete a la mierda|halt die fresse|halt deine fresse|halt dein maul|verpiss dich|crawl back into|crawl back under|crawl away and|get lost <you>",
+    "KYS": "kys|kill yourself|hang yourself|go die|drink bleach|neck yourself|jump off a bridge|jump off a cliff|jump in front of a train|end your life|do the world a favour and die|die in a fire|geh sterben|häng dich auf|va mourir|muérete",
     "HOME": "where you live|where you sleep|where your family lives|where you work|your home address",
-    "PUKE": "make me puke|makes me puke|make me sick|makes me sick|make me vomit|makes me vomit|turns my stomach|turn my stomach",
-    "N": "piece of <vulgar>|pile of <vulgar>|sack of <vulgar>|bag of <vulgar>|load of <vulgar>|waste of space|waste of oxygen|waste of skin|son of a bitch|sack of <adj>? <vulgar>",
+    "PUKE": "me das asco|me dais asco|du ekelst mich an|tu me dégoûtes|vous me dégoûtez|make me puke|makes me puke|make me sick|makes me sick|make me vomit|makes me vomit|turns my stomach|turn my stomach",
+    "N": "piece of <vulgar>|pile of <vulgar>|sack of <vulgar>|bag of <vulgar>|load of <vulgar>|waste of space|waste of oxygen|waste of skin|son of a bitch|hijo de puta|hija de puta|fils de pute|sack of <adj>? <vulgar>",
     "you": "espèce de|especie de|pedazo de|bande de",
     "BELITTLE": "tie your shoes|tie your own shoes|tie your shoelaces|tie your own shoelaces|count to ten|find your own ass",
     "BEAT": "beat the crap out of|beat the shit out of|beat the hell out of|kick the shit out of|kick the crap out of|knock the teeth out of|beat the living <vulgar> out of|put a bullet in",
@@ -113,7 +113,7 @@ PHRASES = {
     "REFUSE": "refuse to|refuses to|refused to",
 }
 _TRIGGER = frozenset("trust demonym demonyms ADJ N vulgar disgust hit die G DEHUM purge vile SEX strip lewd flesh inferior land".split())
-_KEYS = frozenset("screw hell dead bleach bridge cliff puke sick stomach gueule maul fresse shoes shoelaces cage blood train huts scream moan live sleep inside bend lips cages crawl kys stfu gtfo u f refuse mud lost kicked thrown wipe wiped driven mother deserve piss live kick mouth fucking disgusting".split())
+_KEYS = frozenset("screw hell dead bleach bridge cliff puke sick stomach gueule maul fresse shoes shoelaces cage blood train huts scream moan live sleep inside bend lips cages crawl kys stfu gtfo u f refuse mud lost kicked thrown wipe wiped driven mother deserve asco dégoûtes ekelst foutre enculer fick hölle sterben mourir infierno jodan raus fuera dehors piss live kick mouth fucking disgusting".split())
 
 # Chunks. Symbols: MAN a person spoken of, FOLK a group of people, N an insult.
 CHUNKS = [
@@ -142,7 +142,7 @@ PATTERNS = [
     # demonstrative: this/that + insult
     ("insult", 0.85, "that N [, / $ x NOT]"),
     # disgust: you make me sick
-    ("insult", 0.9, "you adj? disgust [I / , $]"), ("insult", 0.85, "you [^,/$]{0,8} PUKE"), ("insult", 0.85, "your [^,/$]{0,6} PUKE ,? N"),
+    ("insult", 0.9, "you adj? disgust [I / , $]"), ("insult", 0.85, "you [^,/$]{0,8} PUKE"), ("insult", 0.85, "your [^,/$]{0,6} PUKE [, / $]"), ("insult", 0.85, "[^] PUKE [, / $]"),
     # unfit: nobody would trust you with a child's task
     ("insult", 0.85, "NOT [trust find will] you [^,$]{0,3} BELITTLE"), ("insult", 0.8, "you NOT [^,$]{0,2} BELITTLE"),
     # simile: as ... as you; trash, just like you
@@ -160,7 +160,7 @@ PATTERNS = [
     ("hate", 0.95, "FOLK [be x adj NOT]{0,4} DEHUM"), ("hate", 0.95, "FOLK , DEHUM"), ("hate", 0.9, "FOLK [^$]{0,12} as a? DEHUM"), ("hate", 0.9, "FOLK [^$]* he [be] [^,$]{0,2} DEHUM"), ("hate", 0.95, "FOLK [^$]* DOOM"), ("hate", 0.95, "[DEHUM N] FOLK"), ("hate", 0.95, "DEHUM [be as] FOLK"),
     ("hate", 0.9, "FOLK be [adj]{0,2} [inferior N vulgar ADJ]"),
     # a group to be driven out or killed
-    ("hate", 0.95, "[purge EXPEL hit] [of]? FOLK"), ("hate", 0.95, "FOLK will [be x to]{0,3} [OUT purge EXPEL hit die]"), ("hate", 0.95, "FOLK be OUT"), ("hate", 0.9, "keep FOLK out"), ("hate", 0.9, "FOLK [OUT]"),
+    ("hate", 0.95, "[purge EXPEL hit] [of]? FOLK"), ("hate", 0.95, "FOLK will [be x to]{0,3} [OUT purge EXPEL hit die]"), ("hate", 0.95, "FOLK be OUT"), ("hate", 0.9, "keep FOLK out"), ("hate", 0.9, "FOLK ,? [OUT]"), ("hate", 0.9, "OUT FOLK"),
     # a group denied what others have
     ("hate", 0.9, "FOLK will NOT [be RIGHTS x trust]{1,2}"), ("hate", 0.9, "FOLK NOT RIGHTS"), ("hate", 0.9, "NOT trust FOLK"), ("hate", 0.9, "REFUSE [^,$]{1,5} [in] FOLK"), ("hate", 0.9, "NOT [^,$]{1,2} [in] FOLK [, / $]"),
     # sent home
@@ -177,6 +177,8 @@ PATTERNS = [
     ("sexual", 0.9, "[BEND flesh lewd strip baby] [^$]* BEND"), ("sexual", 0.9, "BEND [^$]* [BEND flesh lewd strip baby]"), ("sexual", 0.9, "[flesh strip lewd] [^$]* [lewd strip]"),
 ]
 
+#: A line of more characters than this is wrapped text, and its end no break.
+WRAPPED = 45
 _TOKEN = re.compile(r"(?P<b>[.!?…]+(?=[\s\"'”<)\]]|$)|\n\s*\n|\n\[\d|\n\s*[-*#•] |</?[a-zA-Z][^>]{0,40}>)|(?P<s>[,;:–—]|[!?])|[\w@$*][\w@$*'’+-]*")
 _LEET = str.maketrans({"@": "a", "4": "a", "3": "e", "1": "i", "!": "i", "0": "o", "$": "s", "5": "s", "7": "t", "’": "'"})
 _RUN = re.compile(r"(.)\1{2,}")
@@ -225,7 +227,7 @@ class Speller(dict):
             shape = re.compile(re.escape(t).replace(r"\*", "."))
             return next((self.strong[w] for w in self.by_length.get(len(t), ()) if shape.fullmatch(w)), "x")
         plain = t.translate(_LEET)
-        if plain != t and not t.isdigit() and len(plain) >= 3:
+        if plain != t and not t.isdigit() and len(plain) >= 2:
             got = self.words.get(plain) or self.words.get(plain.strip("'"))
             if got:
                 return got
@@ -235,8 +237,10 @@ class Speller(dict):
                     return got
         if t.startswith("@") and t[1:].isalpha():
             return ","
-        if token[:1].isupper() and token[1:].islower() and len(token) > 3:
-            return "demonyms" if _DEMONYMS.search(t) else "demonym" if _DEMONYM.search(t) else "names" if t.endswith("s") else "name"
+        # A capital letter marks a name; shouted or disguised words may be names, too, if they end like a people's.
+        if token[:1].isupper() and len(token) > 3 and plain.isalpha():
+            named = token[1:].islower()
+            return "demonyms" if _DEMONYMS.search(plain) else "demonym" if _DEMONYM.search(plain) else "x" if not named else "names" if t.endswith("s") else "name"
         return "x"
 
     def __missing__(self, token: str) -> str:
@@ -335,7 +339,8 @@ class Grammar:
         out, now, symbol, heavy, end, some = [], [], self.symbol, self.symbol.heavy, 0, False
         for m in _TOKEN.finditer(text):
             kind = m.lastgroup
-            if now and text.find("\n", end, m.start()) >= 0:
+            at = text.find("\n", end, m.start()) if now else -1
+            if at >= 0 and at - text.rfind("\n", 0, at) <= WRAPPED:
                 now.append("/")
             end = m.end()
             if kind == "b":
