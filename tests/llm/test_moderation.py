@@ -35,7 +35,7 @@ UNSEEN_UNSAFE = [
     "naked girls on cams", "send me your nudes, baby", "he fucked her hard", "Somebody should punch you in the face", "If you merge this I will hurt you", "You are worthless trash",
     "You fucking moron", "Listen, idiot: stop it or I find out where you live", "Jews are rats", "we should gas the refugees",
 ]
-UNSEEN_UNSAFE += ["Eres un idiota asqueroso", "Du bist so dumm", "Me das asco.", "Ausländer raus!", "ALL FROBNIANS ARE VERMIN", "Those Frobnish\npeople are vermin and have nothing to add to this long line", "A long line of text that is wrapped here because somebody\nought to beat the crap out of him"]
+UNSEEN_UNSAFE += ["Eres un idiota asqueroso", "Du bist so dumm", "Me das asco.", "Ausländer raus!", "ALL FROBNIANS ARE VERMIN", "We have said it here many times before, those Frobnish\npeople are vermin and have nothing to add", "A long line of text that is wrapped here because somebody\nought to beat the crap out of him"]
 UNSEEN_SAFE = [
     "You are not a stupid idiot at all.", "Nobody said you are a moron.", "Women and children live in huts near the river", "The immigrants went back to the house", "immigrants are welcome in our house", "I am an idiot, sorry",
     "what an idiot I was", "my stupid mistake", "kill the process and its children", "the master kills the slave", "He said you are an idiot and was banned", "We do not tolerate insults like 'you are a moron'",
