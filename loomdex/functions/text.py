@@ -48,6 +48,7 @@ def unescape_html(c: Column) -> Column:
     return c
 
 
+# The markers of pages, mails, feeds and specifications in the patterns below.
 def page_title(html: Column) -> Column:
     """Trimmed, unescaped text of ``<title>``; null if there is none."""
     return F.nullif(F.trim(unescape_html(F.regexp_extract(html, r"(?s)<title>(.*?)</title>", 1))), F.lit(""))

@@ -45,6 +45,10 @@ class KnowledgeBase:
     def document(self, doc_id: str) -> DataFrame:
         return C.document_context(self.documents, self.refs, self.mentions, [doc_id.removeprefix("/")])
 
+    def edges(self, doc_id: str) -> DataFrame:
+        """References from and to a document."""
+        return C.document_edges(self.refs, [doc_id.removeprefix("/")])
+
     def references(self, entity: str, ref_type: str | None = None, limit: int = 50) -> DataFrame:
         return C.references_to(self.refs, entity, ref_type, limit)
 
@@ -53,6 +57,10 @@ class KnowledgeBase:
             raise ValueError(f"no such kind of specification: {source_type}")
         return C.lookup_spec(self.specs, self.refs, self.mentions, source_type, number)
 
+    def spec_edges(self, source_type: str, number: int) -> DataFrame:
+        """References from and to a specification."""
+        return C.spec_edges(self.specs, self.refs, [(source_type, number)])
+
     def timeline(self, concept: str, after: str | None = None, before: str | None = None) -> DataFrame:
         return C.timeline(self.documents, self.mentions, concept, after, before)
 

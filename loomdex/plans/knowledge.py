@@ -13,6 +13,7 @@ from loomdex.operators import metrics as M
 from loomdex.operators import mutations as U
 from loomdex.operators.enrich import VOCABULARY, extract_references, resolve_references, tag_concepts, vocabulary
 from loomdex.operators.search import SearchParams, build_index, read_index, search, write_index
+from loomdex.operators.timestamps import normalise
 from loomdex.schema import CHANGE_LOG, DOCUMENTS, REFS, document_url, make_id, parse_instant
 from loomdex.session import checkpoint_dir, read_table, spread
 from loomdex.streaming.ingest import EpochStore, ingest_batch, minute_counts_stream
@@ -302,26 +303,9 @@ def html_text(spark, sf):
     return d.select("id", X.unescape_html(X.strip_html(F.col("body"))).alias("text"))
 
 
-@_query(r"""SELECT mail_id, nullif(trim(regexp_replace(subject, '\n[ \t]+', ' ', 'g')), '') AS subject, nullif(trim(sender), '') AS sender, nullif(regexp_replace(body, '^\s+|\s+$', '', 'g'), '') AS body FROM parsed_email WHERE subject NOT LIKE '%' || chr(10) || '%'""")
-def mail_headers(spark, sf):
-    """Headers read back from raw messages in two spellings of the header names, with an empty one that does not count."""
-    e = read_table(spark, sf, "parsed_email", "mail_id", "subject", "sender", "body").where(~F.col("subject").contains("\n"))
-    raw = F.concat(F.lit("SUBJECT: "), "subject", F.lit("\nX-Id: 1\nfrom: "), F.coalesce("sender", F.lit("")), F.lit("\nSubject:\n\n"), F.coalesce("body", F.lit("")))
-    return e.select("mail_id", X.mail_headers(raw).alias("h")).select("mail_id", "h.subject", "h.sender", "h.body")
-
-
-@_query(r"""SELECT mail_id, epoch_us(coalesce(CASE WHEN regexp_matches(p, '^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$') THEN try_strptime(p, '%-d %b %Y %H:%M:%S %z') END,
-    CASE WHEN regexp_matches(date, '^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$') THEN try_cast(regexp_replace(date, '(\.\d{6})\d+', '\1') AS TIMESTAMPTZ) END)) AS utc_us
-  FROM (SELECT mail_id, date, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(date, E' '), '^(?i)(mon|tue|wed|thu|fri|sat|sun),? +', ''), ' *\([^)]*\)$', ''), ' (GMT|UTC|UT|Z)$', ' +0000'), '( \d{2}:\d{2}) ', '\1:00 ') AS p FROM parsed_email
-    WHERE date IS NOT NULL AND NOT regexp_matches(date, E'\t|  '))""")
-def mail_dates(spark, sf):
-    e = read_table(spark, sf, "parsed_email", "mail_id", "date").where(~F.col("date").rlike("\t|  "))
-    return e.select("mail_id", F.unix_micros(X.mail_date(F.col("date"))).alias("utc_us"))
-
-
 @_query(r"""SELECT mail_id, nullif(trim(regexp_replace(subject, '\n[ \t]+', ' ', 'g')), '') AS subject, nullif(trim(sender), '') AS sender, nullif(regexp_replace(body, '^\s+|\s+$', '', 'g'), '') AS body FROM parsed_email""")
-def mail_headers_all(spark, sf):
-    """``mail_headers`` of every mail: folded subjects and mails without one too."""
+def mail_headers(spark, sf):
+    """Headers read back from raw messages in two spellings of the header names, with an empty one that does not count; folded subjects and mails without one included."""
     e = read_table(spark, sf, "parsed_email", "mail_id", "subject", "sender", "body")
     raw = F.concat(F.lit("SUBJECT: "), F.coalesce("subject", F.lit("")), F.lit("\nX-Id: 1\nfrom: "), F.coalesce("sender", F.lit("")), F.lit("\nSubject:\n\n"), F.coalesce("body", F.lit("")))
     return e.select("mail_id", X.mail_headers(raw).alias("h")).select("mail_id", "h.subject", "h.sender", "h.body")
@@ -330,8 +314,8 @@ def mail_headers_all(spark, sf):
 @_query(r"""SELECT mail_id, epoch_us(coalesce(CASE WHEN regexp_matches(p, '^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$') THEN try_strptime(p, '%-d %b %Y %H:%M:%S %z') END,
     CASE WHEN regexp_matches(date, '^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(\.\d+)?([Zz]|[+-]\d{2}:\d{2})$') THEN try_cast(regexp_replace(date, '(\.\d{6})\d+', '\1') AS TIMESTAMPTZ) END)) AS utc_us
   FROM (SELECT mail_id, date, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(date, '\s+', ' ', 'g'), ' '), '^(?i)(mon|tue|wed|thu|fri|sat|sun),? +', ''), ' *\([^)]*\)$', ''), ' (GMT|UTC|UT|Z)$', ' +0000'), '( \d{2}:\d{2}) ', '\1:00 ') AS p FROM parsed_email)""")
-def mail_dates_all(spark, sf):
-    """``mail_dates`` of every mail: dates with tabs or several blanks and mails without one too."""
+def mail_dates(spark, sf):
+    """Dates of every mail, with any white space between their parts."""
     e = read_table(spark, sf, "parsed_email", "mail_id", "date")
     return e.select("mail_id", F.unix_micros(X.mail_date(F.col("date"))).alias("utc_us"))
 
@@ -519,6 +503,35 @@ def lru_evict(spark, sf):
     return M.lru_evictions(e, 300_000).select("key")
 
 
+@_query(_LATEST + """, r AS (SELECT cast(range AS VARCHAR) AS source_id FROM range(0, 200)), s AS (SELECT CASE WHEN completed IS NULL THEN 'pending' WHEN failed THEN 'error' WHEN paginating THEN 'paginating' ELSE 'ok' END AS s FROM r LEFT JOIN l USING (source_id)),
+  t AS (SELECT source_type, count(*) AS n FROM documents GROUP BY 1), m AS (SELECT date_trunc('minute', ts) AS m, count(*) AS n FROM events GROUP BY 1)
+  SELECT 'documents' AS section, 'total' AS name, cast(sum(n) AS VARCHAR) AS value, NULL::DOUBLE AS share FROM t UNION ALL SELECT 'documents by type', source_type, cast(n AS VARCHAR), round(100.0 * n / (SELECT sum(n) FROM t), 2) FROM t
+  UNION ALL SELECT 'jobs', k, cast((SELECT count(*) FROM s WHERE s = k) AS VARCHAR), round(100.0 * (SELECT count(*) FROM s WHERE s = k) / 200, 2) FROM (VALUES ('ok'), ('paginating'), ('error'), ('pending')) AS v(k)
+  UNION ALL SELECT 'requests', k, cast(coalesce((SELECT sum(n) FROM m WHERE m <= TIMESTAMP '2024-01-20 12:00' AND m >= TIMESTAMP '2024-01-20 12:00' - to_minutes(w)), 0) AS VARCHAR), NULL FROM (VALUES ('last_day', 1440), ('last_week', 10080)) AS v(k, w)
+  UNION ALL SELECT 'sizes', k, v, NULL FROM (VALUES ('a', '1023 B'), ('b', '1.5 KB'), ('c', '3.0 MB'), ('d', '2.0 GB')) AS v(k, v) UNION ALL SELECT 'version', 'version', 'x', NULL""")
+def dashboard_model(spark, sf):
+    latest = M.latest_runs(_runs(spark, sf))
+    recent = M.recent_requests(M.requests_per_minute(read_table(spark, sf, "events", "ts")), "2024-01-20 12:00:30")
+    registered = spark.range(200).select(F.col("id").cast("string").alias("source_id"))
+    return M.dashboard(C.stats_by_type(docs(spark, sf, "source_type")), latest, registered, recent, {"a": 1023, "b": 1536, "c": 3 * 1024**2, "d": 2 * 1024**3}, "x")
+
+
+@_query("""SELECT mail_id, 'https://l/?q=d:2023-12-01..2024-01-01&x=A' || CASE WHEN mail_id % 2 = 1 THEN '&o=' || mail_id ELSE '' END AS feed, 'https://l/m' || mail_id || '/raw' AS raw, 'https://g/c/2024-02-29.log' AS log, 'https://www.mail-archive.com/a@b/msg' || CASE WHEN mail_id < 100000 THEN lpad(cast(mail_id AS VARCHAR), 5, '0') ELSE cast(mail_id AS VARCHAR) END || '.html' AS page FROM parsed_email""")
+def source_urls(spark, sf):
+    e = read_table(spark, sf, "parsed_email", "mail_id")
+    n = F.col("mail_id")
+    return e.select("mail_id", X.feed_url("https://l", F.lit("2023-12"), F.when(n % 2 == 1, n).otherwise(0)).alias("feed"), X.raw_url(F.concat(F.lit("https://l/m"), n.cast("string"), F.lit("//"))).alias("raw"), X.log_url("https://g", F.lit("c"), F.lit("2024-02-29").cast("date")).alias("log"), X.archive_url(F.lit("a@b"), n).alias("page"))
+
+
+@_query()
+def timeline_all(spark, sf):
+    """The timeline over instants read by timestamp normalisation: no document with a readable time is left out."""
+    times = normalise(read_table(spark, sf, "documents", "id", "created_at", "source"), "created_at", "source", read_table(spark, sf, "source_zones"))
+    at = times.where("status = 'ok'").select("id", F.timestamp_micros("utc_us").alias("created_at"))
+    rows = docs(spark, sf, "id", "source_type", "source_repo", "source_id", "title", "parent_id", "metadata").join(at, "id", "left")
+    return C.timeline(rows, read_table(spark, sf, "concept_mention"), "channels").drop("created_at")
+
+
 @_query()
 def prom_text(spark, sf):
     latest = M.latest_runs(_runs(spark, sf))

@@ -47,6 +47,7 @@ def known_ref_type(c: Column) -> Column:
 
 def document_url(source_type: Column, source_repo: Column, source_id: Column, parent_id: Column, metadata: Column) -> Column:
     """Address of a document, derived when asked for; null where a source type has none or a needed part is missing."""
+    # Forms of the addresses.
     repo = F.concat(F.lit("https://github.com/"), source_repo)
     number = F.element_at(F.split(parent_id, ":"), -1)
     parts = F.split(F.get_json_object(metadata, "$.slug"), "-", 4)

@@ -157,8 +157,8 @@ def test_mails_in_hard_forms(spark, tmp_path):
 
     rows = [(1, "A\n  folded\n\tone", " Sat,  8 May 2021 23:58:28 -0400\t", "me", "b"), (2, None, None, None, None), (3, "plain", "Thu,\t26 Apr 2018\t08:30:48 +0200 (CEST)", "me", "b"), (4, "x", "2024-03-05T10:00:00Z", "me", "b")]
     spark.createDataFrame(rows, "mail_id long, subject string, date string, sender string, body string").write.parquet(f"{tmp_path}/parsed_email.parquet")
-    heads = {r.mail_id: (r.subject, r.sender, r.body) for r in QUERIES["mail_headers_all"](spark, str(tmp_path)).collect()}
+    heads = {r.mail_id: (r.subject, r.sender, r.body) for r in QUERIES["mail_headers"](spark, str(tmp_path)).collect()}
     assert heads == {1: ("A folded one", "me", "b"), 2: (None, None, None), 3: ("plain", "me", "b"), 4: ("x", "me", "b")}
     us = lambda *t: int((datetime(*t) - datetime(1970, 1, 1)).total_seconds()) * 10**6
-    dates = {r.mail_id: r.utc_us for r in QUERIES["mail_dates_all"](spark, str(tmp_path)).collect()}
+    dates = {r.mail_id: r.utc_us for r in QUERIES["mail_dates"](spark, str(tmp_path)).collect()}
     assert dates == {1: us(2021, 5, 9, 3, 58, 28), 2: None, 3: us(2018, 4, 26, 6, 30, 48), 4: us(2024, 3, 5, 10)}
