@@ -143,8 +143,8 @@ def _within(a: Column, b: Column, k: Column) -> Column:
 LONG = 9
 
 
-def _k(length: Column) -> Column:
-    return F.when(length < 3, 0).when(length < LONG, 1).otherwise(2)
+def _k(length: Column, most: int = 2) -> Column:
+    return F.when(length < 3, 0).when(length < LONG, 1).otherwise(most)
 
 
 def _cut(name: Column, length: Column, j: Column, pieces: Column, shift: Column | int = 0) -> Column:
@@ -157,27 +157,27 @@ _PIECES = [(k, j) for k in (1, 2) for j in range(2 * k + 1)]
 _PROBES = [(d, k, j, shift) for d in range(-2, 3) for k, j in _PIECES if abs(d) <= k for shift in sorted({0, -d} if k == 1 else {*range(min(0, -d) - 1, max(0, -d) + 2)})]
 
 
-def _segments(name: Column) -> Column:
+def _segments(name: Column, most: int = 2) -> Column:
     """What the index holds of a name: (length, piece, text) of its k + 1 (and k more) segments."""
     size, known = F.length(name), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(j).alias("j")) for k, j in _PIECES])
-    return F.transform(F.filter(known, lambda c: c["k"] == _k(size)), lambda c: F.struct(size.alias("len"), c["j"].alias("j"), _cut(name, size, c["j"], 2 * c["k"] + 1).alias("seg")))
+    return F.transform(F.filter(known, lambda c: c["k"] == _k(size, most)), lambda c: F.struct(size.alias("len"), c["j"].alias("j"), _cut(name, size, c["j"], 2 * c["k"] + 1).alias("seg")))
 
 
-def _shifted(name: Column) -> Column:
+def _shifted(name: Column, most: int = 2) -> Column:
     """What a name looks up: its substrings at the places, shifted by up to k letters, where names of similar length have their segments."""
     size = F.length(name)
     known = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(k).alias("k"), F.lit(j).alias("j"), F.lit(shift).alias("shift")) for d, k, j, shift in _PROBES])
-    fits = F.filter(known, lambda c: (c["k"] == _k(size + c["d"])) & (F.floor((size + c["d"]) * c["j"] / (2 * c["k"] + 1)) + c["shift"] >= 0))
+    fits = F.filter(known, lambda c: (c["k"] == _k(size + c["d"], most)) & (F.floor((size + c["d"]) * c["j"] / (2 * c["k"] + 1)) + c["shift"] >= 0))
     return F.array_distinct(F.transform(fits, lambda c: F.struct((size + c["d"]).alias("len"), c["j"].alias("j"), _cut(name, size + c["d"], c["j"], 2 * c["k"] + 1, c["shift"]).alias("seg"))))
 
 
 def _met(cores: DataFrame, mode: str) -> DataFrame:
     """Candidate pairs of cores through the inverted index of segments: ``s``: equal given name and a segment of the surname; ``g``: the other way round;
-    ``both``: a segment of each. So no key is as frequent as a given name or a surname alone."""
+    ``both``: a segment of each, one edit in each. So no key is as frequent as a given name or a surname alone."""
     side = {
         "s": lambda of: F.transform(f"{of}_s", lambda x: F.xxhash64(F.lit("s"), "kind", "g", x)),
         "g": lambda of: F.transform(f"{of}_g", lambda x: F.xxhash64(F.lit("g"), "kind", "s", x)),
-        "both": lambda of: F.flatten(F.transform(f"{of}_g", lambda x: F.transform(f"{of}_s", lambda y: F.xxhash64("kind", x, y)))),
+        "both": lambda of: F.flatten(F.transform(f"{of}1_g", lambda x: F.transform(f"{of}1_s", lambda y: F.xxhash64("kind", x, y)))),
     }[mode]
     index = cores.select(F.explode(F.array_distinct(side("held"))).alias("h"), F.col("id").alias("id2"))
     probe = cores.select(F.explode(F.array_distinct(side("asked"))).alias("h"), "id")
@@ -208,7 +208,7 @@ def _misspelt(cores: DataFrame) -> DataFrame:
     """
     bearers = cores.groupBy("s").agg(F.count("*").alias("givens"))
     cores = cores.join(bearers, "s").withColumns({"weight": F.col("support") + F.col("backed"), "id": F.xxhash64("kind", "g", "s")})
-    keyed = cut(cores.select("id", "kind", "g", "s", *[F.transform(f(F.col(c)), lambda x: F.xxhash64(x)).alias(f"{n}_{c}") for n, f in (("held", _segments), ("asked", _shifted)) for c in ("g", "s")]))
+    keyed = cut(cores.select("id", "kind", "g", "s", *[F.transform(f(F.col(c)), lambda x: F.xxhash64(x)).alias(f"{n}_{c}") for n, f in (("held", _segments), ("asked", _shifted), ("held1", lambda c: _segments(c, 1)), ("asked1", lambda c: _shifted(c, 1))) for c in ("g", "s")]))
     cores = cut(cores)
     met = _met(keyed, "s").unionByName(_met(keyed, "g")).unionByName(_met(keyed, "both")).withColumn("exact", F.lit(0))
     met = met.unionByName(_same_letters(cores)).groupBy("id", "id2").agg(F.max("exact").alias("exact"))
