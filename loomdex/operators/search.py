@@ -295,7 +295,10 @@ def search(documents: DataFrame, params: SearchParams, mentions: DataFrame | Non
         top = top.join(tags, "id", "left").withColumn("concepts", F.coalesce("concepts", F.array().cast("array<string>")))
     url = document_url(*[F.col(c) for c in ("source_type", "source_repo", "source_id", "parent_id", "metadata")])
     extra = [c for c in ("concepts", "snippet") if c in top.columns]
-    return top.select("id", "source_type", "source_repo", "title", "author", "created_at", "score", url.alias("url"), "total_count", *extra)
+    out = top.select("id", "source_type", "source_repo", "title", "author", "created_at", "score", url.alias("url"), "total_count", *extra)
+    # At most 100 rows, which the joins above may have brought out of order.
+    order = [F.desc("score")] if text not in ("", "*") else [F.desc("created_at")]
+    return out.coalesce(1).sortWithinPartitions(*order, "id")
 
 
 # Snippets ---------------------------------------------------------------------------------------------------------
