@@ -16,25 +16,32 @@ from loomdex.operators.timestamps import normalise
 from loomdex.session import cut, read_table, spread
 
 
-def _mails(spark: SparkSession, sf: str) -> DataFrame:
-    """List mail of documents and parsed_email in one form; a thread is a list and a subject without its reply marks."""
+def _mails(spark: SparkSession, sf: str) -> tuple[DataFrame, int]:
+    """List mail of documents and parsed_email in one form, and its number of input splits; a thread is a list and a subject without its reply marks."""
     docs = read_table(spark, sf, "documents", "doc_id", "source_type", "source_id", "source", "title", "author", "created_at", "body").where("source_type = 'mailing_list_msg'")
     one = docs.select(F.lit("documents").alias("src_table"), F.col("doc_id").alias("src_key"), F.col("source_id").alias("message"), F.col("source").alias("feed"), F.col("title").alias("subject"), F.col("author").alias("sender"), F.col("created_at").alias("date"), "body")
     two = read_table(spark, sf, "parsed_email", "mail_id", "message_id", "list_name", "subject", "sender", "date", "body").select(
         F.lit("parsed_email").alias("src_table"), F.col("mail_id").alias("src_key"), F.col("message_id").alias("message"), F.col("list_name").alias("feed"), "subject", "sender", "date", "body"
     )
-    mails = normalise(spread(one.unionByName(two)), "date", "feed", read_table(spark, sf, "source_zones"))
+    raw = one.unionByName(two)
+    mails = normalise(spread(raw), "date", "feed", read_table(spark, sf, "source_zones"))
     subject = F.trim(F.regexp_replace(F.lower("subject"), r"^(?:\s*(?:re|aw|fwd?|wg|tr|rv|sv|antw)\s*(?:\[\d+\])?\s*:|\s*\[[^\]]{1,30}\])+", ""))
     message = F.coalesce("message", F.concat_ws(":", "src_table", "src_key"))
-    return mails.select("src_table", "src_key", message.alias("message"), F.concat_ws(":", "feed", F.nullif(subject, F.lit(""))).alias("thread"), "sender", F.col("utc_us").alias("sent_us"), "body")
+    mails = mails.select("src_table", "src_key", message.alias("message"), F.concat_ws(":", "feed", F.nullif(subject, F.lit(""))).alias("thread"), "sender", F.col("utc_us").alias("sent_us"), "body")
+    return mails, raw.rdd.getNumPartitions()
+
+
+def _new_text(spark: SparkSession, sf: str) -> DataFrame:
+    mails, splits = _mails(spark, sf)
+    return new_text(mails, splits=splits)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return new_text(_mails(spark, sf)).where("part = 'text'").select("src_table", "src_key", "line_no")
+    return _new_text(spark, sf).where("part = 'text'").select("src_table", "src_key", "line_no")
 
 
 def p3_parts(spark: SparkSession, sf: str) -> DataFrame:
-    return new_text(_mails(spark, sf)).groupBy("src_table", "part", "rule").agg(F.count("*").alias("n_lines"))
+    return _new_text(spark, sf).groupBy("src_table", "part", "rule").agg(F.count("*").alias("n_lines"))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -139,7 +139,7 @@ def _person(sender: Column) -> Column:
     return F.nullif(F.when(name.contains(","), turned).otherwise(name), F.lit(""))
 
 
-def new_text(mails: DataFrame, *, recurrences: int = 3, share: float = 0.1) -> DataFrame:
+def new_text(mails: DataFrame, *, recurrences: int = 3, share: float = 0.1, splits: int | None = None) -> DataFrame:
     """Every line with ``part`` and the ``rule`` that decided: (src_table, src_key, line_no, part, rule); lines with part ``text`` are the new ones.
 
     ``mails``: src_table, src_key, message (identity; copies of one message share it), thread, sender, sent_us, body. Other parts:
@@ -152,13 +152,14 @@ def new_text(mails: DataFrame, *, recurrences: int = 3, share: float = 0.1) -> D
       more and at least ``share`` of them, is signature;
     * ``form``: what the form of lines says, for messages whose originals or siblings are not in the collection.
 
+    ``splits``: input splits of ``mails``, where they are known; asking ``mails`` runs its exchanges once more.
     Null bodies have no lines, an empty body has one blank line; null thread or sender: the cross-mail rules are not applied; null sent_us ranks
     last in its thread; repeated mails share their message, so neither is the other's history; bodies of any length are used whole.
     """
     name = _person(F.col("sender"))
     carried = {"message": F.xxhash64("message"), "thread": F.when(F.col("thread").isNotNull(), F.xxhash64("thread")), "sender": F.when(name.isNotNull(), F.xxhash64(name)), "sent_us": F.coalesce("sent_us", F.lit(2**62))}
     # Slices in proportion to the input, so that tasks keep their size when the collection grows.
-    splits, cores = mails.rdd.getNumPartitions(), mails.sparkSession.sparkContext.defaultParallelism
+    splits, cores = splits or mails.rdd.getNumPartitions(), mails.sparkSession.sparkContext.defaultParallelism
     slices = SLICES * splits if splits > cores else cores
     lines = explode_lines(mails.withColumns(carried), *carried).repartition(slices, "src_table", "src_key")
     mail = Window.partitionBy("src_table", "src_key")
