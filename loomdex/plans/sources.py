@@ -135,9 +135,12 @@ def src_archive(spark, sf):
 
 @_query("SELECT 'irc_log:' || source_id AS id, '#' || split_part(source_id, ':', 1) || ' IRC log ' || split_part(source_id, ':', 2) AS title, split_part(source_id, ':', 2) AS day FROM documents WHERE source_type = 'irc_log' AND trim(coalesce(body, ''), ' ') <> ''")
 def src_chat(spark, sf):
+    """Every log by channel, day and, where a day has several, the part behind the day."""
     d = _documents(spark, sf, "irc_log")
-    logs = d.select(F.substring_index("source_id", ":", 1).alias("channel"), F.substring_index("source_id", ":", -1).alias("day"), "body")
-    return A.chat_documents(logs).select("id", "title", F.date_format("created_at", "yyyy-MM-dd").alias("day"))
+    name = F.split("source_id", ":", 3)
+    logs = d.select(F.get(name, F.lit(0)).alias("channel"), F.get(name, F.lit(1)).alias("day"), F.get(name, F.lit(2)).alias("part"), "body")
+    day = F.coalesce(F.date_format("created_at", "yyyy-MM-dd"), F.split_part("source_id", F.lit(":"), F.lit(2)))
+    return A.chat_documents(logs).select("id", "title", day.alias("day"))
 
 
 def _topics(spark: SparkSession, sf: str, topic: str, post: str) -> DataFrame:

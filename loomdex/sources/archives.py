@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import text as X
+from loomdex.schema import parse_instant
 from loomdex.sources.tracker import _select
 
 # File names of specifications by kind; the number is the first group.
@@ -49,10 +50,12 @@ def mail_documents(mails: DataFrame, list_name: str) -> DataFrame:
 
 
 def chat_documents(logs: DataFrame) -> DataFrame:
-    """(channel, day, body) daily logs: one document a day at midnight; blank days are none."""
+    """(channel, day, body) daily logs: one document a day at midnight; blank days are none. With a column ``part``, further logs of a day go by its value
+    behind the day. A log whose day is missing or no date stays, without instant."""
     rows = logs.where(F.coalesce(F.trim("body"), F.lit("")) != "")
-    out = rows.withColumns({"source_type": F.lit("irc_log"), "source_id": F.concat_ws(":", "channel", "day"), "title": F.concat(F.lit("#"), "channel", F.lit(" IRC log "), "day"), "created_at": F.to_timestamp(F.concat("day", F.lit("T00:00:00Z")))})
-    return _select(out.withColumn("id", F.concat_ws(":", "source_type", "source_id")))
+    name = F.when(F.col("channel").isNotNull(), F.concat_ws(":", "channel", "day", *(["part"] if "part" in logs.columns else [])))
+    out = rows.withColumns({"source_type": F.lit("irc_log"), "source_id": name, "title": F.concat(F.lit("#"), "channel", F.lit(" IRC log "), F.coalesce("day", F.lit(""))), "created_at": parse_instant(F.col("day"))})
+    return _select(out.withColumn("id", F.concat(F.col("source_type"), F.lit(":"), F.col("source_id"))))
 
 
 def log_days(first: Column, today: Column) -> Column:

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from loomdex.plans import sources
 from loomdex.sources import archives as A
 from loomdex.sources import commits as K
 from loomdex.sources import tracker as T
@@ -62,6 +63,26 @@ def test_archives(spark, tmp_path):
     assert spark.range(1).select(A.ended(F.array(F.lit(True), F.lit(False), F.lit(False), F.lit(False))).alias("x")).first().x
 
 
+def test_chat_parts(spark, tmp_path):
+    """Further logs of one day keep their part in the id, and a log without a readable day stays; rows equal those of the SQL."""
+    import duckdb
+
+    logs = spark.createDataFrame([("c", "2020-01-02", None, "a"), ("c", "2020-01-02", "1", "b"), ("c", "2020-02-30", "2", "d"), ("c", None, None, "e")], "channel string, day string, part string, body string")
+    assert {x.id: (x.source_id, x.title, x.created_at) for x in A.chat_documents(logs).collect()} == {
+        "irc_log:c:2020-01-02": ("c:2020-01-02", "#c IRC log 2020-01-02", datetime(2020, 1, 2)), "irc_log:c:2020-01-02:1": ("c:2020-01-02:1", "#c IRC log 2020-01-02", datetime(2020, 1, 2)),
+        "irc_log:c:2020-02-30:2": ("c:2020-02-30:2", "#c IRC log 2020-02-30", None), "irc_log:c": ("c", "#c IRC log ", None),
+    }
+    names = ["c:2020-01-02", "c:2020-01-02:1", "c:2020-01-02:1:x", "c:2020-02-30", "c:1", "c:2020-1-5", "c", "c:", "c::2", ":", "", None]
+    columns = "doc_id long, id string, source_type string, source_repo string, source_id string, title string, body string, author string, parent_id string, metadata string"
+    rows = [(i, str(i), "irc_log", None, n, None, "x", None, None, None) for i, n in enumerate(names)] + [(99, "99", "irc_log", None, "c:2020-01-03:1", None, " ", None, None, None)]
+    spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(sources.ORACLE["src_chat"]).fetchall()
+    got = [tuple(r) for r in sources.QUERIES["src_chat"](spark, str(tmp_path)).select("id", "title", "day").collect()]
+    assert len(want) == len(names) and sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_registry(spark):
     got = jobs(spark, ["o/r"], channels=["c"], specs={"bip": "o/s"}, newsletters=True)
     assert {r.source_id for r in got.collect()} == {"issues:o/r", "comments:o/r", "commits:o/r", "irc:c", "specs:bip", "newsletters"}
