@@ -6,7 +6,8 @@ doubling: in round k every node knows its ancestor 2^k steps up, so a forest of
 
 * upward: ``S_0 = 1``; ``S_{k+1}(u) = S_k(u) + sum of S_k(v) over v whose ancestor 2^k up is u``;
 * downward: ``pre(u)`` is the sum over the path from the root of 1 + the sizes of the earlier siblings; path sums double
-  the same way over the pointers kept from the first pass;
+  the same way, each node's sum reaching as far up as its pointer;
+* root and depth come from the ranges, by running values over the preorder numbers (``_places``);
 * a round in which no node reaches a root ends the pass: the nodes left over lie on a loop or below one.
 
 A parent with very many children is no hot spot: sums are combined map-side and sibling prefix sums are taken in two
@@ -29,9 +30,8 @@ def _resolve(df: DataFrame, key: str, node: str, parent: str) -> DataFrame:
     return rows.where("_id is not null").join(owner, "_id", "left").select("k", "p").unionByName(rows.where("_id is null").select("k", F.lit(None).cast("bigint").alias("p")))
 
 
-def _sibling_offsets(tree: DataFrame, sizes: DataFrame, ranges: int) -> DataFrame:
-    """(k, off): 1 + sizes of the earlier siblings by key; roots are siblings of one another with the first at 0."""
-    rows = tree.join(sizes, "k").select("k", "p", "size")
+def _sibling_offsets(rows: DataFrame, ranges: int) -> DataFrame:
+    """(k, p, size) with off: 1 + sizes of the earlier siblings by key; roots are siblings of one another with the first at 0."""
     bounds = sorted(set(rows.approxQuantile("k", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
     bucket = F.lit(0)
     if bounds:
@@ -44,7 +44,21 @@ def _sibling_offsets(tree: DataFrame, sizes: DataFrame, ranges: int) -> DataFram
     rows = rows.withColumn("i", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     own = before.select(F.col("p").alias("_p"), F.col("b").alias("_b"), "s")
     rows = rows.join(own, F.col("p").eqNullSafe(F.col("_p")) & (F.col("b") == F.col("_b")))
-    return rows.select("k", (F.col("s") + F.col("i") + F.when(F.col("p").isNull(), 0).otherwise(1)).alias("off"))
+    return rows.select("k", "p", "size", (F.col("s") + F.col("i") + F.when(F.col("p").isNull(), 0).otherwise(1)).alias("off"))
+
+
+def _places(sets: DataFrame, n: int, blocks: int) -> DataFrame:
+    """``sets`` (k, p, size, pre and others; ``n`` rows) with root and depth as the ranges have them. Preorder numbers run from 0 without gaps, so ``pre`` ranges begin before
+    a node, and all of them that have not ended by ``pre`` hold it: depth is ``pre`` less these ends. Root is the last parentless node up to ``pre``. Both are running values inside
+    blocks of preorder numbers, to which the blocks before are added; ends are counted by number first, so those of a long chain are one row."""
+    ends = sets.groupBy((F.col("pre") + F.col("size")).alias("x")).agg(F.count("*").alias("e")).where(F.col("x") < n)
+    rows = sets.withColumns({"x": F.col("pre"), "r": F.when(F.col("p").isNull(), F.col("k"))}).unionByName(ends, allowMissingColumns=True).withColumn("b", F.floor(F.col("x") / max(1, -(-n // blocks))))
+    earlier = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.groupBy("b").agg(F.sum("e").alias("t"), F.max_by("r", F.when(F.col("r").isNotNull(), F.col("x"))).alias("h"))
+    before = whole.select(F.col("b"), F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("t"), F.last("h", ignorenulls=True).over(earlier).alias("h"))
+    inside = Window.partitionBy("b").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"t2": F.coalesce(F.sum("e").over(inside), F.lit(0)), "h2": F.last("r", ignorenulls=True).over(inside)}).where("k is not null").join(before, "b")
+    return rows.select(*sets.columns, F.coalesce("h2", "h").alias("root"), (F.col("x") - F.col("t") - F.col("t2")).alias("depth"))
 
 
 def _loops(left: DataFrame) -> DataFrame:
@@ -63,9 +77,8 @@ def _loops(left: DataFrame) -> DataFrame:
     return state.select("k", "j").join(on, "j").select("k", "root")
 
 
-def nested_sets(df: DataFrame, key: str = "doc_id", node: str = "id", parent: str = "parent_id", *, paths: bool = False, ranges: bool = True) -> DataFrame:
-    """One row per distinct key: ``key, parent_key, root, depth, size, pre`` and, with ``paths``, ``path``. Without ``ranges`` the second pass is left out,
-    and with it ``pre`` and ``path``.
+def nested_sets(df: DataFrame, key: str = "doc_id", node: str = "id", parent: str = "parent_id", *, paths: bool = False) -> DataFrame:
+    """One row per distinct key: ``key, parent_key, root, depth, size, pre`` and, with ``paths``, ``path``.
 
     ``key`` is a bigint; ``node`` and ``parent`` are of one type. ``size`` counts the node and its descendants, which are
     exactly the rows with ``pre`` in ``(pre, pre + size)``; ranges of different trees do not overlap. Of repeated rows
@@ -76,42 +89,35 @@ def nested_sets(df: DataFrame, key: str = "doc_id", node: str = "id", parent: st
     """
     tree = cut(_resolve(df, key, node, parent))
     # First pass: pointers 2^k up (saturating at the root) and subtree sizes to the same distance.
-    state = tree.select("k", F.coalesce("p", "k").alias("j"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("d"),
+    state = tree.select("k", "p", F.coalesce("p", "k").alias("j"), F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("d"),
                         F.col("p").isNull().alias("done"), F.lit(1).cast("long").alias("s"))
-    done, step, pointers = tree.where("p is null").count(), 1, []
-    active = tree.count() - done
+    total, active = tree.agg(F.count("*"), F.count("p")).first()
+    step, rounds = 1, 0
     while active:
-        pointers.append(state.where(F.col("d") == step).select("k", "j"))
         up = state.where(F.col("d") == step).groupBy(F.col("j").alias("k")).agg(F.sum("s").alias("more"))
         ahead = state.select(F.col("k").alias("j"), F.col("j").alias("j2"), F.col("d").alias("d2"), F.col("done").alias("done2"))
-        moved = state.where(~F.col("done")).join(ahead, "j").select("k", F.col("j2").alias("j"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done"), "s")
-        state = cut(state.where("done").unionByName(moved).join(up, "k", "left").select("k", "j", "d", "done", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s")))
+        moved = state.where(~F.col("done")).join(ahead, "j").select("k", "p", F.col("j2").alias("j"), (F.col("d") + F.col("d2")).alias("d"), F.col("done2").alias("done"), "s")
+        state = cut(state.where("done").unionByName(moved).join(up, "k", "left").select("k", "p", "j", "d", "done", (F.col("s") + F.coalesce("more", F.lit(0))).alias("s")))
         now = state.where("not done").count()
         step *= 2
         if now == active:
             break
-        active = now
-    forest = state.where("done").select("k", F.col("j").alias("root"), F.col("d").alias("depth"), F.col("s").alias("size"))
-    acc = forest.select("k")
-    # Second pass: preorder numbers as sums of sibling offsets along the path, over the same pointers.
-    if ranges:
-        ok = tree.join(forest.select("k"), "k") if active else tree
-        off = _sibling_offsets(ok, forest.select("k", "size"), max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-        acc = cut(off.select("k", F.col("off").alias("pre"), *([F.array("k").alias("path")] if paths else [])))
-    for up in pointers if ranges else ():
-        # Nodes above the step keep their sums and stay out of the joins.
-        ahead = acc.select(F.col("k").alias("j"), F.col("pre").alias("pre2"), *([F.col("path").alias("path2")] if paths else []))
-        added = acc.join(up.join(ahead, "j").drop("j"), "k", "left")
-        columns = ["k", (F.col("pre") + F.coalesce("pre2", F.lit(0))).alias("pre")]
-        if paths:
-            columns.append(F.when(F.col("path2").isNull(), F.col("path")).otherwise(F.concat("path2", "path")).alias("path"))
-        acc = cut(added.select(*columns))
-    out = tree.join(forest.join(acc, "k"), "k", "left")
+        active, rounds = now, rounds + 1
+    # Second pass: preorder numbers as sums of sibling offsets along the path, in as many rounds.
+    blocks = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    off = _sibling_offsets(state.where("done").select("k", "p", F.col("s").alias("size")), blocks)
+    sums = {"pre": F.col("pre") + F.col("pre2")} | ({"path": F.concat("path2", "path")} if paths else {})
+    acc = cut(off.select("k", "p", "size", F.col("p").alias("j"), F.col("off").alias("pre"), *([F.array("k").alias("path")] if paths else [])))
+    for _ in range(rounds):
+        # A node without pointer has its whole path and stays out of the join.
+        ahead = acc.select(F.col("k").alias("j"), F.col("j").alias("j2"), *[F.col(c).alias(f"{c}2") for c in sums])
+        moved = acc.where("j is not null").join(ahead, "j").select("k", "p", "size", F.col("j2").alias("j"), *[v.alias(c) for c, v in sums.items()])
+        acc = cut(acc.where("j is null").unionByName(moved))
+    out = _places(acc.drop("j"), total - active, blocks)
     if active:
-        lost = state.where("not done").select("k").join(tree, "k")
-        out = out.join(_loops(cut(lost)).select("k", F.col("root").alias("loop")), "k", "left")
-        out = out.withColumns({"root": F.coalesce("root", "loop"), "depth": F.coalesce("depth", F.lit(-1).cast("long"))})
-    return out.select(F.col("k").alias(key), F.col("p").alias("parent_key"), "root", "depth", "size", *(["pre"] if ranges else []), *(["path"] if paths and ranges else []))
+        lost = cut(state.where("not done").select("k", "p"))
+        out = out.unionByName(lost.join(_loops(lost), "k").withColumn("depth", F.lit(-1).cast("long")), allowMissingColumns=True)
+    return out.select(F.col("k").alias(key), F.col("p").alias("parent_key"), "root", "depth", "size", "pre", *(["path"] if paths else []))
 
 
 #: Preorder numbers in one block of the descendants join.

@@ -3,8 +3,11 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from loomdex.operators import hierarchy
 from loomdex.operators.hierarchy import ancestors, descendants, nested_sets
+from loomdex.plans import cleaning
 
 SCHEMA = "doc_id long, id string, parent_id string, k string, size int"
 
@@ -75,3 +78,41 @@ def test_long_loop(spark):
 @pytest.mark.parametrize("rows", [[], [(1, None, None)], [(1, "a", "a")], [(5, "a", None), (4, "a", None), (7, "b", "a"), (7, "b", "a"), (None, "c", "a")]])
 def test_edges(spark, rows):
     check(spark, rows)
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 7, 1000])
+def test_places_from_ranges(spark, blocks):
+    """Root and depth from keys, sizes and preorder numbers alone: long chains that end together, stars, single roots and blocks that begin inside a tree."""
+    parents = [None, *range(20), *[7] * 15, None, None, *range(37, 60), 37, 40, None]
+    below = {}
+    for k, p in enumerate(parents):
+        below.setdefault(p, []).append(k)
+    rows, want = [], {}
+
+    def visit(k, root, depth):
+        at = len(rows)
+        rows.append(None)
+        want[k] = (root, depth)
+        for c in below.get(k, []):
+            visit(c, root, depth + 1)
+        rows[at] = (k, parents[k], len(rows) - at, at)
+
+    for k in below[None]:
+        visit(k, k, 0)
+    sets = spark.createDataFrame(rows, "k long, p long, size long, pre long")
+    got = hierarchy._places(sets, len(rows), blocks)
+    assert got.columns == [*sets.columns, "root", "depth"]
+    assert {r.k: (r.root, r.depth) for r in got.collect()} == want and len(rows) == len(parents)
+
+
+def test_p2_found_takes_ranges(spark, tmp_path, monkeypatch):
+    """p2_found allots sibling ranges and reads root and depth from them: with ranges that hold nothing, every node is a root."""
+    rows = [(1, "a", None), (2, "b", "a"), (3, "c", "b"), (4, "d", "gone"), (5, "e", "d"), (7, "g", "h"), (8, "h", "g"), (9, "i", "h")]
+    spark.createDataFrame(rows, "doc_id long, id string, parent_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = lambda: sorted(tuple(r) for r in cleaning.p2_found(spark, str(tmp_path)).select("doc_id", "root_doc_id", "depth").collect())
+    loops, used = [(7, 7, -1), (8, 7, -1), (9, 7, -1)], []
+    plain = hierarchy._sibling_offsets
+    monkeypatch.setattr(hierarchy, "_sibling_offsets", lambda *a: used.append(1) or plain(*a))
+    assert found() == [(2, 1, 1), (3, 1, 2), (4, 4, 0), (5, 4, 1), *loops] and used
+    monkeypatch.setattr(hierarchy, "_sibling_offsets", lambda *a: plain(*a).withColumn("size", F.lit(1).cast("long")))
+    assert [r[2] for r in found()] == [0, 0, 0, 0, -1, -1, -1]
